@@ -2,28 +2,42 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields, replace
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-@dataclass(frozen=True)
+TABLE_NAMES = ("locations", "categories", "products", "product_variations", "product_aliases",
+               "orders", "order_items", "payments")
+
+
 class Silver:
-    locations: DataFrame
-    categories: DataFrame
-    products: DataFrame
-    product_variations: DataFrame
-    product_aliases: DataFrame
-    orders: DataFrame
-    order_items: DataFrame
-    payments: DataFrame
+    """Eight tables by name, parents before children.
+
+    A table may be given as a function; it is then built when first asked for, so a
+    question that needs two tables does not open the other six.
+    """
+
+    def __init__(self, **tables: DataFrame | Callable[[], DataFrame]):
+        unknown = set(tables) - set(TABLE_NAMES)
+        if unknown:
+            raise ValueError(f"unknown silver tables: {sorted(unknown)}")
+        self._tables = tables
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name.startswith("_") or name not in self._tables:
+            raise AttributeError(name)
+        table = self._tables[name]
+        if callable(table):
+            table = self._tables[name] = table()
+        return table
 
     def tables(self) -> dict[str, DataFrame]:
-        return {f.name: getattr(self, f.name) for f in fields(self)}
+        return {name: getattr(self, name) for name in TABLE_NAMES if name in self._tables}
 
     def with_tables(self, **tables: DataFrame) -> "Silver":
-        return replace(self, **tables)
+        return Silver(**{**self._tables, **tables})
 
 
 ADDRESS = "struct<line1: string, city: string, state: string, zip: string, country: string>"
@@ -68,10 +82,6 @@ def ddl(table: str) -> str:
     return ", ".join(f"{name} {kind}" for name, kind in SCHEMAS[table].items())
 
 
-# Load order: parents before children.
-TABLE_ORDER = [f.name for f in fields(Silver)]
-
-
 def conform(df: DataFrame, table: str) -> DataFrame:
     """Project a frame onto the declared columns of ``table``; absent columns become null."""
     present = set(df.columns)

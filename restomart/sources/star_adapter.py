@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -155,8 +157,6 @@ def product_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def silver_from_star(spark: SparkSession, sf_dir: str) -> Silver:
-    return Silver(**{
-        build.__name__: build(spark, sf_dir)
-        for build in (locations, categories, products, product_variations, product_aliases,
-                      orders, order_items, payments)
-    })
+    builders = (locations, categories, products, product_variations, product_aliases, orders,
+                order_items, payments)
+    return Silver(**{b.__name__: partial(b, spark, sf_dir) for b in builders})
