@@ -262,7 +262,446 @@ PERIOD_SQL = {
 }
 
 
+
+# Source documents as relations --------------------------------------------------------------
+
+def digest(*parts: str) -> str:
+    return "sha256(concat_ws('|', " + ", ".join(parts) + "))"
+
+
+DOCS = """
+doc AS (SELECT o_orderkey AS k, o_custkey AS customer, o_orderpriority AS priority,
+               o_orderstatus AS flag, CAST(round(o_totalprice * 100) AS BIGINT) AS cents,
+               o_orderdate + to_hours(CAST(o_orderkey % 24 AS INTEGER)) AS opened,
+               o_orderdate + to_hours(CAST(o_orderkey % 24 AS INTEGER)) + INTERVAL 45 MINUTE AS closed
+        FROM orders),
+tdoc AS (SELECT *, customer % 27 AS place, sha256('order|toast|g' || k) AS oid FROM doc
+         WHERE k % 13 <> 0 AND k % 17 <> 0),
+tcheck AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY c) - 1 AS check_no FROM (
+             SELECT *, unnest(range(1, 2 + k % 3)) AS c FROM tdoc)
+           WHERE (k + c) % 11 <> 0 AND (k + c) % 19 <> 0),
+tline AS (SELECT *, s - 1 AS line_no FROM (
+            SELECT *, unnest(range(1, 2 + (k + c) % 3)) AS s FROM tcheck)
+          WHERE (k + c + s) % 7 <> 0),
+tpay AS (SELECT *, p - 1 AS payment_no FROM (SELECT *, unnest(range(1, 2 + k % 2)) AS p FROM tcheck)
+         WHERE (k + p) % 9 <> 0),
+tkept AS (SELECT DISTINCT k FROM tline WHERE place < 25),
+ddoc AS (SELECT *, customer % 27 AS place, sha256('order|doordash|x' || k) AS oid,
+                CASE WHEN k % 3 = 2 THEN closed ELSE NULL END AS delivered
+         FROM doc WHERE customer % 27 < 25 AND k % 6 > 0),
+dline AS (SELECT *, s - 1 AS line_no FROM (SELECT *, unnest(range(1, 1 + k % 6)) AS s FROM ddoc)),
+qdoc AS (SELECT *, customer % 27 AS place, sha256('order|square|q' || k) AS oid
+         FROM doc WHERE customer % 27 < 25 AND k % 4 > 0),
+qline AS (SELECT *, s - 1 AS line_no, (k + s) % 2500 AS pk,
+                 CAST([1, 2, 0, 3][1 + (k + s) % 4] AS INTEGER) AS quantity, 1001 + k % 500 + s AS paid
+          FROM (SELECT *, unnest(range(1, 1 + k % 4)) AS s FROM qdoc))
+"""
+
+
+def over_docs(select: str, extra: str = "") -> str:
+    return "WITH " + DOCS.strip() + (", " + extra if extra else "") + "\n" + select.strip()
+
+
+TOAST_ORDERS = """
+SELECT oid AS id, 'toast' AS source, 'g' || k AS source_order_id, place AS location_id,
+  CASE priority WHEN '1-URGENT' THEN 'delivery' WHEN '2-HIGH' THEN 'takeout' WHEN '5-LOW'
+       THEN 'curbside' ELSE 'dine_in' END AS order_type,
+  ['pos', 'online', 'third_party', 'kiosk'][1 + k % 4] AS channel, 'completed' AS status,
+  opened AS created_at, closed AS closed_at,
+  CAST(sum(cents % 10000 + 100 * c) AS BIGINT) AS subtotal_cents,
+  CAST(sum(10 * c) AS BIGINT) AS tax_cents, CAST(sum(5 * c) AS BIGINT) AS tip_cents,
+  CAST(sum(cents % 10000 + 110 * c) AS BIGINT) AS total_cents
+FROM tcheck WHERE k IN (SELECT k FROM tkept) GROUP BY ALL"""
+DASH_ORDERS = """
+SELECT oid AS id, 'doordash' AS source, 'x' || k AS source_order_id, place AS location_id,
+  CASE WHEN k % 5 = 0 THEN 'pickup' WHEN k % 7 = 0 THEN 'drone' ELSE 'delivery' END AS order_type,
+  'delivery_app' AS channel, CASE flag WHEN 'F' THEN 'delivered' ELSE 'picked_up' END AS status,
+  opened AS created_at, coalesce(delivered, closed) AS closed_at, cents AS subtotal_cents,
+  cents % 900 AS tax_cents, cents % 300 AS tip_cents, cents + 1000 AS total_cents,
+  cents % 700 AS delivery_fee_cents, cents % 500 AS service_fee_cents,
+  cents % 400 AS commission_cents, k % 4 = 0 AS contains_alcohol, k % 8 = 0 AS is_catering
+FROM ddoc"""
+SQUARE_ORDERS = """
+SELECT oid AS id, 'square' AS source, 'q' || k AS source_order_id, place AS location_id,
+  CASE WHEN k % 5 = 0 THEN 'dine_in' ELSE ['pickup', 'delivery', 'shipment'][1 + k % 3] END
+    AS order_type,
+  CASE WHEN k % 3 = 0 THEN 'online' ELSE 'pos' END AS channel,
+  CASE flag WHEN 'P' THEN 'cancelled' ELSE 'completed' END AS status,
+  opened AS created_at, closed AS closed_at, cents - cents % 900 - cents % 300 AS subtotal_cents,
+  cents % 900 AS tax_cents, cents % 300 AS tip_cents, cents AS total_cents
+FROM qdoc"""
+
+EXPORTS = {
+    "p03_toast_selections": """SELECT 'g' || k AS guid, check_no, line_no,
+        'item ' || (k + c + s) % 50 AS name, CASE WHEN s = 1 THEN 1 ELSE 0 END AS modifier_count
+        FROM tline""",
+    "p07_toast_orders": TOAST_ORDERS,
+    "p10_toast_items": f"""SELECT check_no, line_no,
+        {digest("'item'", "oid", "check_no", "line_no")} AS id, oid AS order_id, 'toast' AS source,
+        'item ' || (k + c + s) % 50 AS original_name, CAST((k + s) % 4 AS INTEGER) AS quantity,
+        CASE WHEN (k + s) % 4 <> 0 THEN CAST(floor((1000 + k % 500 + s)
+          / CAST((k + s) % 4 AS DOUBLE) + 0.5) AS BIGINT) END AS unit_price_cents,
+        900 + s AS total_price_cents, s AS tax_cents, NULL AS special_instructions
+        FROM tline WHERE place < 25""",
+    "p13_toast_payments": f"""SELECT {digest("'payment'", "oid", "check_no", "payment_no")} AS id,
+        oid AS order_id, 'p' || k || '-' || c || '-' || p AS source_payment_id,
+        ['credit', 'cash', 'gift'][1 + (k + p) % 3] AS payment_type,
+        CASE WHEN (k + p) % 3 = 0 THEN 'visa' END AS card_brand,
+        CASE WHEN (k + p) % 3 = 0 THEN lpad(CAST(k % 10000 AS VARCHAR), 4, '0') END AS last_four,
+        1000 + c AS amount_cents, 5 * c AS tip_cents, 30 AS processing_fee_cents,
+        closed AS created_at FROM tpay WHERE k IN (SELECT k FROM tkept)""",
+    "p08_doordash_orders": DASH_ORDERS,
+    "p11_doordash_items": f"""SELECT 0 AS check_no, line_no,
+        {digest("'item'", "oid", "0", "line_no")} AS id, oid AS order_id, 'doordash' AS source,
+        'item ' || (k + s) % 50 AS original_name, CAST(1 + (k + s) % 4 AS INTEGER) AS quantity,
+        500 + s AS unit_price_cents, (500 + s) * (1 + (k + s) % 4) AS total_price_cents,
+        NULL AS tax_cents, CASE WHEN (k + s) % 3 = 0 THEN 'no onions' END AS special_instructions
+        FROM dline""",
+    "p14_doordash_payments": f"""SELECT {digest("'payment'", "oid", "'platform'")} AS id,
+        oid AS order_id, 'dd_pay_x' || k AS source_payment_id, 'platform' AS payment_type,
+        NULL AS card_brand, NULL AS last_four, cents - cents % 400 AS amount_cents,
+        cents % 300 AS tip_cents, cents % 400 AS processing_fee_cents,
+        coalesce(delivered, closed) AS created_at FROM ddoc""",
+    "p09_square_orders": SQUARE_ORDERS,
+    "p12_square_items": f"""SELECT {digest("'item'", "oid", "0", "line_no")} AS id, oid AS order_id,
+        'square' AS source, CASE WHEN p_partkey IS NULL THEN 'v' || pk || '-' || s % 2
+          WHEN s % 2 = 0 THEN p_name ELSE p_name || ' - ' || p_size || ' pc' END AS original_name,
+        'i' || p_partkey AS catalog_id, CASE WHEN p_partkey IS NOT NULL THEN
+          CASE WHEN s % 2 = 0 THEN 'Regular' ELSE p_size || ' pc' END END AS catalog_label,
+        quantity, CASE WHEN quantity > 0 THEN CAST(floor(CAST(paid AS DOUBLE) / quantity + 0.5)
+          AS BIGINT) END AS unit_price_cents, paid AS total_price_cents, NULL AS tax_cents,
+        NULL AS special_instructions FROM qline LEFT JOIN part ON p_partkey = pk""",
+    "p15_square_payments": f"""SELECT {digest("'payment'", "oid", "'qp' || k")} AS id,
+        oid AS order_id, 'qp' || k AS source_payment_id,
+        CASE WHEN k % 4 = 0 AND k % 5 <> 0 THEN 'credit' WHEN k % 4 = 1 THEN 'cash'
+             WHEN k % 4 = 2 AND k % 3 <> 0 THEN 'wallet' ELSE 'other' END AS payment_type,
+        CASE WHEN k % 4 = 0 AND k % 5 <> 0 THEN 'amex'
+             WHEN k % 4 = 2 AND k % 3 <> 0 THEN 'apple_pay' END AS card_brand,
+        CASE WHEN k % 4 = 0 AND k % 5 <> 0 THEN lpad(CAST(k % 10000 AS VARCHAR), 4, '0') END
+          AS last_four, cents AS amount_cents, cents % 300 AS tip_cents,
+        NULL AS processing_fee_cents, closed AS created_at FROM qdoc""",
+    "u01_stacked_orders": f"""SELECT source, order_type, channel, status, count(*) AS orders,
+        CAST(sum(total_cents) AS BIGINT) AS total_cents FROM (
+          SELECT source, order_type, channel, status, total_cents FROM ({TOAST_ORDERS})
+          UNION ALL SELECT source, order_type, channel, status, total_cents FROM ({DASH_ORDERS})
+          UNION ALL SELECT source, order_type, channel, status, total_cents FROM ({SQUARE_ORDERS}))
+        GROUP BY ALL""",
+    "q04_integrity_report": """
+        WITH x AS (
+          SELECT 'orders' AS metric, 'toast' AS source, (SELECT count(*) FROM tdoc) AS expected,
+                 (SELECT count(*) FROM tkept) AS actual
+          UNION ALL SELECT 'orders', 'doordash', (SELECT count(*) FROM doc), (SELECT count(*) FROM ddoc)
+          UNION ALL SELECT 'orders', 'square', (SELECT count(*) FROM doc), (SELECT count(*) FROM qdoc)
+          UNION ALL SELECT 'payments', 'toast', (SELECT count(*) FROM tpay),
+                 (SELECT count(*) FROM tpay WHERE k IN (SELECT k FROM tkept))
+          UNION ALL SELECT 'payments', 'doordash', (SELECT count(*) FROM doc), (SELECT count(*) FROM ddoc)
+          UNION ALL SELECT 'payments', 'square', (SELECT count(*) FROM doc), (SELECT count(*) FROM qdoc)),
+        y AS (SELECT * FROM x UNION ALL
+          SELECT metric, 'total', CAST(sum(expected) AS BIGINT), CAST(sum(actual) AS BIGINT) FROM x
+          GROUP BY metric UNION ALL
+          SELECT 'orders without payment', 'total', 0, (SELECT count(*) FROM tkept
+            WHERE k NOT IN (SELECT k FROM tpay)))
+        SELECT *, expected = actual AS ok FROM y""",
+    "s11_validation": """
+        SELECT 'checks.' || (c - 1) || '.payments.' || (p - 1) || '.cardType' AS path,
+               'expected string' AS message, count(*) AS violations
+        FROM (SELECT *, unnest(range(1, 2 + k % 2)) AS p FROM (
+                SELECT k, unnest(range(1, 2 + k % 3)) AS c FROM doc))
+        WHERE (k + p) % 3 <> 0 GROUP BY ALL""",
+}
+
+# Names ---------------------------------------------------------------------------------------
+
+RAW = """
+raw AS (SELECT DISTINCT CASE l_linenumber % 5 WHEN 0 THEN p_name
+     WHEN 1 THEN substr(p_name, 1, spot) || substr(p_name, spot + 2)
+     WHEN 2 THEN substr(p_name, 1, spot) || chr(CAST(97 + l_suppkey % 26 AS INTEGER)) || substr(p_name, spot + 1)
+     WHEN 3 THEN 'Lg ' || p_name ELSE upper(p_name) || ' 12 PCS' END AS original_name
+   FROM (SELECT *, CAST(l_suppkey % length(p_name) AS INTEGER) AS spot
+         FROM lineitem JOIN part ON p_partkey = l_partkey)),
+trimmed AS (SELECT original_name, trim(original_name) AS n FROM raw),
+cut AS (SELECT original_name,
+    CASE WHEN regexp_matches(n, '(?i)\\d+\\s*(pcs?|pieces?)$')
+           THEN trim(regexp_replace(n, '(?i)\\s*\\d+\\s*(pcs?|pieces?)\\s*$', ''))
+         WHEN regexp_matches(n, '(?i)^(lg|sm|med)\\s') THEN trim(regexp_replace(n, '^\\S+\\s+', ''))
+         WHEN regexp_matches(n, '(?i)\\s(small|medium|large|xl|xxl|slice|whole pie|pint|glass|bottle|single|double|dbl)$')
+           THEN 'unexpected' ELSE n END AS base,
+    CASE WHEN regexp_matches(n, '(?i)\\d+\\s*(pcs?|pieces?)$')
+           THEN regexp_extract(n, '(\\d+)', 1) || ' pcs'
+         WHEN regexp_matches(n, '(?i)^(lg|sm|med)\\s') THEN 'Large' END AS label,
+    CASE WHEN regexp_matches(n, '(?i)\\d+\\s*(pcs?|pieces?)$') THEN 'quantity'
+         WHEN regexp_matches(n, '(?i)^(lg|sm|med)\\s') THEN 'size' END AS kind
+  FROM trimmed),
+keyed AS (SELECT *, lower(base) AS text FROM cut),
+shelf AS (SELECT lower(p_name) AS product_text, min(p_partkey) AS product_id FROM part GROUP BY 1)
+"""
+
+
+def over_names(select: str) -> str:
+    return "WITH " + RAW.strip() + "\n" + select.strip()
+
+
+def _typo(term: str) -> str:
+    """First word that is close to a term without being it."""
+    near = (f"levenshtein(w, '{term}') BETWEEN 1 AND "
+            f"(CASE WHEN least(length(w), {len(term)}) <= 5 THEN 1 ELSE 2 END) AND NOT "
+            f"(length(w) = {len(term)} AND length(w) <= 6)")
+    return f"list_filter(string_split_regex(low, '\\s+'), lambda w: {near})[1]"
+
+
+NAMES = {
+    "n01_name_features": """SELECT original_name, base, text,
+        CASE WHEN kind = 'size' THEN 'Large' ELSE label END AS label,
+        CASE WHEN label = 'Large' THEN NULL ELSE kind END AS kind FROM keyed""",
+    "n05_find_products": """
+        SELECT text, arg_min(product_id, d * 1000000000 + product_id) AS product_id FROM (
+          SELECT DISTINCT text, product_id, levenshtein(text, product_text) AS d
+          FROM (SELECT DISTINCT text FROM keyed), shelf)
+        WHERE d <= 3 OR d <= least(5, floor(length(text) * 0.25)) GROUP BY text""",
+    "n06_rule_match": f"""
+        WITH m AS (SELECT original_name, low, {_typo('ring')} AS ring, {_typo('widget')} AS widget,
+                          {_typo('gizmo')} AS gizmo
+                   FROM (SELECT original_name, lower(trim(original_name)) AS low FROM raw)),
+        r AS (SELECT *, CASE WHEN regexp_matches(low, '\\bring\\b') THEN 1 WHEN ring IS NOT NULL THEN 2
+            WHEN regexp_matches(low, '\\bwidget\\b') THEN 3 WHEN widget IS NOT NULL THEN 4
+            WHEN contains(low, 'hot rod') OR contains(low, 'gizmo') OR gizmo IS NOT NULL THEN 5 END
+            AS step FROM m)
+        SELECT original_name, CASE WHEN step <= 2 THEN 'Ring' ELSE 'Widget' END AS rule,
+          nullif(CASE step
+            WHEN 1 THEN trim(regexp_replace(original_name, '(?i)\\s*\\bring\\b\\s*$', ''))
+            WHEN 3 THEN trim(regexp_replace(original_name, '(?i)\\s*\\bwidget\\b\\s*$', ''))
+            WHEN 2 THEN trim(regexp_replace(original_name, '(?i)\\s*\\b' || ring || '\\b\\s*', ' '))
+            WHEN 4 THEN trim(regexp_replace(original_name, '(?i)\\s*\\b' || widget || '\\b\\s*', ' '))
+            ELSE trim(original_name) END, '') AS label
+        FROM r WHERE step IS NOT NULL""",
+    "n12_near_pairs": """
+        SELECT text AS probe_text, product_text AS index_text,
+               CAST(levenshtein(text, product_text) AS INTEGER) AS distance
+        FROM (SELECT DISTINCT text FROM keyed), shelf WHERE levenshtein(text, product_text) <= 3""",
+}
+PART_NAMES = {
+    "n16_categories": """SELECT upper(left(p_type, 1)) || lower(substr(p_type, 2)) || ' & '
+        || upper(left(p_brand, 1)) || lower(substr(p_brand, 2)) AS category,
+        min(p_partkey) AS first_part FROM part GROUP BY 1""",
+    "w01_first_names": """SELECT lower(trim(p_name)) AS name_key, p_partkey AS first_id,
+        p_name AS name FROM part
+        QUALIFY row_number() OVER (PARTITION BY lower(trim(p_name)) ORDER BY p_partkey) = 1""",
+}
+
+# Silver operators ----------------------------------------------------------------------------
+
+TABLES = {"locations": "s_locations", "categories": "s_categories", "products": "s_products",
+          "product_variations": "s_variations", "product_aliases": "s_aliases",
+          "orders": "s_orders", "order_items": "s_items", "payments": "s_payments"}
+REFERENCES = [
+    ("products", "category_id", "categories"), ("product_variations", "product_id", "products"),
+    ("product_aliases", "product_id", "products"), ("orders", "location_id", "locations"),
+    ("order_items", "order_id", "orders"), ("order_items", "product_id", "products"),
+    ("order_items", "variation_id", "product_variations"), ("payments", "order_id", "orders")]
+DOMAINS = {
+    ("orders", "source"): "'toast', 'doordash', 'square'",
+    ("orders", "order_type"): "'dine_in', 'takeout', 'pickup', 'delivery'",
+    ("orders", "channel"): "'pos', 'online', 'delivery_app', 'third_party'",
+    ("orders", "status"): "'completed', 'delivered', 'picked_up', 'cancelled', 'refunded'",
+    ("payments", "payment_type"): "'credit', 'cash', 'wallet', 'platform', 'other'",
+    ("payments", "card_brand"):
+        "'visa', 'mastercard', 'amex', 'discover', 'apple_pay', 'google_pay'",
+    ("product_variations", "variation_type"): "'quantity', 'size', 'serving', 'strength', 'semantic'",
+    ("product_aliases", "source"): "'toast', 'doordash', 'square'",
+}
+REQUIRED = {
+    "locations": "id name", "categories": "id name", "products": "id name",
+    "product_variations": "id product_id name", "product_aliases": "id product_id raw_name source",
+    "orders": "id source source_order_id location_id order_type channel created_at subtotal_cents "
+              "total_cents",
+    "order_items": "id order_id original_name quantity unit_price_cents total_price_cents",
+    "payments": "id order_id payment_type amount_cents",
+}
+
+
+def _rule_rows(rule: str, name: str, column: str, condition: str) -> str:
+    return (f"SELECT '{rule}' AS rule, '{name}' AS table_name, '{column}' AS column_name, "
+            f"count(*) AS violations FROM {TABLES[name]} t WHERE {condition}")
+
+
+OPERATORS = {
+    "a09_data_range": "SELECT min(created_at) AS earliest, max(created_at) AS latest FROM s_orders",
+    "a10_location_names": "SELECT DISTINCT name FROM s_locations",
+    "a10_category_names": "SELECT DISTINCT name FROM s_categories",
+    "c03_chart_values": """SELECT channel, CAST(sum(total_cents) AS DOUBLE) / 100 AS total,
+        CAST(count(*) AS DOUBLE) AS order_count, channel AS name,
+        CAST(sum(total_cents) AS DOUBLE) / 100 AS value FROM s_orders GROUP BY channel""",
+    "c05_wide_to_long": """
+        SELECT 'total cents' AS category, CAST(sum(total_cents) AS DOUBLE) AS value FROM s_orders
+        UNION ALL SELECT 'tip cents', CAST(sum(tip_cents) AS DOUBLE) FROM s_orders
+        UNION ALL SELECT 'order count', CAST(count(*) AS DOUBLE) FROM s_orders""",
+    "c08_display_text": """SELECT format('{:,}', id) AS id,
+        CASE WHEN is_catering THEN 'Yes' WHEN NOT is_catering THEN 'No' ELSE '-' END AS is_catering,
+        coalesce(format('{:,}', tip_cents), '-') AS tip_cents, channel FROM s_orders""",
+    "j04_orders_by_place_id": """SELECT location_id, count(*) AS orders FROM s_orders
+        WHERE location_id IS NOT NULL GROUP BY 1""",
+    "j06_order_payments": """SELECT source, count(*) AS payments,
+        CAST(sum(amount_cents) AS BIGINT) AS amount_cents, CAST(sum(total_cents) AS BIGINT) AS total_cents
+        FROM s_payments p JOIN s_orders o ON o.id = p.order_id GROUP BY source""",
+    "j12_orders_with_items": "SELECT id, source FROM s_orders o WHERE EXISTS "
+                             "(SELECT 1 FROM lineitem WHERE l_orderkey = o.id)",
+    "j13_orders_without_payment": "SELECT id, source FROM s_orders o WHERE NOT EXISTS "
+                                  "(SELECT 1 FROM s_payments p WHERE p.order_id = o.id)",
+    "p20_location_match": "SELECT id, name FROM s_locations WHERE name ILIKE '%NATION_2%'",
+    "p21_beverage_products": """SELECT id, name FROM s_products WHERE category_id IN
+        (SELECT id FROM s_categories WHERE regexp_matches(name, '(?i)promo|small'))""",
+    "q03_payment_coverage": """SELECT count(p.order_id) AS with_payment,
+        count(*) - count(p.order_id) AS without_payment
+        FROM s_orders o LEFT JOIN (SELECT DISTINCT order_id FROM s_payments) p ON p.order_id = o.id""",
+    "q06_duplicate_aliases": """SELECT raw_name, source, count(*) AS copies FROM s_aliases
+        GROUP BY 1, 2 HAVING count(*) > 1""",
+    "q07_orphans": " UNION ALL ".join(
+        _rule_rows("reference", child, column, f"{column} IS NOT NULL AND NOT EXISTS "
+                   f"(SELECT 1 FROM {TABLES[parent]} p WHERE p.id = t.{column})")
+        for child, column, parent in REFERENCES),
+    "q08_row_rules": " UNION ALL ".join(
+        [_rule_rows("domain", t, c, f"{c} NOT IN ({allowed})") for (t, c), allowed in DOMAINS.items()]
+        + [_rule_rows("not_null", t, c, f"{c} IS NULL")
+           for t, columns in REQUIRED.items() for c in columns.split()]),
+    "q09_defaults": """SELECT source, CAST(sum(coalesce(tax_cents, 0)) AS BIGINT) AS tax_cents,
+        CAST(sum(coalesce(tip_cents, 0)) AS BIGINT) AS tip_cents,
+        CAST(sum(coalesce(commission_cents, 0)) AS BIGINT) AS commission_cents,
+        count(*) FILTER (WHERE NOT coalesce(is_catering, false)) AS not_catering
+        FROM s_orders GROUP BY 1""",
+    "q10_cascading_delete": """
+        SELECT 'orders' AS table_name, count(*) AS row_count FROM s_orders WHERE status <> 'cancelled'
+        UNION ALL SELECT 'order_items', count(*) FROM s_items WHERE order_id NOT IN
+          (SELECT id FROM s_orders WHERE status = 'cancelled')
+        UNION ALL SELECT 'payments', count(*) FROM s_payments WHERE order_id NOT IN
+          (SELECT id FROM s_orders WHERE status = 'cancelled')""",
+    "s08_load_stats": " UNION ALL ".join(
+        f"SELECT '{name}' AS table_name, count(*) AS row_count FROM {view}"
+        for name, view in TABLES.items()),
+}
+
+# Plain tables: codes, text, conversations, usage, query log -----------------------------------
+
+CHAT = """chat AS (SELECT conv_id, turn, role, text, conv_id + turn AS n FROM conversations)"""
+CALLS = CHAT + """,
+calls AS (SELECT conv_id AS process_id, turn AS seq,
+    ['grok-4.1-fast', 'gpt-5.2', 'gpt-oss-20b'][1 + n % 3] AS model, 'step ' || turn % 4 AS label,
+    length(text) AS prompt_tokens, CASE WHEN turn % 2 = 0 THEN length(text) // 3 ELSE 0 END AS cached_tokens,
+    length(text) // 2 AS completion_tokens FROM chat),
+rates AS (SELECT * FROM (VALUES ('grok-4.1-fast', 200, 50, 500), ('gpt-5.2', 1750, 175, 14000),
+    ('gpt-oss-20b', 75, 75, 300)) AS v(model, i, c, o)),
+nano AS (SELECT calls.*, prompt_tokens - cached_tokens AS input_tokens,
+    CAST(prompt_tokens - cached_tokens AS BIGINT) * i AS input_nano, CAST(cached_tokens AS BIGINT) * c AS cached_nano,
+    CAST(completion_tokens AS BIGINT) * o AS output_nano FROM calls JOIN rates USING (model))"""
+NANO_COSTS = """CAST({0}(input_nano) AS DOUBLE) / 1e9 AS input_cost,
+    CAST({0}(cached_nano) AS DOUBLE) / 1e9 AS cached_cost,
+    CAST({0}(output_nano) AS DOUBLE) / 1e9 AS output_cost,
+    CAST({0}(input_nano + cached_nano + output_nano) AS DOUBLE) / 1e9 AS total_cost"""
+KEYWORDS = ["INSERT", "UPDATE", "DELETE", "DROP", "ALTER", "TRUNCATE", "CREATE"]
+STATEMENTS = CHAT + """,
+log AS (SELECT conv_id, turn, ['SELECT updated_at, note FROM t -- ',
+   'WITH x AS (SELECT 1) SELECT * FROM x; ', 'drop table orders ', 'SELECT 1; DELETE FROM orders ',
+   ' select created_by from log ', 'Update t SET a = 1; insert into t VALUES (2) '][1 + n % 6]
+   || regexp_replace(text, '[^A-Za-z ]', '', 'g') AS sql FROM chat),
+found AS (SELECT *, list_filter([""" + ", ".join(f"'{k}'" for k in KEYWORDS) + """],
+   lambda w: regexp_matches(upper(sql), '\\b' || w || '\\b')) AS words FROM log)"""
+
+
+def _usage(keys: str) -> str:
+    sums = ", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}"
+                     for c in ("input_tokens", "cached_tokens", "completion_tokens"))
+    return f"""WITH {CALLS} SELECT {keys}, count(*) AS calls, {sums},
+        CAST(sum(prompt_tokens + completion_tokens) AS BIGINT) AS total_tokens,
+        {NANO_COSTS.format('sum')} FROM nano GROUP BY {keys}"""
+
+
+def _coded(table: dict[str, str], upper: bool = False) -> str:
+    key = "upper(code)" if upper else "code"
+    cases = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in table.items())
+    return f"CASE {key} {cases} ELSE lower(code) END"
+
+
+OTHERS = {
+    "f01_codes": f"""WITH x AS (SELECT o_orderkey, ['DINE_IN', 'TAKE_OUT', 'DELIVERY', 'PICKUP',
+        'Curbside', 'CARD', 'Cash', 'AMERICAN_EXPRESS', '', 'POS', 'THIRD_PARTY', 'Shop Online']
+        [1 + o_orderkey % 12] AS code FROM orders)
+        SELECT o_orderkey,
+          {_coded({'DINE_IN': 'dine_in', 'TAKE_OUT': 'takeout', 'DELIVERY': 'delivery'})} AS toast_type,
+          {_coded({'POS': 'pos', 'THIRD_PARTY': 'third_party'})} AS toast_channel,
+          {_coded({'MERCHANT_DELIVERY': 'delivery', 'PICKUP': 'pickup'})} AS doordash_type,
+          {_coded({'DINE_IN': 'dine_in', 'PICKUP': 'pickup'})} AS square_type,
+          CASE WHEN contains(lower(code), 'online') THEN 'online' ELSE 'pos' END AS square_channel,
+          {_coded({'CARD': 'credit', 'CASH': 'cash'}, True)} AS payment,
+          CASE WHEN code = '' THEN NULL ELSE {_coded({'AMERICAN_EXPRESS': 'amex'}, True)} END AS brand
+        FROM x""",
+    "f09_text": """WITH x AS (SELECT *, CAST(levenshtein(lower(p_name), lower(p_type)) AS INTEGER) AS d FROM part)
+        SELECT p_partkey, d AS distance, least(d, 10) AS bounded,
+          left(p_name, 1) <> lower(left(p_name, 1)) AS proper,
+          lower(p_type) || ' ' || lower(p_name) AS clean,
+          p_retailprice / CASE WHEN p_size <> 11 THEN CAST(p_size - 11 AS DOUBLE) END AS ratio FROM x""",
+    "h01_conversation_list": """SELECT conv_id AS conversation_id,
+          left(arg_min(text, turn) FILTER (WHERE role = 'user'), 50) AS preview,
+          count(*) AS message_count, max(turn) AS updated_at
+        FROM conversations GROUP BY 1 ORDER BY updated_at DESC, conv_id LIMIT 50""",
+    "h02_conversation_messages": """SELECT conv_id AS conversation_id, turn AS created_at, role,
+        text AS content FROM conversations WHERE conv_id = 7""",
+    "h04_history_lines": """SELECT conv_id AS conversation_id, turn AS position,
+          CASE role WHEN 'user' THEN 'User: ' ELSE 'Assistant: ' END || text AS line
+        FROM conversations QUALIFY turn < max(turn) OVER (PARTITION BY conv_id)""",
+    "h05_stored_answers": """WITH x AS (SELECT conv_id AS conversation_id, turn,
+          CASE WHEN turn % 3 <> 0 THEN substr(text, 1, 20) ELSE '  ' END AS partial,
+          CASE WHEN turn % 2 = 0 THEN text ELSE '' END AS streamed,
+          CASE WHEN turn % 5 = 0 THEN '[{"type":"bar"}]' END AS charts FROM conversations)
+        SELECT conversation_id, turn, 1 AS step, 'assistant' AS role, partial AS content, NULL AS charts
+        FROM x WHERE trim(partial) <> '' AND (charts IS NOT NULL OR trim(streamed) = '')
+        UNION ALL SELECT conversation_id, turn, 2, 'assistant', streamed, charts
+        FROM x WHERE charts IS NOT NULL OR trim(streamed) <> ''""",
+    "k01_audit": f"""WITH {STATEMENTS} SELECT conv_id, turn, sql,
+          regexp_matches(upper(trim(sql)), '^(SELECT|WITH)') AND len(words) = 0 AS is_read_only,
+          array_to_string(words, ',') AS offending FROM found""",
+    "k01_offending_keywords": f"WITH {STATEMENTS} SELECT conv_id, turn, unnest(words) AS keyword FROM found",
+    "k02_clean_statements": f"""WITH {CHAT}, x AS (SELECT *,
+          regexp_replace(substr(text, 1, 30), '[^A-Za-z ]', 'x', 'g') AS word FROM chat)
+        SELECT conv_id, turn, CASE n % 4 WHEN 0 THEN 'SELECT ''' || word || '''' || chr(10) || 'FROM t'
+          WHEN 1 THEN 'SELECT name FROM t WHERE a = ''' || word || ''' '
+          WHEN 2 THEN 'WITH a AS (SELECT 1)' || chr(10) || '-- select ' || word || chr(10) || 'SELECT 2'
+          ELSE 'SELECT 3' END AS sql FROM x""",
+    "l01_call_costs": f"""WITH {CALLS} SELECT model, process_id, seq, label, prompt_tokens, cached_tokens,
+          completion_tokens, input_tokens, {NANO_COSTS.format('')} FROM nano""",
+    "l02_usage_by_process": _usage("process_id"),
+    "l02_usage_by_model": _usage("model"),
+    "w04_running_costs": f"""WITH {CALLS}, t AS (SELECT process_id, seq,
+          input_nano + cached_nano + output_nano AS nano FROM nano)
+        SELECT process_id, seq, CAST(nano AS DOUBLE) / 1e9 AS total_cost,
+          CAST(sum(nano) OVER w AS DOUBLE) / 1e9 AS running_cost, count(*) OVER w AS running_calls
+        FROM t WINDOW w AS (PARTITION BY process_id ORDER BY seq)""",
+    "v01_vote": """WITH g AS (SELECT l_orderkey AS question_id,
+            '[{"n":' || CAST(l_quantity % 3 AS INTEGER) || '}]' AS result, count(*) AS votes,
+            min(l_linenumber) AS candidate_id
+          FROM lineitem WHERE l_returnflag <> 'R' GROUP BY 1, 2)
+        SELECT question_id, candidate_id, result, votes,
+          CAST(sum(votes) OVER (PARTITION BY question_id) AS BIGINT) AS successes,
+          count(*) OVER (PARTITION BY question_id) AS answers,
+          votes / CAST(sum(votes) OVER (PARTITION BY question_id) AS DOUBLE) AS confidence
+        FROM g QUALIFY row_number() OVER (PARTITION BY question_id
+          ORDER BY votes DESC, candidate_id, result) = 1""",
+    "st1_live_hourly": """SELECT date_trunc('hour', ts) AS hour_start,
+          'place ' || user_id % 7 AS location_name, count(*) AS orders,
+          CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS total_cents
+        FROM events WHERE event_type = 'purchase' GROUP BY 1, 2""",
+}
+
+
 def build() -> dict[str, str]:
-    sql = {name: over_silver(text) for name, text in {**GOLD, **RECIPES}.items()}
+    sql = {name: over_silver(text) for name, text in {**GOLD, **RECIPES, **OPERATORS}.items()}
     sql.update(PERIOD_SQL)
+    sql.update({name: over_docs(text) for name, text in EXPORTS.items()
+                if name != "q04_integrity_report"})
+    nested = EXPORTS["q04_integrity_report"].strip().removeprefix("WITH").lstrip()
+    cut = nested.index("SELECT *, expected = actual")
+    sql["q04_integrity_report"] = over_docs(nested[cut:], nested[:cut].strip())
+    for name, text in NAMES.items():
+        body = text.strip()
+        sql[name] = (over_names(body) if not body.startswith("WITH") else
+                     "WITH " + RAW.strip() + ", " + body.removeprefix("WITH").lstrip())
+    sql.update({name: text.strip() for name, text in {**PART_NAMES, **OTHERS}.items()})
     return sql

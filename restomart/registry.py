@@ -9,15 +9,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from restomart.plans import gold, recipes
-from restomart.sources.silver import Silver
-from restomart.sources.star_adapter import silver_from_star
+from restomart import fixed_values as V
+from restomart.functions import codes
+from restomart.functions.names import match_key, normalize_label, rule_match
+from restomart.functions.text import (
+    edit_distance, is_proper_case, lower_trim, normalize_category, normalize_product_name,
+)
+from restomart.operators import catalog as C
+from restomart.operators import orders as O
+from restomart.operators import quality as Q
+from restomart.operators import shape
+from restomart.operators.fuzzy import near_pairs
+from restomart.operators.locations import location_xref
+from restomart.operators.validate import validate_records
+from restomart.plans import conversations, gold, query_log, recipes, usage
+from restomart.session import shared_path
+from restomart.sources import star_exports as X
+from restomart.sources.exports import Exports, SquareExport
+from restomart.sources.silver import Silver, conform
+from restomart.sources.star_adapter import silver_from_star, table
+from restomart.sources.store import load_stats
+from restomart.streaming import live
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def plain(df: DataFrame) -> DataFrame:
-    """Scalar columns only, decimals as doubles, so engines print equal values alike."""
+    """Scalar columns only, decimals as doubles and times as UTC wall clock, so that engines
+    print equal values alike."""
     columns = []
     for field in df.schema.fields:
         if isinstance(field.dataType, (T.ArrayType, T.StructType, T.MapType)):
@@ -25,6 +44,9 @@ def plain(df: DataFrame) -> DataFrame:
         column = F.col(f"`{field.name}`")
         if isinstance(field.dataType, T.DecimalType):
             column = column.cast("double").alias(field.name)
+        elif isinstance(field.dataType, T.TimestampType):
+            utc = F.to_utc_timestamp(column, F.current_timezone())
+            column = utc.cast("timestamp_ntz").alias(field.name)
         columns.append(column)
     return df.select(*columns)
 
@@ -73,5 +95,380 @@ RECIPES: dict[str, Query] = {name: on_silver(build) for name, build in {
 }.items()}
 
 
+def _star(build: Callable[[SparkSession, str], DataFrame]) -> Query:
+    return lambda spark, sf_dir: plain(build(spark, sf_dir))
+
+
+def _xref(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return location_xref(silver_from_star(spark, sf_dir).locations)
+
+
+def _toast(spark: SparkSession, sf_dir: str):
+    return O.toast_rows(X.toast_documents(spark, sf_dir), _xref(spark, sf_dir), keep_raw=False)
+
+
+def _doordash(spark: SparkSession, sf_dir: str):
+    return O.doordash_rows(X.doordash_documents(spark, sf_dir), _xref(spark, sf_dir), keep_raw=False)
+
+
+def _square(spark: SparkSession, sf_dir: str):
+    return O.square_rows(
+        X.square_orders(spark, sf_dir), X.square_payments(spark, sf_dir),
+        X.square_catalog(spark, sf_dir), _xref(spark, sf_dir), keep_raw=False)
+
+
+def _toast_selections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = O.toast_selections(O.live_toast_orders(X.toast_documents(spark, sf_dir)), "guid")
+    return lines.select("guid", "check_no", "line_no",
+                        F.col("selection.displayName").alias("name"),
+                        F.size("selection.modifiers").alias("modifier_count"))
+
+
+def _stacked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = [conform(r.orders, "orders") for r in
+             (_toast(spark, sf_dir), _doordash(spark, sf_dir), _square(spark, sf_dir))]
+    every = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return every.groupBy("source", "order_type", "channel", "status").agg(
+        F.count(F.lit(1)).alias("orders"), F.sum("total_cents").alias("total_cents"))
+
+
+def _integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    exports = Exports(X.toast_documents(spark, sf_dir), X.doordash_documents(spark, sf_dir),
+                      SquareExport(None, X.square_catalog(spark, sf_dir),
+                                   X.square_orders(spark, sf_dir), X.square_payments(spark, sf_dir)))
+    rows = [_toast(spark, sf_dir), _doordash(spark, sf_dir), _square(spark, sf_dir)]
+    stack = lambda frames, t: conform(frames[0], t).unionByName(conform(frames[1], t)).unionByName(
+        conform(frames[2], t))
+    silver = Silver(orders=stack([r.orders for r in rows], "orders"),
+                    payments=stack([r.payments for r in rows], "payments"))
+    return Q.integrity_report(exports, silver)
+
+
+def _validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spec = {"guid": "string", "source": "string",
+            "checks": [{"amount": "bigint", "payments": [{"guid": "string", "cardType": "string"}]}]}
+    found = validate_records(X.toast_documents(spark, sf_dir), spec)
+    return found.groupBy("path", "message").agg(F.count(F.lit(1)).alias("violations"))
+
+
+EXPORTS: dict[str, Query] = {name: _star(build) for name, build in {
+    "p03_toast_selections": _toast_selections,
+    "p07_toast_orders": lambda s, d: _toast(s, d).orders,
+    "p10_toast_items": lambda s, d: _toast(s, d).items,
+    "p13_toast_payments": lambda s, d: _toast(s, d).payments,
+    "p08_doordash_orders": lambda s, d: _doordash(s, d).orders,
+    "p11_doordash_items": lambda s, d: _doordash(s, d).items,
+    "p14_doordash_payments": lambda s, d: _doordash(s, d).payments,
+    "p09_square_orders": lambda s, d: _square(s, d).orders,
+    "p12_square_items": lambda s, d: _square(s, d).items,
+    "p15_square_payments": lambda s, d: _square(s, d).payments,
+    "u01_stacked_orders": _stacked,
+    "q04_integrity_report": _integrity,
+    "s11_validation": _validation,
+}.items()}
+
+
+# Names ---------------------------------------------------------------------------------------
+
+def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.raw_names(spark, sf_dir).distinct()
+
+
+def _extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = C.name_features(_names(spark, sf_dir), X.STAR_NAMES)
+    tidy = df.withColumn("t", normalize_label("pattern_label", X.STAR_NAMES))
+    return tidy.select("original_name", "base", "text", F.col("t.label").alias("label"),
+                       F.col("t.kind").alias("kind"))
+
+
+def _ruled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _names(spark, sf_dir).withColumn("r", rule_match("original_name", X.STAR_NAMES))
+    return df.filter(F.col("r").isNotNull()).select("original_name", "r.rule", "r.label")
+
+
+def _star_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return silver_from_star(spark, sf_dir).products.select(
+        F.col("id").alias("product_id"), F.col("id").alias("product_rank"),
+        match_key("name", X.STAR_NAMES).alias("product_text"))
+
+
+def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = C.name_features(_names(spark, sf_dir), X.STAR_NAMES).select("text").distinct()
+    return C.find_products(names, _star_products(spark, sf_dir))
+
+
+def _near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = C.name_features(_names(spark, sf_dir), X.STAR_NAMES).select(
+        F.col("text").alias("probe_text")).distinct()
+    index = _star_products(spark, sf_dir).select(F.col("product_text").alias("index_text")).distinct()
+    return near_pairs(names, index, 3).select("probe_text", "index_text", "distance").distinct()
+
+
+def _first_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First part per lower-trimmed name."""
+    parts = silver_from_star(spark, sf_dir).products
+    return (parts.groupBy(lower_trim("name").alias("name_key"))
+            .agg(F.min("id").alias("first_id"), F.min_by("name", "id").alias("name")))
+
+
+def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct names in the order of their first sale."""
+    sold = X.raw_names(spark, sf_dir, "l_orderkey", "l_linenumber")
+    first = F.struct(F.lit(1), F.struct(F.lit(""), F.col("l_orderkey"), F.col("original_name")),
+                     F.lit(0), F.col("l_linenumber")).cast(C.FIRST)
+    none = F.lit(None).cast("string")
+    return sold.groupBy("original_name").agg(F.min(first).alias("first")).select(
+        "first", F.lit("toast").alias("source"), F.col("original_name").alias("source_id"),
+        "original_name", none.alias("category_id"), none.alias("description"),
+        none.alias("category_name"), F.lit(None).cast(C.NO_VARIATIONS).alias("variations"))
+
+
+def _grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.assign_groups(_candidates(spark, sf_dir), X.STAR_NAMES).select(
+        "original_name", "rank", "group_rank")
+
+
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part names as labels of their brand: near spellings become one."""
+    names = table(spark, sf_dir, "part").select(
+        F.col("p_brand").alias("product_id"), F.col("p_partkey").alias("rank"),
+        F.lit(0).alias("position"), F.col("p_name").alias("label"), F.lit("size").alias("kind"),
+        F.col("p_name").alias("source_raw_name"))
+    return C.unify_labels(names).variations.select("product_id", "name", "source_raw_name")
+
+
+def _categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = table(spark, sf_dir, "part").select(F.concat(
+        F.lit("\U0001F354 "), "p_type", F.lit("  & "), F.upper("p_brand"), F.lit(" ")).alias("raw"),
+        "p_partkey")
+    return (raw.withColumn("category", normalize_category("raw")).groupBy("category")
+            .agg(F.min("p_partkey").alias("first_part")))
+
+
+NAMES: dict[str, Query] = {name: _star(build) for name, build in {
+    "n01_name_features": _extracted,
+    "n05_find_products": _found,
+    "n06_rule_match": _ruled,
+    "n11_labels": _labels,
+    "n12_near_pairs": _near,
+    "n13_product_groups": _grouped,
+    "n16_categories": _categories,
+    "w01_first_names": _first_names,
+}.items()}
+
+
+# Silver operators, quality, shaping ----------------------------------------------------------
+
+def _order_pairs(s: Silver) -> DataFrame:
+    """Orders with their payments, kept orders only."""
+    keys = s.orders.select(F.col("id").alias("_o"), "source", "total_cents")
+    return s.payments.join(keys, F.col("order_id") == F.col("_o")).groupBy("source").agg(
+        F.count(F.lit(1)).alias("payments"), F.sum("amount_cents").alias("amount_cents"),
+        F.sum("total_cents").alias("total_cents"))
+
+
+def _with_items(s: Silver) -> DataFrame:
+    return s.orders.join(s.order_items.select(F.col("order_id").alias("_o")),
+                         F.col("id") == F.col("_o"), "left_semi").select("id", "source")
+
+
+def _places(s: Silver) -> DataFrame:
+    """Orders found by the id their source uses for a location."""
+    prefix = F.element_at(F.create_map(F.lit("toast"), F.lit("t"), F.lit("doordash"), F.lit("d"),
+                                       F.lit("square"), F.lit("s")), F.col("source"))
+    orders = s.orders.select("id", F.concat(prefix, F.col("location_id").cast("string")).alias("place"))
+    return O.with_location(orders, "place", location_xref(s.locations)).groupBy("location_id").agg(
+        F.count(F.lit(1)).alias("orders"))
+
+
+def _chart(s: Silver) -> DataFrame:
+    """Cents to dollars and pie columns on a per-channel result."""
+    df = s.orders.groupBy("channel").agg(
+        F.sum("total_cents").alias("total_cents"),
+        F.count(F.lit(1)).cast("string").alias("order_count"))
+    kinds = shape.ColumnKinds(["total_cents", "order_count"], ["channel"])
+    return shape.format_for_chart(df, shape.choose_axes(df.columns, kinds, "pie"), kinds)
+
+
+def _long(s: Silver) -> DataFrame:
+    df = s.orders.agg(F.sum("total_cents").alias("total_cents"), F.sum("tip_cents").alias("tip_cents"),
+                      F.count(F.lit(1)).alias("order_count"))
+    return shape.wide_to_long(df, df.columns)
+
+
+def _display(s: Silver) -> DataFrame:
+    return shape.display_text(s.orders.select("id", "is_catering", "tip_cents", "channel"))
+
+
+def _deleted(s: Silver) -> DataFrame:
+    left = Q.delete_orders(s, s.orders.filter(F.col("status") == "cancelled"))
+    return load_stats({"orders": left.orders, "order_items": left.order_items,
+                       "payments": left.payments})
+
+
+def _defaults(s: Silver) -> DataFrame:
+    return Q.with_defaults(s.orders, "orders").groupBy("source").agg(
+        *[F.sum(c).alias(c) for c in ("tax_cents", "tip_cents", "commission_cents")],
+        F.count(F.when(~F.col("is_catering"), 1)).alias("not_catering"))
+
+
+def _duplicates(s: Silver) -> DataFrame:
+    return Q.duplicate_keys(s.product_aliases, ["raw_name", "source"])
+
+
+OPERATORS: dict[str, Query] = {name: on_silver(build) for name, build in {
+    "a09_data_range": recipes.data_range,
+    "a10_location_names": lambda s: recipes.distinct_names(s.locations),
+    "a10_category_names": lambda s: recipes.distinct_names(s.categories),
+    "c03_chart_values": _chart,
+    "c05_wide_to_long": _long,
+    "c08_display_text": _display,
+    "j04_orders_by_place_id": _places,
+    "j06_order_payments": _order_pairs,
+    "j12_orders_with_items": _with_items,
+    "j13_orders_without_payment":
+        lambda s: Q.orders_without_payment(s.orders, s.payments).select("id", "source"),
+    "p20_location_match":
+        lambda s: s.locations.filter(F.col("name").ilike("%NATION_2%")).select("id", "name"),
+    "p21_beverage_products": lambda s: s.products.join(
+        s.categories.filter(F.col("name").rlike("(?i)promo|small")).select(
+            F.col("id").alias("category_id")), "category_id", "left_semi").select("id", "name"),
+    "q03_payment_coverage": lambda s: Q.payment_coverage(s.orders, s.payments),
+    "q06_duplicate_aliases": _duplicates,
+    "q07_orphans": lambda s: Q.reference_rule_counts(s.tables()),
+    "q08_row_rules": lambda s: Q.row_rule_counts(s.tables()),
+    "q09_defaults": _defaults,
+    "q10_cascading_delete": _deleted,
+    "s08_load_stats": lambda s: load_stats(s.tables()),
+}.items()}
+
+
+def _codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = table(spark, sf_dir, "orders").select(
+        "o_orderkey", F.element_at(F.array(*[F.lit(x) for x in (
+            "DINE_IN", "TAKE_OUT", "DELIVERY", "PICKUP", "Curbside", "CARD", "Cash", "AMERICAN_EXPRESS",
+            "", "POS", "THIRD_PARTY", "Shop Online")]), (1 + F.col("o_orderkey") % 12).cast("int"))
+        .alias("code"))
+    return raw.select(
+        "o_orderkey", codes.toast_order_type("code").alias("toast_type"),
+        codes.toast_channel("code").alias("toast_channel"),
+        codes.doordash_order_type("code").alias("doordash_type"),
+        codes.square_order_type("code").alias("square_type"),
+        codes.square_channel("code").alias("square_channel"),
+        codes.payment_type("code").alias("payment"), codes.card_brand("code").alias("brand"))
+
+
+def _distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", edit_distance("p_name", "p_type").alias("distance"),
+        edit_distance("p_name", "p_type", 9).alias("bounded"),
+        is_proper_case("p_name").alias("proper"),
+        normalize_product_name(F.concat("p_type", F.lit("  "), "p_name")).alias("clean"),
+        F.try_divide("p_retailprice", F.col("p_size") - 11).alias("ratio"))
+
+
+SCALARS: dict[str, Query] = {name: _star(build) for name, build in {
+    "f01_codes": _codes, "f09_text": _distances}.items()}
+
+
+# Conversations, usage, query log, live -------------------------------------------------------
+
+def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").alias("conversation_id"), F.col("turn").alias("created_at"), "role",
+        F.col("text").alias("content"))
+
+
+def _captured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turn = F.col("turn")
+    return table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").alias("conversation_id"), "turn",
+        F.when(turn % 3 != 0, F.substr("text", F.lit(1), F.lit(20))).otherwise("  ").alias("partial"),
+        F.when(turn % 2 == 0, F.col("text")).otherwise("").alias("streamed"),
+        F.when(turn % 5 == 0, '[{"type":"bar"}]').when(turn % 5 == 1, "[]").alias("charts"))
+
+
+def _calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = F.length("text")
+    model = F.element_at(F.array(*[F.lit(m[0]) for m in V.MODEL_PRICES]),
+                         (1 + (F.col("conv_id") + F.col("turn")) % 3).cast("int"))
+    return table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").alias("process_id"), F.col("turn").alias("seq"), model.alias("model"),
+        F.concat(F.lit("step "), F.col("turn") % 4).alias("label"), size.alias("prompt_tokens"),
+        F.when(F.col("turn") % 2 == 0, F.floor(size / 3)).alias("cached_tokens"),
+        F.floor(size / 2).alias("completion_tokens"))
+
+
+def _costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return usage.call_costs(_calls(spark, sf_dir), usage.price_table(spark))
+
+
+def _statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shapes = ["SELECT updated_at, note FROM t -- ", "WITH x AS (SELECT 1) SELECT * FROM x; ",
+              "drop table orders ", "SELECT 1; DELETE FROM orders ", " select created_by from log ",
+              "Update t SET a = 1; insert into t VALUES (2) "]
+    pick = F.element_at(F.array(*[F.lit(x) for x in shapes]),
+                        (1 + (F.col("conv_id") + F.col("turn")) % 6).cast("int"))
+    return table(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", F.concat(pick, F.regexp_replace("text", "[^A-Za-z ]", "")).alias("sql"))
+
+
+def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Generated answers with fences, remarks and semicolons around the statement."""
+    word = F.regexp_replace(F.substr("text", F.lit(1), F.lit(30)), "[^A-Za-z ]", "x")
+    fence = F.lit("`" * 3)
+    return table(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", F.element_at(F.array(
+            F.concat(fence, F.lit("sql\nSELECT '"), word, F.lit("'\nFROM t;\n"), fence),
+            F.concat(F.lit("name FROM t WHERE a = '"), word, F.lit("' ;\nNote: "), word),
+            F.concat(F.lit("WITH a AS (SELECT 1)\n-- select "), word, F.lit("\nSELECT 2\nExplanation: x")),
+            F.concat(F.lit("SELECT 3\n-- note: "), word, F.lit("\nFROM u"))),
+            (1 + (F.col("conv_id") + F.col("turn")) % 4).cast("int")).alias("raw"))
+
+
+def _votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem")
+    number = F.col("l_linenumber")
+    return query_log.vote(lines.select(
+        F.col("l_orderkey").alias("question_id"), number.alias("candidate_id"),
+        F.concat(F.lit("SELECT "), number).alias("sql"),
+        F.concat(F.lit('[{"n":'), (F.col("l_quantity") % 3).cast("int"), F.lit("}]")).alias("result"),
+        F.when(F.col("l_returnflag") == "R", "failed").alias("error"))).drop("sql")
+
+
+def _live(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Purchases as live orders: streamed hour by hour, then read back."""
+    events = (spark.readStream.schema(table(spark, sf_dir, "events").schema)
+              .option("pathGlobFilter", "events.parquet").parquet(sf_dir))
+    orders = events.filter(F.col("event_type") == "purchase").select(
+        F.col("ts").cast("timestamp").alias("created_at"),
+        F.concat(F.lit("place "), F.col("user_id") % 7).alias("location_name"),
+        F.round(F.col("value") * 100).cast("bigint").alias("total_cents"))
+    out = shared_path(spark, "hourly")
+    live.start_hourly(orders, out, shared_path(spark, "hourly-state")).awaitTermination()
+    found = live.latest_updates(spark, out, ["hour_start", "location_name"])
+    return found.withColumn("hour_start", F.col("hour_start").cast("timestamp_ntz"))
+
+
+LOGS: dict[str, Query] = {name: _star(build) for name, build in {
+    "h01_conversation_list": lambda s, d: conversations.list_conversations(_messages(s, d)),
+    "h02_conversation_messages":
+        lambda s, d: conversations.conversation_messages(_messages(s, d), 7),
+    "h04_history_lines": lambda s, d: conversations.history_lines(_messages(s, d)),
+    "h05_stored_answers": lambda s, d: conversations.stored_answers(_captured(s, d)),
+    "k01_audit": lambda s, d: query_log.audit(_statements(s, d)),
+    "k01_offending_keywords": lambda s, d: query_log.offending_keywords(_statements(s, d)),
+    "k02_clean_statements": lambda s, d: _answers(s, d).select(
+        "conv_id", "turn", query_log.clean_statement("raw").alias("sql")),
+    "l01_call_costs": _costs,
+    "l02_usage_by_process": lambda s, d: usage.usage_totals(_costs(s, d), "process_id"),
+    "l02_usage_by_model": lambda s, d: usage.usage_totals(_costs(s, d), "model"),
+    "v01_vote": _votes,
+    "w04_running_costs": lambda s, d: usage.running_costs(_costs(s, d)).select(
+        "process_id", "seq", "total_cost", "running_cost", "running_calls"),
+    "st1_live_hourly": _live,
+}.items()}
+
+
 def all_queries() -> dict[str, Query]:
-    return {**MARTS, **RECIPES}
+    return {**MARTS, **RECIPES, **EXPORTS, **NAMES, **OPERATORS, **SCALARS, **LOGS}
