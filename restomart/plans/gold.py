@@ -30,10 +30,17 @@ class Scope:
     location: str | None = None
 
     def on_time(self, df: DataFrame, column: str = "created_at") -> DataFrame:
+        # Stored orders lie in date folders; one day of slack covers any session time zone.
+        folders = "order_date" in df.columns and column == "created_at"
+        day = dt.timedelta(days=1)
         if self.date_from is not None:
             df = df.filter(F.col(column) >= F.lit(self.date_from))
+            if folders:
+                df = df.filter(F.col("order_date") >= F.lit(self.date_from - day))
         if self.date_to is not None:
-            df = df.filter(F.col(column) < F.lit(self.date_to + dt.timedelta(days=1)))
+            df = df.filter(F.col(column) < F.lit(self.date_to + day))
+            if folders:
+                df = df.filter(F.col("order_date") <= F.lit(self.date_to + day))
         return df
 
     def on_place(self, df: DataFrame, column: str = "location_name") -> DataFrame:

@@ -13,6 +13,7 @@ def spark():
     session = build_session("restomart-tests", **{
         "spark.master": "local[4]", "spark.sql.shuffle.partitions": "4",
         "spark.default.parallelism": "4", "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "6g",
     })
     session.sparkContext.setLogLevel("ERROR")
@@ -22,4 +23,4 @@ def spark():
 
 @pytest.fixture(scope="session")
 def sf_dir():
-    return os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
+    return os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")

