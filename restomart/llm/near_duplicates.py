@@ -91,16 +91,16 @@ def _set_key(shingles: np.ndarray) -> str:
 
 
 def _sketches(width: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for part in parts:
             sizes, keys, bands = [], [], []
-            for text in batch["content"]:
+            for text in part:
                 shingles = shingle_set(text, width)
                 sizes.append(len(shingles))
                 keys.append(_set_key(shingles) if len(shingles) else None)
                 bands.append(_band_keys(sketch(shingles)).view(np.int64) if len(shingles) else None)
-            yield pd.DataFrame({"id": batch["id"], "n_shingles": sizes, "set_key": keys, "bands": bands})
-    return run
+            yield pd.DataFrame({"n_shingles": sizes, "set_key": keys, "bands": bands})
+    return F.pandas_udf(run, "n_shingles long, set_key string, bands array<long>")
 
 
 def _confirm(width: int, percent: int):
@@ -214,9 +214,8 @@ def near_duplicates(messages: DataFrame, width: int = SHINGLE_WORDS, percent: in
     links; its component is that of the others, or null (and kept) where no member has an id.
     Other columns are ignored. An empty table gives an empty result.
     """
-    id_type = messages.schema["id"].dataType.simpleString()
-    rows = materialize(contents(messages).mapInPandas(
-        _sketches(width), f"id {id_type}, n_shingles long, set_key string, bands array<long>"), "sketches")
+    rows = materialize(contents(messages).select("id", _sketches(width)("content").alias("found"))
+                       .select("id", "found.*"), "sketches")
     classes = rows.filter("set_key is not null").groupBy("set_key").agg(
         F.min("id").alias("first_id"), F.any_value("n_shingles").alias("n_shingles"),
         F.any_value("bands").alias("bands"))

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from restomart.llm.language import identify_language
 from restomart.llm.near_duplicates import near_duplicates
+from restomart.llm.packing import pack_messages
+from restomart.llm.quality import score_quality
+from restomart.llm.token_counts import message_tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,11 +22,51 @@ def as_messages(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
 
 
+def _fold(folds: int):
+    """Remainder of the id's checksum; null for a null id."""
+    return F.crc32(F.col("doc_id").cast("string")) % folds
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    examples = documents.filter(_fold(4) != 2).select(
+        F.col("text").alias("content"), F.col("lang").alias("language"))
+    return identify_language(as_messages(documents), examples).select(
+        F.col("id").alias("doc_id"),
+        F.coalesce(F.crc32(F.col("id").cast("string")) % 4 == 2, F.lit(False)).alias("held_out"),
+        F.col("language").alias("lang_pred"), "score")
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = pack_messages(as_messages(_table(spark, sf_dir, "documents")),
+                           public_tokenizers.path("byte_bpe_50k.json"))
+    return packed.withColumnRenamed("id", "doc_id")
+
+
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(as_messages(_table(spark, sf_dir, "documents")), width=4)
     return found.withColumnRenamed("id", "doc_id")
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = message_tokens(as_messages(_table(spark, sf_dir, "documents")),
+                             public_tokenizers.path("piece_bpe_32k.model"))
+    return counted.withColumnRenamed("id", "doc_id")
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    learnt = _table(spark, sf_dir, "labels").filter(_fold(5) != 0).select(
+        F.col("doc_id").alias("id"), "quality")
+    return score_quality(as_messages(_table(spark, sf_dir, "documents")), learnt).select(
+        F.col("id").alias("doc_id"),
+        F.coalesce(F.crc32(F.col("id").cast("string")) % 5 == 0, F.lit(False)).alias("held_out"),
+        "score", "predicted")
+
+
 QUERIES = {
+    "op4_language_id": op4_language_id,
+    "op5_packing": op5_packing,
     "op6_near_duplicates": op6_near_duplicates,
+    "op8_token_counts": op8_token_counts,
+    "op9_quality": op9_quality,
 }
