@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from restomart.llm.language import identify_language
 from restomart.llm.near_duplicates import near_duplicates
+from restomart.llm.nearest import nearest_vectors
 from restomart.llm.packing import pack_messages
 from restomart.llm.quality import score_quality
 from restomart.llm.token_counts import message_tokens
@@ -63,10 +64,17 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "score", "predicted")
 
 
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return nearest_vectors(vectors, vectors.filter("id % 20 = 0")).withColumnRenamed("id", "vec_id")
+
+
 QUERIES = {
     "op4_language_id": op4_language_id,
     "op5_packing": op5_packing,
     "op6_near_duplicates": op6_near_duplicates,
     "op8_token_counts": op8_token_counts,
     "op9_quality": op9_quality,
+    "op10_nearest_neighbours": op10_nearest_neighbours,
 }
