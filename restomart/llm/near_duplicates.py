@@ -21,7 +21,7 @@ HASHED_WORDS = 400_000  # word hashes that one Python worker remembers
 PROBE_ROUNDS = 1024
 FINE_SKETCHES = 4  # further sketches of BINS bins for what the stars leave open
 FINE_SLACK = 4.5  # standard deviations below the asked similarity
-BLOCK_ROWS = 256
+BLOCK_ROWS = 1024
 
 _ODD = np.random.default_rng(20).integers(1 << 62, 1 << 63, 64, dtype=np.uint64) * 2 + 1
 _PROBES = np.random.default_rng(21).integers(0, BINS, (PROBE_ROUNDS, BINS))
