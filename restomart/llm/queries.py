@@ -6,12 +6,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from restomart.llm.html import extract_main_text
 from restomart.llm.language import identify_language
 from restomart.llm.near_duplicates import near_duplicates
 from restomart.llm.nearest import nearest_vectors
 from restomart.llm.packing import pack_messages
 from restomart.llm.quality import score_quality
 from restomart.llm.token_counts import message_tokens
+from restomart.llm.warc import read_records, write_archives
+from restomart.session import shared_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +26,16 @@ def as_messages(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(_table(spark, sf_dir, "pages"))
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = shared_path(spark, "warc")
+    index = write_archives(_table(spark, sf_dir, "pages"), root=root)
+    return read_records(index, root).drop("payload")
+
+
 def _fold(folds: int):
     """Remainder of the id's checksum; null for a null id."""
     return F.crc32(F.col("doc_id").cast("string")) % folds
@@ -71,6 +84,8 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_html_text": op2_html_text,
+    "op3_warc": op3_warc,
     "op4_language_id": op4_language_id,
     "op5_packing": op5_packing,
     "op6_near_duplicates": op6_near_duplicates,
