@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from restomart.llm.contamination import find_contamination
 from restomart.llm.html import extract_main_text
 from restomart.llm.language import identify_language
 from restomart.llm.near_duplicates import near_duplicates
@@ -62,6 +63,15 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id")
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    questions = _table(spark, sf_dir, "benchmark").select(
+        F.col("item_id").alias("id"), F.col("text").alias("content"))
+    found = find_contamination(as_messages(_table(spark, sf_dir, "documents")), questions)
+    return found.select(
+        F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated", "n_near")
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = message_tokens(as_messages(_table(spark, sf_dir, "documents")),
                              public_tokenizers.path("piece_bpe_32k.model"))
@@ -89,6 +99,7 @@ QUERIES = {
     "op4_language_id": op4_language_id,
     "op5_packing": op5_packing,
     "op6_near_duplicates": op6_near_duplicates,
+    "op7_decontamination": op7_decontamination,
     "op8_token_counts": op8_token_counts,
     "op9_quality": op9_quality,
     "op10_nearest_neighbours": op10_nearest_neighbours,
