@@ -12,6 +12,7 @@ from restomart.llm.language import identify_language
 from restomart.llm.near_duplicates import near_duplicates
 from restomart.llm.nearest import nearest_vectors
 from restomart.llm.packing import pack_messages
+from restomart.llm.pii import KINDS, find_personal_data, fit_detector, spans_text
 from restomart.llm.quality import score_quality
 from restomart.llm.token_counts import message_tokens
 from restomart.llm.warc import read_records, write_archives
@@ -27,6 +28,17 @@ def as_messages(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    messages = as_messages(_table(spark, sf_dir, "documents"))
+    found = find_personal_data(messages, fit_detector(messages)).drop("content")
+    count = lambda i: F.size(F.filter("base", lambda s: s["kind"] == i)).cast("long")
+    return found.select(
+        F.col("id").alias("doc_id"), *[count(i).alias(f"n_{k}") for i, k in enumerate(KINDS)],
+        F.sha2(spans_text(F.col("base")), 256).alias("base_sha256"),
+        spans_text(F.array_sort(F.concat("base", "added"))).alias("spans"),
+        F.size("added").cast("long").alias("n_added"))
+
+
 def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(_table(spark, sf_dir, "pages"))
 
@@ -94,6 +106,7 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_pii": op1_pii,
     "op2_html_text": op2_html_text,
     "op3_warc": op3_warc,
     "op4_language_id": op4_language_id,
