@@ -15,7 +15,7 @@ from restomart.llm.common import contents, materialize
 from restomart.llm.bin_completion import complete_bins
 
 END_ID = 2
-RANK_ROWS = 20_000  # rows that one window of equal lengths orders
+RANK_ROWS = 5_000  # rows that one window of equal lengths orders
 REMEMBERED = 500_000  # words whose ids one Python worker remembers
 
 # Fixed value: the byte-level vocabulary's own pre-token pattern.
@@ -121,7 +121,7 @@ def pack_messages(messages: DataFrame, tokenizer: str, capacity: int = 1024,
     """
     cut = _pieces(tokenizer, capacity, end_id)
     pieces = materialize(contents(messages).select("id", cut("content").alias("pieces"))
-                         .select("id", F.inline("pieces")), "pieces")
+                         .select("id", F.inline_outer("pieces")), "pieces")
     spark = pieces.sparkSession
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     plan = spark.createDataFrame(
