@@ -171,17 +171,8 @@ def fit_language(examples: DataFrame, train_rows: int = TRAIN_ROWS, rounds: int
     return LanguageModel(languages, scaled.astype(np.float32), w[BUCKETS], float(temperature))
 
 
-def identify_language(messages: DataFrame, examples: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """Language of every message (``id``, ``content``), learnt from ``examples``.
-
-    Gives per row ``id``, ``language`` (one of the learnt values) and ``score``, its calibrated
-    probability. Only the content decides, and all of it. Null content or content without a letter
-    is ``und`` with score 1; so is every message, with score 0, if nothing could be learnt.
-    Repeated rows and null ids stay as they are; other columns are ignored; an empty table gives
-    an empty result.
-    """
-    model = fit_language(examples, train_rows)
-
+def language_udf(model: LanguageModel | None):
+    """A column function from content to ``language`` and ``score``."""
     def predict(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for part in parts:
             texts = part.tolist()
@@ -199,5 +190,17 @@ def identify_language(messages: DataFrame, examples: DataFrame, train_rows: int
                 scores[now] = p.max(axis=1)
             yield pd.DataFrame({"language": names, "score": scores})
 
-    found = F.pandas_udf(predict, "language string, score double")
+    return F.pandas_udf(predict, "language string, score double")
+
+
+def identify_language(messages: DataFrame, examples: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """Language of every message (``id``, ``content``), learnt from ``examples``.
+
+    Gives per row ``id``, ``language`` (one of the learnt values) and ``score``, its calibrated
+    probability. Only the content decides, and all of it. Null content or content without a letter
+    is ``und`` with score 1; so is every message, with score 0, if nothing could be learnt.
+    Repeated rows and null ids stay as they are; other columns are ignored; an empty table gives
+    an empty result.
+    """
+    found = language_udf(fit_language(examples, train_rows))
     return contents(messages).select("id", found("content").alias("found")).select("id", "found.*")
