@@ -57,18 +57,21 @@ def positional_index(messages: DataFrame, vocabulary: DataFrame) -> DataFrame:
         _small(vocabulary), "word").select("id", "copy", "pos", "word"), "postings")
 
 
-def rarest_pairs(items: DataFrame, postings: DataFrame, window: int) -> DataFrame:
+def rarest_pairs(items: DataFrame, postings: DataFrame, window: int, slack: int) -> DataFrame:
     """Places ``a`` and ``b`` in a question of the rarest and second rarest term of its windows, by
-    frequency in the whole index. A question shorter than ``window`` is one window."""
+    frequency in the whole index. A question shorter than ``window`` is one window. Windows of
+    which more than ``slack`` terms are in no message are left out."""
     frequency = postings.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     terms = items.select("question", F.size("words").alias("size"), F.posexplode("words").alias("p", "word"))
     terms = terms.join(frequency, "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     ahead = Window.partitionBy("question").orderBy("p").rowsBetween(0, window - 1)
-    ranked = terms.withColumn("near", F.array_sort(F.collect_list(F.struct("n", "p", "word")).over(ahead)))
-    ranked = ranked.filter(F.col("p") <= F.greatest(F.lit(0), F.col("size") - window))
+    ranked = terms.withColumn("near", F.filter(F.array_sort(F.collect_list(
+        F.struct("n", "p", "word")).over(ahead)), lambda t: t["n"] > 0))
+    ranked = ranked.filter((F.col("p") <= F.greatest(F.lit(0), F.col("size") - window)) & (
+        F.size("near") >= F.greatest(F.lit(1), F.least(F.col("size"), F.lit(window)) - slack)))
     first = F.element_at("near", 1)
     second = F.coalesce(F.get("near", F.lit(1)), first)
-    return ranked.filter(first["n"] > 0).select(
+    return ranked.select(
         "question", first["p"].alias("a"), first["word"].alias("a_word"), second["p"].alias("b"),
         second["word"].alias("b_word")).distinct()
 
@@ -107,7 +110,7 @@ def find_contamination(messages: DataFrame, questions: DataFrame, window: int =
     items = materialize(question_words(questions), "questions")
     vocabulary = materialize(items.select(F.explode("words").alias("word")).distinct(), "vocabulary")
     postings = positional_index(messages, vocabulary)
-    pairs = materialize(rarest_pairs(items, postings, window), "rarest")
+    pairs = materialize(rarest_pairs(items, postings, window, slack), "rarest")
 
     doc = ["id", "copy"]
     start = F.col("pos") - F.col("a")
