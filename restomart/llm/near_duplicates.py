@@ -19,8 +19,7 @@ BINS = 128
 BAND_ROWS = 4
 HASHED_WORDS = 400_000  # word hashes that one Python worker remembers
 PROBE_ROUNDS = 1024
-FINE_SKETCHES = 4  # further sketches of BINS bins for what the stars leave open
-FINE_SLACK = 4.5  # standard deviations below the asked similarity
+SKETCH_SLACK = 4.5  # standard deviations below the asked similarity that a sketch may show
 BLOCK_ROWS = 1024
 
 _ODD = np.random.default_rng(20).integers(1 << 62, 1 << 63, 64, dtype=np.uint64) * 2 + 1
@@ -62,11 +61,9 @@ def shingle_set(text: str, width: int = SHINGLE_WORDS) -> np.ndarray:
     return np.unique(_mix(total))
 
 
-def sketch(shingles: np.ndarray, sort: bool = False) -> np.ndarray:
+def sketch(shingles: np.ndarray) -> np.ndarray:
     """One minimum per bin of a single permutation; an empty bin takes that of the first full bin
     in its own random sequence of bins, so bins of two sets agree with the sets' similarity."""
-    if sort:
-        shingles = np.sort(shingles)
     at = np.searchsorted(shingles, _EDGES)
     full = np.append(at[1:], len(shingles)) > at
     out = np.where(full, shingles[np.minimum(at, len(shingles) - 1)], np.uint64(0))
@@ -129,34 +126,35 @@ def _texts(width: int):
     return run
 
 
-def _fine_sketches(width: int):
-    """Per text 16 bits of each bin of a finer sketch, and its band keys."""
+def _short_sets(width: int):
+    """Per text 16 bits of each bin of its sketch, its band keys, and its set in 32-bit hashes."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            fine, bands = [], []
-            for text in batch["content"]:
+            out = []
+            for key, text in zip(batch["set_key"], batch["content"]):
                 shingles = shingle_set(text, width)
-                parts = [sketch(_mix(shingles + _ODD[24 + i]), sort=True) for i in range(FINE_SKETCHES)]
-                fine.append(np.concatenate(parts).astype(np.uint16).tobytes())
-                bands.append(_band_keys(sketch(shingles)).tobytes())
-            yield pd.DataFrame({"set_key": batch["set_key"], "fine": fine, "bands": bands})
+                bins = sketch(shingles)
+                out.append((key, bins.astype(np.uint16).tobytes(), _band_keys(bins).tobytes(),
+                            np.unique(shingles.astype(np.uint32)).tobytes()))
+            yield pd.DataFrame(out, columns=["set_key", "bins", "bands", "short"])
     return run
 
 
 def _block_pairs(percent: int):
-    """Pairs within each block pair of a bucket that may be similar enough: from different
-    components, of fitting sizes, near by the finer sketch, and in no earlier common bucket.
+    """Similar pairs within each block pair of a bucket: from different components, of fitting sizes,
+    near by their sketches, in no earlier common bucket, and similar by their short sets.
 
-    Rows come sorted by bucket and block pair; a group may run over several batches.
+    Short hashes can only make two sets look more alike: what they merge within a set is added to
+    what is shared. Rows come sorted by bucket and block pair; a group may run over several batches.
     """
-    bins = FINE_SKETCHES * BINS
     share = percent / 100
-    least = int(bins * (share - FINE_SLACK * np.sqrt(share * (1 - share) / bins)))
+    least = int(BINS * (share - SKETCH_SLACK * np.sqrt(share * (1 - share) / BINS)))
 
     def pairs(group: pd.DataFrame, a: list, b: list) -> None:
         group = group.sort_values(["block", "set_key"])
-        fine = np.stack([np.frombuffer(x, np.uint16) for x in group["fine"]])
+        bins = np.stack([np.frombuffer(x, np.uint16) for x in group["bins"]])
         bands = np.stack([np.frombuffer(x, np.int64) for x in group["bands"]])
+        short = [np.frombuffer(x, np.uint32) for x in group["short"]]
         keys, component = group["set_key"].to_numpy(), group["component"].to_numpy()
         size, block = group["n_shingles"].to_numpy(), group["block"].to_numpy()
         one, two = group["left"].iat[0], group["right"].iat[0]
@@ -166,9 +164,12 @@ def _block_pairs(percent: int):
             mates &= 100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i])
             mates = np.flatnonzero(mates)
             mates = mates[(bands[mates, :here] != bands[i, :here]).all(axis=1)]
-            mates = mates[(fine[mates] == fine[i]).sum(axis=1) >= least]
-            a += [keys[i]] * len(mates)
-            b += keys[mates].tolist()
+            for j in mates[(bins[mates] == bins[i]).sum(axis=1) >= least]:
+                merged = max(size[i] - len(short[i]), size[j] - len(short[j]))
+                shared = merged + len(np.intersect1d(short[i], short[j], assume_unique=True))
+                if 100 * shared >= percent * (size[i] + size[j] - shared):
+                    a.append(keys[i])
+                    b.append(keys[j])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
@@ -205,9 +206,9 @@ def near_duplicates(messages: DataFrame, width: int = SHINGLE_WORDS, percent: in
     Messages of the same set are one class from the start. Classes whose sketches agree in a band
     share a bucket; in each bucket only the links to one centre are tried, so candidates grow with
     the rows. Buckets that still hold several components afterwards are compared in blocks of
-    bounded size by a finer sketch. All links are confirmed on full sets. 128 bins in 32 bands miss
-    a pair of similarity 0.8 with probability 5e-8; the finer sketch allows ``FINE_SLACK`` standard
-    deviations.
+    bounded size, by sketches and then by short hashes of their sets, and give only similar pairs. All
+    links are confirmed on full sets. 128 bins in 32 bands miss a pair of similarity 0.8 with
+    probability 5e-8; the sketches allow ``SKETCH_SLACK`` standard deviations.
 
     Null or blank content has no shingles and is linked with nothing. Repeated rows link with each
     other and share a component; rows of one id have one ``kept`` value. A null id takes part in
@@ -244,12 +245,12 @@ def near_duplicates(messages: DataFrame, width: int = SHINGLE_WORDS, percent: in
     ).filter("low <> high").select("bucket", F.ceil(F.col("size") / BLOCK_ROWS).cast("int").alias("blocks"))
     rest = labelled.join(mixed, "bucket").withColumn(
         "block", F.pmod(F.xxhash64("set_key", "bucket"), "blocks").cast("int"))
-    fine = texts.join(rest.select("set_key").distinct(), "set_key", "left_semi").mapInPandas(
-        _fine_sketches(width), "set_key string, fine binary, bands binary")
+    short = texts.join(rest.select("set_key").distinct(), "set_key", "left_semi").mapInPandas(
+        _short_sets(width), "set_key string, bins binary, bands binary, short binary")
     paired = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "*", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"))
-    pairs = paired.join(fine, "set_key").select(
-        "bucket", "set_key", "n_shingles", "component", "block", "left", "right", "fine", "bands",
+    pairs = paired.join(short, "set_key").select(
+        "bucket", "set_key", "n_shingles", "component", "block", "left", "right", "bins", "bands", "short",
     ).repartition("bucket", "left", "right").sortWithinPartitions("bucket", "left", "right").mapInPandas(
         _block_pairs(percent), "a string, b string")
     more = _confirmed(materialize(pairs.distinct(), "block-pairs"), texts, width, percent)
