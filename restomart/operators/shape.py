@@ -30,8 +30,12 @@ def _quoted(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
+# Fixed value: what reads as a number. A cast alone would also take 1d or 1f.
+NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+
+
 def _reads_as_number(column: Column) -> Column:
-    return (F.trim(column) == "") | column.try_cast("double").isNotNull()
+    return (F.trim(column) == "") | F.trim(column).rlike(NUMBER)
 
 
 def classify(df: DataFrame) -> ColumnKinds:

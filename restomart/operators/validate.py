@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from restomart.sources.export_specs import RECORDS
-from restomart.sources.exports import CORRUPT, read_records
+from restomart.sources.exports import CORRUPT, Exports, read_exports, read_records
 
 PROBLEM = "struct<path: string, message: string>"
 # Type names in messages.
@@ -63,6 +63,31 @@ def validate_records(df: DataFrame, spec: dict) -> DataFrame:
             .select("file", "record", "p.path", "p.message"))
 
 
+class InvalidExports(ValueError):
+    """Exports that do not fit their declaration; ``counts`` has (file, path, message, violations)."""
+
+    def __init__(self, counts: list):
+        self.counts = counts
+        lines = [f"{c['file']}: {c['path'] or 'document'}: {c['message']} ({c['violations']}x)" for c in counts]
+        super().__init__("exports are not valid:\n" + "\n".join(lines))
+
+
+def checked_exports(spark: SparkSession, toast: str, doordash: str, square: str,
+                    layout: str = "document", show: int = 50) -> Exports:
+    """The exports, or ``InvalidExports`` with the most frequent violations of all files.
+
+    A field that does not fit its type would be read as null and a broken document as nothing, so
+    nothing may be normalized before this passes.
+    """
+    paths = {"toast_orders": toast, "doordash_orders": doordash} | {
+        f"square_{n}": f"{square}/{n}.json" for n in ("locations", "catalog", "orders", "payments")}
+    found = validate_exports(spark, paths, layout).groupBy("file", "path", "message").agg(
+        F.count(F.lit(1)).alias("violations")).orderBy(F.desc("violations"), "file", "path").limit(show).collect()
+    if found:
+        raise InvalidExports(found)
+    return read_exports(spark, toast, doordash, square, layout)
+
+
 def validate_exports(spark: SparkSession, paths: dict[str, str],
                      layout: str = "document") -> DataFrame:
     """All violations of all files together; ``paths`` maps record kinds to locations."""

@@ -479,7 +479,57 @@ NAMES = {
                CAST(levenshtein(text, product_text) AS INTEGER) AS distance
         FROM (SELECT DISTINCT text FROM keyed), shelf WHERE levenshtein(text, product_text) <= 3""",
 }
+# Rule of the first matching step, as in n06_rule_match, without its label.
+RULED = NAMES["n06_rule_match"].strip().removeprefix("WITH").partition("SELECT original_name, CASE WHEN step <= 2")[0]
+
+# Decisions in first-seen order, one name per step: the list of groups is carried along.
+GROUPED = f"""WITH RECURSIVE {RAW.strip()}, {RULED.strip()},
+sold AS (SELECT CASE l_linenumber % 5 WHEN 0 THEN p_name
+     WHEN 1 THEN substr(p_name, 1, spot) || substr(p_name, spot + 2)
+     WHEN 2 THEN substr(p_name, 1, spot) || chr(CAST(97 + l_suppkey % 26 AS INTEGER)) || substr(p_name, spot + 1)
+     WHEN 3 THEN 'Lg ' || p_name ELSE upper(p_name) || ' 12 PCS' END AS original_name, l_orderkey
+   FROM (SELECT *, CAST(l_suppkey % length(p_name) AS INTEGER) AS spot
+         FROM lineitem JOIN part ON p_partkey = l_partkey)),
+ranked AS (SELECT original_name, row_number() OVER (ORDER BY min(l_orderkey), original_name) - 1 AS rank
+           FROM sold GROUP BY 1),
+named AS (SELECT n.original_name, n.rank, k.base, k.text,
+            CASE WHEN r.step <= 2 THEN 'ring' WHEN r.step >= 3 THEN 'widget' END AS rule
+          FROM ranked n JOIN keyed k USING (original_name) JOIN r USING (original_name)),
+ruled AS (SELECT rule, min(rank) AS closed_at FROM named WHERE rule IS NOT NULL GROUP BY 1),
+fuzzy AS (SELECT row_number() OVER (ORDER BY n.rank) AS i, n.rank, text,
+            {{'leader': n.rank, 'key': text, 'improper': left(base, 1) = lower(left(base, 1)),
+             'size': length(base), 'closed': coalesce(closed_at, 4611686018427387904)}} AS me
+          FROM named n LEFT JOIN ruled ON ruled.rule = lower(base) WHERE n.rule IS NULL),
+walk AS (
+  SELECT i, rank, rank AS leader, [me] AS groups FROM fuzzy WHERE i = 1
+  UNION ALL
+  SELECT i, rank, coalesce(found, rank), CASE WHEN found IS NULL THEN list_append(groups, me)
+    ELSE list_transform(groups, lambda g: CASE WHEN g.leader = found AND (me.improper < g.improper
+        OR (me.improper = g.improper AND me.size > g.size))
+      THEN {{'leader': g.leader, 'key': me.key, 'improper': me.improper, 'size': me.size,
+            'closed': me.closed}} ELSE g END) END
+  FROM (SELECT f.i, f.rank, f.me, w.groups, list_min(list_transform(list_filter(w.groups,
+          lambda g: g.closed >= f.rank AND levenshtein(g.key, f.text) <= 3), lambda g: g.leader)) AS found
+        FROM walk w JOIN fuzzy f ON f.i = w.i + 1))
+"""
+
+LABELS = """WITH RECURSIVE seen AS (
+  SELECT p_brand AS product_id, lower(p_name) AS text, arg_min(p_name, p_partkey) AS label,
+         min(p_partkey) AS rank FROM part GROUP BY 1, 2),
+tree AS (SELECT a.product_id, a.rank, min(b.rank) AS parent FROM seen a LEFT JOIN seen b
+           ON b.product_id = a.product_id AND b.rank < a.rank AND levenshtein(a.text, b.text) <= 2
+         GROUP BY ALL),
+walk AS (SELECT product_id, rank, rank AS root FROM tree WHERE parent IS NULL
+         UNION ALL SELECT t.product_id, t.rank, w.root FROM tree t JOIN walk w
+           ON w.product_id = t.product_id AND w.rank = t.parent)
+SELECT product_id, arg_min(label, -length(label) * 10000000000 + rank) AS name,
+       arg_min(label, rank) AS source_raw_name
+FROM walk JOIN seen USING (product_id, rank) GROUP BY product_id, root"""
+
 PART_NAMES = {
+    "n13_product_groups": GROUPED + """SELECT original_name, n.rank, coalesce(closed_at, leader) AS group_rank
+        FROM named n LEFT JOIN ruled USING (rule) LEFT JOIN walk w ON w.rank = n.rank""",
+    "n11_labels": LABELS,
     "n16_categories": """SELECT upper(left(p_type, 1)) || lower(substr(p_type, 2)) || ' & '
         || upper(left(p_brand, 1)) || lower(substr(p_brand, 2)) AS category,
         min(p_partkey) AS first_part FROM part GROUP BY 1""",
@@ -640,7 +690,7 @@ OTHERS = {
           p_retailprice / CASE WHEN p_size <> 11 THEN CAST(p_size - 11 AS DOUBLE) END AS ratio FROM x""",
     "h01_conversation_list": """SELECT conv_id AS conversation_id,
           left(arg_min(text, turn) FILTER (WHERE role = 'user'), 50) AS preview,
-          count(*) AS message_count, max(turn) AS updated_at
+          count(*) AS message_count, min(turn) AS created_at, max(turn) AS updated_at
         FROM conversations GROUP BY 1 ORDER BY updated_at DESC, conv_id LIMIT 50""",
     "h02_conversation_messages": """SELECT conv_id AS conversation_id, turn AS created_at, role,
         text AS content FROM conversations WHERE conv_id = 7""",
@@ -648,7 +698,7 @@ OTHERS = {
           CASE role WHEN 'user' THEN 'User: ' ELSE 'Assistant: ' END || text AS line
         FROM conversations QUALIFY turn < max(turn) OVER (PARTITION BY conv_id)""",
     "h05_stored_answers": """WITH x AS (SELECT conv_id AS conversation_id, turn,
-          CASE WHEN turn % 3 <> 0 THEN substr(text, 1, 20) ELSE '  ' END AS partial,
+          CASE WHEN turn % 3 <> 0 THEN text ELSE '  ' END AS partial,
           CASE WHEN turn % 2 = 0 THEN text ELSE '' END AS streamed,
           CASE WHEN turn % 5 = 0 THEN '[{"type":"bar"}]' END AS charts FROM conversations)
         SELECT conversation_id, turn, 1 AS step, 'assistant' AS role, partial AS content, NULL AS charts
@@ -660,7 +710,7 @@ OTHERS = {
           array_to_string(words, ',') AS offending FROM found""",
     "k01_offending_keywords": f"WITH {STATEMENTS} SELECT conv_id, turn, unnest(words) AS keyword FROM found",
     "k02_clean_statements": f"""WITH {CHAT}, x AS (SELECT *,
-          regexp_replace(substr(text, 1, 30), '[^A-Za-z ]', 'x', 'g') AS word FROM chat)
+          regexp_replace(text, '[^A-Za-z ]', 'x', 'g') AS word FROM chat)
         SELECT conv_id, turn, CASE n % 4 WHEN 0 THEN 'SELECT ''' || word || '''' || chr(10) || 'FROM t'
           WHEN 1 THEN 'SELECT name FROM t WHERE a = ''' || word || ''' '
           WHEN 2 THEN 'WITH a AS (SELECT 1)' || chr(10) || '-- select ' || word || chr(10) || 'SELECT 2'

@@ -14,7 +14,8 @@ def list_conversations(messages: DataFrame, at: str = "created_at", limit: int =
     return (
         messages.groupBy("conversation_id").agg(
             F.min_by(F.when(by_user, preview("content")), F.when(by_user, F.col(at))).alias("preview"),
-            F.count(F.lit(1)).alias("message_count"), F.max(at).alias("updated_at"))
+            F.count(F.lit(1)).alias("message_count"), F.min(at).alias("created_at"),
+            F.max(at).alias("updated_at"))
         .orderBy(F.desc("updated_at"), "conversation_id").limit(limit)
     )
 

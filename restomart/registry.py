@@ -23,7 +23,7 @@ from restomart.operators.fuzzy import near_pairs
 from restomart.operators.locations import location_xref
 from restomart.operators.validate import validate_records
 from restomart.plans import conversations, gold, query_log, recipes, usage
-from restomart.session import shared_path
+from restomart.session import shared_path, split_skewed_joins
 from restomart.sources import star_exports as X
 from restomart.sources.exports import Exports, SquareExport
 from restomart.sources.silver import Silver, conform
@@ -383,7 +383,7 @@ def _captured(spark: SparkSession, sf_dir: str) -> DataFrame:
     turn = F.col("turn")
     return table(spark, sf_dir, "conversations").select(
         F.col("conv_id").alias("conversation_id"), "turn",
-        F.when(turn % 3 != 0, F.substr("text", F.lit(1), F.lit(20))).otherwise("  ").alias("partial"),
+        F.when(turn % 3 != 0, F.col("text")).otherwise("  ").alias("partial"),
         F.when(turn % 2 == 0, F.col("text")).otherwise("").alias("streamed"),
         F.when(turn % 5 == 0, '[{"type":"bar"}]').when(turn % 5 == 1, "[]").alias("charts"))
 
@@ -415,7 +415,7 @@ def _statements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Generated answers with fences, remarks and semicolons around the statement."""
-    word = F.regexp_replace(F.substr("text", F.lit(1), F.lit(30)), "[^A-Za-z ]", "x")
+    word = F.regexp_replace("text", "[^A-Za-z ]", "x")
     fence = F.lit("`" * 3)
     return table(spark, sf_dir, "conversations").select(
         "conv_id", "turn", F.element_at(F.array(
@@ -470,5 +470,13 @@ LOGS: dict[str, Query] = {name: _star(build) for name, build in {
 }.items()}
 
 
+def _prepared(query: Query) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        split_skewed_joins(spark)
+        return query(spark, sf_dir)
+    return run
+
+
 def all_queries() -> dict[str, Query]:
-    return {**MARTS, **RECIPES, **EXPORTS, **NAMES, **OPERATORS, **SCALARS, **LOGS}
+    found = {**MARTS, **RECIPES, **EXPORTS, **NAMES, **OPERATORS, **SCALARS, **LOGS}
+    return {name: _prepared(query) for name, query in found.items()}

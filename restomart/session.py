@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -27,16 +28,25 @@ def build_session(app: str = "restomart", **extra: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def split_skewed_joins(spark: SparkSession) -> None:
+    """The settings by which adaptive execution splits hot join keys, on a session made elsewhere."""
+    for key in ("spark.sql.adaptive.enabled", "spark.sql.adaptive.skewJoin.enabled",
+                "spark.sql.adaptive.forceOptimizeSkewedJoin"):
+        spark.conf.set(key, SETTINGS[key])
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder every executor can reach, from ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (tests, one machine) a temporary folder is used.
+    Only on one machine (tests) may the setting be absent; a temporary folder is used then.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if not root:
         root = context.getCheckpointDir()
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="restomart-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(root)

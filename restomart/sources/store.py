@@ -91,14 +91,22 @@ class SilverStore:
         return self.save(merged)
 
     def load(self, silver: Silver, clean: bool = False) -> int:
-        """``clean`` forgets what was there, else rows are merged by id."""
-        return self.save(silver.tables()) if clean else self.upsert(silver.tables())
+        """``clean`` forgets what was there, else rows are merged by id. Either way a row that
+        comes twice in one load is stored once."""
+        if clean:
+            return self.save({n: latest_per_key(df, ["id"], None) for n, df in silver.tables().items()})
+        return self.upsert(silver.tables())
 
 
 def latest_per_key(df: DataFrame, keys: list[str], order: str | None) -> DataFrame:
-    """One row per key, the last by ``order`` (any one when no order is given)."""
-    row = F.struct(*[c for c in df.columns if c not in keys])
-    pick = F.max_by(row, order) if order else F.first(row)
+    """One row per key, the last by ``order``; rows without an order value come first, and rows of
+    equal order are told apart by a hash of their contents, so every run picks the same one."""
+    rest = [c for c in df.columns if c not in keys]
+    row = F.struct(*rest)
+    # A struct is never null, so a key of which no row has an order value keeps a row too.
+    place = F.struct(*([F.col(order).alias("at")] if order else []),
+                     F.xxhash64(*[F.col(c) for c in rest]).alias("tie"))
+    pick = F.max_by(row, place)
     out = df.groupBy(*keys).agg(pick.alias("_r")).select(*keys, "_r.*")
     return out.select(*df.columns)
 
