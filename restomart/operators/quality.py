@@ -113,6 +113,12 @@ def succeeded(report: DataFrame) -> DataFrame:
     return report.agg(F.bool_and("ok").alias("success"))
 
 
+def orders_with_items(orders: DataFrame, items: DataFrame) -> DataFrame:
+    """Orders that have a line."""
+    keys = items.select(F.col("order_id").alias("_o"))
+    return orders.join(keys, F.col("id") == F.col("_o"), "left_semi")
+
+
 def orders_without_payment(orders: DataFrame, payments: DataFrame) -> DataFrame:
     return orders.join(payments.select(F.col("order_id").alias("_o")),
                        F.col("id") == F.col("_o"), "left_anti")

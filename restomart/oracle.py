@@ -133,6 +133,7 @@ SELECT s.id AS order_item_id, order_id, original_name AS raw_item_name,
   p.id AS product_id, product_name, category_name, v.id AS variation_id, v.name AS variation_name,
   v.variation_type, quantity, CAST(unit_price_cents AS DOUBLE) / 100 AS unit_price,
   CAST(total_price_cents AS DOUBLE) / 100 AS total_price, CAST(tax_cents AS DOUBLE) / 100 AS item_tax,
+  CAST(NULL AS VARCHAR) AS modifiers,
   special_instructions, created_at AS order_created_at, order_date, hour(created_at) AS order_hour,
   source, channel, order_type, location_name
 FROM sold s LEFT JOIN s_products p ON p.id = s.product_id
@@ -341,7 +342,8 @@ EXPORTS = {
         'item ' || (k + c + s) % 50 AS original_name, CAST((k + s) % 4 AS INTEGER) AS quantity,
         CASE WHEN (k + s) % 4 <> 0 THEN CAST(floor((1000 + k % 500 + s)
           / CAST((k + s) % 4 AS DOUBLE) + 0.5) AS BIGINT) END AS unit_price_cents,
-        900 + s AS total_price_cents, s AS tax_cents, NULL AS special_instructions
+        900 + s AS total_price_cents, s AS tax_cents, NULL AS special_instructions,
+        CASE WHEN s = 1 THEN '[{{"name":"extra","price":50}}]' ELSE '[]' END AS modifiers
         FROM tline WHERE place < 25""",
     "p13_toast_payments": f"""SELECT {digest("'payment'", "oid", "check_no", "payment_no")} AS id,
         oid AS order_id, 'p' || k || '-' || c || '-' || p AS source_payment_id,
@@ -355,8 +357,8 @@ EXPORTS = {
         {digest("'item'", "oid", "0", "line_no")} AS id, oid AS order_id, 'doordash' AS source,
         'item ' || (k + s) % 50 AS original_name, CAST(1 + (k + s) % 4 AS INTEGER) AS quantity,
         500 + s AS unit_price_cents, (500 + s) * (1 + (k + s) % 4) AS total_price_cents,
-        NULL AS tax_cents, CASE WHEN (k + s) % 3 = 0 THEN 'no onions' END AS special_instructions
-        FROM dline""",
+        NULL AS tax_cents, CASE WHEN (k + s) % 3 = 0 THEN 'no onions' END AS special_instructions,
+        '[{{"name":"cheese","price":100}}]' AS modifiers FROM dline""",
     "p14_doordash_payments": f"""SELECT {digest("'payment'", "oid", "'platform'")} AS id,
         oid AS order_id, 'dd_pay_x' || k AS source_payment_id, 'platform' AS payment_type,
         NULL AS card_brand, NULL AS last_four, cents - cents % 400 AS amount_cents,
@@ -370,7 +372,8 @@ EXPORTS = {
           CASE WHEN s % 2 = 0 THEN 'Regular' ELSE p_size || ' pc' END END AS catalog_label,
         quantity, CASE WHEN quantity > 0 THEN CAST(floor(CAST(paid AS DOUBLE) / quantity + 0.5)
           AS BIGINT) END AS unit_price_cents, paid AS total_price_cents, NULL AS tax_cents,
-        NULL AS special_instructions FROM qline LEFT JOIN part ON p_partkey = pk""",
+        NULL AS special_instructions,
+        CASE WHEN s = 1 THEN '[{{"modifier_id":"M1"}}]' ELSE '[]' END AS modifiers FROM qline LEFT JOIN part ON p_partkey = pk""",
     "p15_square_payments": f"""SELECT {digest("'payment'", "oid", "'qp' || k")} AS id,
         oid AS order_id, 'qp' || k AS source_payment_id,
         CASE WHEN k % 4 = 0 AND k % 5 <> 0 THEN 'credit' WHEN k % 4 = 1 THEN 'cash'
@@ -529,6 +532,18 @@ FROM walk JOIN seen USING (product_id, rank) GROUP BY product_id, root"""
 PART_NAMES = {
     "n13_product_groups": GROUPED + """SELECT original_name, n.rank, coalesce(closed_at, leader) AS group_rank
         FROM named n LEFT JOIN ruled USING (rule) LEFT JOIN walk w ON w.rank = n.rank""",
+    "n14_products": GROUPED + """, g AS (SELECT n.*, coalesce(closed_at, leader) AS product_rank
+          FROM named n LEFT JOIN ruled USING (rule) LEFT JOIN walk w ON w.rank = n.rank)
+        SELECT product_rank, coalesce(CASE min(rule) WHEN 'ring' THEN 'Ring' WHEN 'widget' THEN 'Widget' END,
+          arg_min(base, CASE WHEN left(base, 1) = lower(left(base, 1)) THEN 1000000000000000 ELSE 0 END
+                        - length(base) * 10000000000 + rank)) AS name, count(*) AS item_count
+        FROM g GROUP BY 1""",
+    "n14_product_keys": GROUPED + """, g AS (SELECT n.*, coalesce(closed_at, leader) AS product_rank
+          FROM named n LEFT JOIN ruled USING (rule) LEFT JOIN walk w ON w.rank = n.rank)
+        SELECT kind, key, max(product_rank) AS product_rank FROM (
+          SELECT 'id' AS kind, original_name AS key, product_rank FROM g UNION ALL
+          SELECT 'name', lower(trim(original_name)), product_rank FROM g UNION ALL
+          SELECT 'name', lower(trim(base)), product_rank FROM g) GROUP BY 1, 2""",
     "n11_labels": LABELS,
     "n16_categories": """SELECT upper(left(p_type, 1)) || lower(substr(p_type, 2)) || ' & '
         || upper(left(p_brand, 1)) || lower(substr(p_brand, 2)) AS category,
@@ -692,6 +707,16 @@ OTHERS = {
           left(arg_min(text, turn) FILTER (WHERE role = 'user'), 50) AS preview,
           count(*) AS message_count, min(turn) AS created_at, max(turn) AS updated_at
         FROM conversations GROUP BY 1 ORDER BY updated_at DESC, conv_id LIMIT 50""",
+    "c01_column_kinds": """SELECT 'amount' AS name, bool_and(regexp_full_match(CAST(l_quantity AS VARCHAR),
+          '[0-9.]+')) AS is_numeric FROM lineitem
+        UNION ALL SELECT 'code', bool_and(regexp_full_match(l_linenumber || 'd', '[0-9.]+')) FROM lineitem
+        UNION ALL SELECT 'flag', bool_and(regexp_full_match(l_returnflag, '[0-9.]+')) FROM lineitem
+        UNION ALL SELECT 'l_partkey', true""",
+    "f10_plain_letters": "SELECT doc_id, strip_accents(text) AS text FROM documents",
+    "f24_header_labels": """SELECT p_partkey, array_to_string(list_transform(string_split(lower(p_name), ' '),
+          lambda w: upper(w[1]) || w[2:]), ' ') AS label FROM part""",
+    "h03_touched_conversations": """SELECT conv_id AS id, min(turn) AS created_at, max(turn) AS updated_at
+        FROM conversations GROUP BY 1""",
     "h02_conversation_messages": """SELECT conv_id AS conversation_id, turn AS created_at, role,
         text AS content FROM conversations WHERE conv_id = 7""",
     "h04_history_lines": """SELECT conv_id AS conversation_id, turn AS position,

@@ -25,8 +25,13 @@ def distinct_names(df: DataFrame) -> DataFrame:
     return df.select("name").distinct().orderBy("name")
 
 
-def beverage_categories(categories: DataFrame) -> DataFrame:
-    return categories.filter(F.col("name").rlike(f"(?i){BEVERAGE_PATTERN}"))
+def beverage_categories(categories: DataFrame, pattern: str = BEVERAGE_PATTERN) -> DataFrame:
+    return categories.filter(F.col("name").rlike(f"(?i){pattern}"))
+
+
+def products_in(s: Silver, categories: DataFrame) -> DataFrame:
+    """Products of the given categories."""
+    return s.products.join(categories.select(F.col("id").alias("category_id")), "category_id", "left_semi")
 
 
 # Relative periods count from the last (or first) day that has orders, not from today.
@@ -41,12 +46,25 @@ _PERIODS = {
 PERIODS = sorted(_PERIODS)
 
 
-def in_period(df: DataFrame, s: Silver, period: str, column: str = "order_date") -> DataFrame:
-    """Keep rows of a named period; its bounds come from a scalar subquery over the orders."""
+def _bounds(s: Silver, period: str):
     span = data_range(s)
     lo, hi = _PERIODS[period](F.to_date("earliest"), F.to_date("latest"))
-    first = span.select(lo.alias("d")).scalar()
-    last = span.select(hi.alias("d")).scalar()
+    return span.select(lo.alias("d")).scalar(), span.select(hi.alias("d")).scalar()
+
+
+def near_period(s: Silver, period: str) -> Silver:
+    """The same tables with only the stored date folders of the period, a day wider on either side
+    since stored dates and report dates may lie in different time zones."""
+    if "order_date" not in s.orders.columns:
+        return s
+    first, last = _bounds(s, period)
+    near = F.col("order_date").between(F.date_sub(first, 1), F.date_add(last, 1))
+    return s.with_tables(orders=s.orders.filter(near))
+
+
+def in_period(df: DataFrame, s: Silver, period: str, column: str = "order_date") -> DataFrame:
+    """Keep rows of a named period; its bounds come from a scalar subquery over the orders."""
+    first, last = _bounds(s, period)
     return df.filter(F.col(column).between(first, last))
 
 
@@ -63,7 +81,7 @@ def revenue_on(s: Silver, day: dt.date) -> DataFrame:
 
 
 def revenue_in(s: Silver, period: str) -> DataFrame:
-    daily = in_period(gold_daily_sales(s), s, period)
+    daily = in_period(gold_daily_sales(near_period(s, period)), s, period)
     return (daily.groupBy("order_date").agg(F.sum("revenue").alias("revenue"))
             .orderBy("order_date"))
 

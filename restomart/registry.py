@@ -13,7 +13,8 @@ from restomart import fixed_values as V
 from restomart.functions import codes
 from restomart.functions.names import match_key, normalize_label, rule_match
 from restomart.functions.text import (
-    edit_distance, is_proper_case, lower_trim, normalize_category, normalize_product_name,
+    edit_distance, header_label, is_proper_case, normalize_category, normalize_product_name,
+    strip_diacritics,
 )
 from restomart.operators import catalog as C
 from restomart.operators import orders as O
@@ -35,11 +36,12 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def plain(df: DataFrame) -> DataFrame:
-    """Scalar columns only, decimals as doubles and times as UTC wall clock, so that engines
+    """Nested columns as JSON, decimals as doubles and times as UTC wall clock, so that engines
     print equal values alike."""
     columns = []
     for field in df.schema.fields:
         if isinstance(field.dataType, (T.ArrayType, T.StructType, T.MapType)):
+            columns.append(F.to_json(f"`{field.name}`").alias(field.name))
             continue
         column = F.col(f"`{field.name}`")
         if isinstance(field.dataType, T.DecimalType):
@@ -154,10 +156,10 @@ def _validation(spark: SparkSession, sf_dir: str) -> DataFrame:
 EXPORTS: dict[str, Query] = {name: _star(build) for name, build in {
     "p03_toast_selections": _toast_selections,
     "p07_toast_orders": lambda s, d: _toast(s, d).orders,
-    "p10_toast_items": lambda s, d: _toast(s, d).items,
+    "p10_toast_items": lambda s, d: _toast(s, d).items.drop("seq"),
     "p13_toast_payments": lambda s, d: _toast(s, d).payments,
     "p08_doordash_orders": lambda s, d: _doordash(s, d).orders,
-    "p11_doordash_items": lambda s, d: _doordash(s, d).items,
+    "p11_doordash_items": lambda s, d: _doordash(s, d).items.drop("seq"),
     "p14_doordash_payments": lambda s, d: _doordash(s, d).payments,
     "p09_square_orders": lambda s, d: _square(s, d).orders,
     "p12_square_items": lambda s, d: _square(s, d).items,
@@ -206,9 +208,7 @@ def _near(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _first_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First part per lower-trimmed name."""
-    parts = silver_from_star(spark, sf_dir).products
-    return (parts.groupBy(lower_trim("name").alias("name_key"))
-            .agg(F.min("id").alias("first_id"), F.min_by("name", "id").alias("name")))
+    return C.first_spellings(silver_from_star(spark, sf_dir).products, "name", "id")
 
 
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -228,6 +228,23 @@ def _grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
         "original_name", "rank", "group_rank")
 
 
+def _products(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Grouped names and their products; sold names carry no category here."""
+    grouped = C.assign_groups(_candidates(spark, sf_dir), X.STAR_NAMES)
+    return grouped, C.build_products(grouped, spark.createDataFrame([], "key string, category_id string"))
+
+
+def _catalog_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _products(spark, sf_dir)[1].select(
+        "product_rank", "name", F.get_json_object("raw_data", "$.item_count").cast("bigint").alias("item_count"))
+
+
+def _catalog_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grouped, products = _products(spark, sf_dir)
+    ranks = products.select(F.col("id").alias("product_id"), "product_rank")
+    return C.product_xref(grouped, products).join(ranks, "product_id").select("kind", "key", "product_rank")
+
+
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Part names as labels of their brand: near spellings become one."""
     names = table(spark, sf_dir, "part").select(
@@ -252,6 +269,8 @@ NAMES: dict[str, Query] = {name: _star(build) for name, build in {
     "n11_labels": _labels,
     "n12_near_pairs": _near,
     "n13_product_groups": _grouped,
+    "n14_products": _catalog_products,
+    "n14_product_keys": _catalog_keys,
     "n16_categories": _categories,
     "w01_first_names": _first_names,
 }.items()}
@@ -268,8 +287,7 @@ def _order_pairs(s: Silver) -> DataFrame:
 
 
 def _with_items(s: Silver) -> DataFrame:
-    return s.orders.join(s.order_items.select(F.col("order_id").alias("_o")),
-                         F.col("id") == F.col("_o"), "left_semi").select("id", "source")
+    return Q.orders_with_items(s.orders, s.order_items).select("id", "source")
 
 
 def _places(s: Silver) -> DataFrame:
@@ -329,10 +347,9 @@ OPERATORS: dict[str, Query] = {name: on_silver(build) for name, build in {
     "j13_orders_without_payment":
         lambda s: Q.orders_without_payment(s.orders, s.payments).select("id", "source"),
     "p20_location_match":
-        lambda s: s.locations.filter(F.col("name").ilike("%NATION_2%")).select("id", "name"),
-    "p21_beverage_products": lambda s: s.products.join(
-        s.categories.filter(F.col("name").rlike("(?i)promo|small")).select(
-            F.col("id").alias("category_id")), "category_id", "left_semi").select("id", "name"),
+        lambda s: gold.Scope(location="NATION_2").on_place(s.locations, "name").select("id", "name"),
+    "p21_beverage_products": lambda s: recipes.products_in(
+        s, recipes.beverage_categories(s.categories, "promo|small")).select("id", "name"),
     "q03_payment_coverage": lambda s: Q.payment_coverage(s.orders, s.payments),
     "q06_duplicate_aliases": _duplicates,
     "q07_orphans": lambda s: Q.reference_rule_counts(s.tables()),
@@ -367,8 +384,27 @@ def _distances(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.try_divide("p_retailprice", F.col("p_size") - 11).alias("ratio"))
 
 
+def _headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", header_label(F.replace(F.lower("p_name"), F.lit(" "), F.lit("_"))).alias("label"))
+
+
+def _plain_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", strip_diacritics("text").alias("text"))
+
+
+def _column_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kinds of text columns by their values: numbers, codes such as 3d, flags."""
+    df = table(spark, sf_dir, "lineitem").select(
+        F.col("l_quantity").cast("string").alias("amount"),
+        F.concat("l_linenumber", F.lit("d")).alias("code"), F.col("l_returnflag").alias("flag"), "l_partkey")
+    kinds = shape.classify(df)
+    return spark.createDataFrame([(c, c in kinds.numeric) for c in df.columns], "name string, is_numeric boolean")
+
+
 SCALARS: dict[str, Query] = {name: _star(build) for name, build in {
-    "f01_codes": _codes, "f09_text": _distances}.items()}
+    "c01_column_kinds": _column_kinds, "f01_codes": _codes, "f09_text": _distances,
+    "f10_plain_letters": _plain_letters, "f24_header_labels": _headers}.items()}
 
 
 # Conversations, usage, query log, live -------------------------------------------------------
@@ -379,6 +415,12 @@ def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("text").alias("content"))
 
 
+def _touched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    messages = _messages(spark, sf_dir)
+    opened = messages.groupBy(F.col("conversation_id").alias("id")).agg(F.min("created_at").alias("created_at"))
+    return conversations.touched_at(opened, messages)
+
+
 def _captured(spark: SparkSession, sf_dir: str) -> DataFrame:
     turn = F.col("turn")
     return table(spark, sf_dir, "conversations").select(
@@ -452,6 +494,7 @@ def _live(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LOGS: dict[str, Query] = {name: _star(build) for name, build in {
     "h01_conversation_list": lambda s, d: conversations.list_conversations(_messages(s, d)),
+    "h03_touched_conversations": _touched,
     "h02_conversation_messages":
         lambda s, d: conversations.conversation_messages(_messages(s, d), 7),
     "h04_history_lines": lambda s, d: conversations.history_lines(_messages(s, d)),
