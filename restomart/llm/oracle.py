@@ -1,5 +1,51 @@
-"""DuckDB SQL for the queries of this subpackage that SQL can express."""
+r"""DuckDB SQL for the queries of this subpackage that SQL can express.
+
+Learnt models, tokenizers and parsed pages (op1, op2, op4, op5, op8, op9) and approximate search (op10)
+are beyond it; their tests compare with plain versions or measure held-out rows.
+"""
 
 from __future__ import annotations
 
-SQL: dict[str, str] = {}
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+# Five hexadecimal digits of the digest are four base-32 digits.
+BASE32 = """array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(
+    (list_sum(list_transform(range(5), lambda k: (instr('0123456789abcdef', hex[5 * (i // 4) + k + 1]) - 1) << (4 * (4 - k))))
+     >> (5 * (3 - i % 4))) & 31 AS INTEGER), 1)), '')"""
+
+SQL: dict[str, str] = {
+    "op3_warc": f"""WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
+first AS (SELECT hex, min(page_id) AS first_id FROM p GROUP BY 1),
+x AS (SELECT *, first_id IS NOT NULL AND page_id IS DISTINCT FROM first_id AS again FROM p JOIN first USING (hex))
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, {BASE32} AS payload_digest,
+       CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN again THEN first_id END AS refers_to FROM x""",
+    "op6_near_duplicates": rf"""WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all({LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(w) - 3, 1) + 1),
+        lambda i: array_to_string(w[i:i + 3], ' '))) AS shingle FROM w WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b USING (shingle)
+         WHERE a.doc_id <> b.doc_id GROUP BY 1, 2),
+link AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+         WHERE 100 * shared >= 80 * (x.n + y.n - shared)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM w UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a),
+low AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY 1)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM low LEFT JOIN n USING (doc_id)""",
+    "op7_decontamination": rf"""WITH d AS (
+  SELECT doc_id, regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+i AS (SELECT item_id, w, least(10, len(w)) AS n FROM (
+  SELECT item_id, regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark) WHERE len(w) > 0),
+known AS (SELECT DISTINCT item_id, n, array_to_string(w[pos:pos + n - 1], ' ') AS win
+          FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS pos FROM i)),
+found AS (SELECT doc_id, pos, n, array_to_string(w[pos:pos + n - 1], ' ') AS win
+          FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS pos FROM d, (SELECT DISTINCT n FROM i) WHERE len(w) >= n)),
+hit AS (SELECT doc_id, pos, n, item_id FROM found JOIN known USING (win, n)),
+places AS (SELECT doc_id, count(*) AS n_hit FROM (
+  SELECT DISTINCT doc_id, unnest(range(pos, pos + n)) AS place FROM hit) GROUP BY 1),
+items AS (SELECT doc_id, list_sort(list(DISTINCT CAST(item_id AS VARCHAR)) FILTER (item_id IS NOT NULL)) AS items FROM hit GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, CAST(coalesce(len(items), 0) AS BIGINT) AS n_items,
+       sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN places USING (doc_id) LEFT JOIN items USING (doc_id)""",
+}

@@ -81,7 +81,7 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_contamination(as_messages(_table(spark, sf_dir, "documents")), questions)
     return found.select(
         F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated", "n_near")
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
