@@ -86,6 +86,20 @@ def _runs(places: Column, window: Column, slack: int) -> Column:
     return F.filter(F.aggregate(places, start, step), lambda r: r["run"] >= window)
 
 
+def _compared(a: Column, window: int, slack: int) -> Column:
+    """What an aligned question shares with the message's ``postings``: places of exact hits and the ends
+    of near phrases."""
+    size = F.least(F.size(a["words"]), F.lit(window))
+    places = F.array_sort(F.transform(
+        F.filter("postings", lambda x: F.get(a["words"], x["pos"] - a["shift"]) == x["word"]),
+        lambda x: x["pos"] - a["shift"]))
+    return F.struct(
+        a["item_id"].alias("item_id"),
+        F.flatten(F.transform(_runs(places, size, 0), lambda r: F.sequence(
+            a["shift"] + r["p"] - size + 1, a["shift"] + r["p"]))).alias("hit"),
+        F.transform(_runs(places, size, slack), lambda r: a["shift"] + r["p"]).alias("near"))
+
+
 def find_contamination(messages: DataFrame, questions: DataFrame, window: int = WINDOW,
                        slack: int = SLACK) -> DataFrame:
     """Messages that hold passages of test questions.
@@ -127,23 +141,16 @@ def find_contamination(messages: DataFrame, questions: DataFrame, window: int =
     held = postings.alias("l").join(_small(met).alias("r"), (F.col("l.copy") == F.col("r.copy")) & F.col(
         "l.id").eqNullSafe(F.col("r.id")), "left_semi").groupBy(*doc).agg(
         F.collect_set(F.struct("pos", "word")).alias("postings"))
-    size = F.least(F.size("words"), F.lit(window))
-    places = F.array_sort(F.transform(
-        F.filter("postings", lambda x: F.get("words", x["pos"] - F.col("shift")) == x["word"]),
-        lambda x: x["pos"] - F.col("shift")))
-    compared = aligned.join(items, "question").alias("l").join(
+    # One row per message: a short question may lie in one message a thousand times.
+    lists = aligned.join(items, "question").groupBy(*doc).agg(
+        F.collect_list(F.struct("item_id", "words", "shift")).alias("aligned"))
+    compared = lists.alias("l").join(
         held.alias("r"), (F.col("l.copy") == F.col("r.copy")) & F.col("l.id").eqNullSafe(F.col("r.id"))).select(
-        "l.id", "l.copy", "item_id", "shift", size.alias("size"), places.alias("places"))
-    shift = F.col("shift")
-    compared = compared.select(
-        "id", "copy", "item_id",
-        F.flatten(F.transform(_runs(F.col("places"), F.col("size"), 0), lambda r: F.sequence(
-            shift + r["p"] - F.col("size") + 1, shift + r["p"]))).alias("hit"),
-        F.transform(_runs(F.col("places"), F.col("size"), slack), lambda r: shift + r["p"]).alias("near"))
-    found = compared.filter(F.size("near") > 0).groupBy(*doc).agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("hit")))).cast("long").alias("n_hit"),
-        F.size(F.array_distinct(F.flatten(F.collect_list("near")))).cast("long").alias("n_near"),
-        F.array_sort(F.collect_set(F.when(F.size("hit") > 0, F.col("item_id")))).alias("items"))
+        "l.id", "l.copy", F.transform("aligned", lambda a: _compared(a, window, slack)).alias("found"))
+    places = lambda name: F.size(F.array_distinct(F.flatten(F.transform(
+        "found", lambda f: f[name])))).cast("long").alias(f"n_{name}")
+    found = compared.select(*doc, places("hit"), places("near"), F.array_sort(F.array_distinct(F.array_compact(
+        F.transform(F.filter("found", lambda f: F.size(f["hit"]) > 0), lambda f: f["item_id"])))).alias("items"))
 
     rows = contents(messages).select("id", F.xxhash64("content").alias("copy"),
                                      word_count(F.col("content")).alias("n_words"))
