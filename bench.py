@@ -30,7 +30,8 @@ HEADLINES = [
     "r08_top_items_at_location", "r09_beverage_sales", "r12_source_mix", "r14_peak_hours",
     "r16_delivery_trend", "r18_payment_type_by_source", "r19_hourly_by_weekday",
     "r20_orders_by_location_over_time", "r21_category_by_source", "p12_square_items",
-    "q07_orphans", "q08_row_rules", "v01_vote",
+    "q07_orphans", "q08_row_rules", "v01_vote", "n05_find_products", "n11_labels", "n12_near_pairs",
+    "q04_integrity_report",
 ]
 
 
