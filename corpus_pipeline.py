@@ -21,8 +21,6 @@ from restomart.llm.packing import pack_messages
 from restomart.llm.pii import fit_detector, redact
 from restomart.llm.queries import as_messages
 
-LEAST_SCORE = 0.5  # a document below this probability of its language is rejected
-
 
 def _keyed(docs: DataFrame) -> DataFrame:
     """``row`` (all columns) and messages of which the id is unique to a document and its text."""
@@ -34,7 +32,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     examples = docs.select(F.col("text").alias("content"), F.col("lang").alias("language"))
     found = language_udf(fit_language(examples))
     kept = docs.select(F.struct("*").alias("row"), found(F.coalesce("text", F.lit(""))).alias("found"))
-    return kept.filter((F.col("found.language") != UNKNOWN) & (F.col("found.score") >= LEAST_SCORE)).select("row.*")
+    return kept.filter(F.col("found.language") != UNKNOWN).select("row.*")
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
