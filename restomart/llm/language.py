@@ -15,7 +15,7 @@ from restomart.llm.common import contents
 
 ORDERS = (1, 2, 3)
 BUCKETS = 1 << 16  # hashed n-grams
-TRAIN_ROWS = 1_000  # examples of each language that the weights are fitted on
+TRAIN_ROWS = 400  # examples of each language that the weights are fitted on
 CHUNK = 4_000_000  # characters times languages that one step works on
 UNKNOWN = "und"
 
@@ -119,7 +119,7 @@ class Ftrl:
         self.n[rows] = n + g * g
 
 
-def fit_language(examples: DataFrame, train_rows: int = TRAIN_ROWS, rounds: int = 2) -> LanguageModel | None:
+def fit_language(examples: DataFrame, train_rows: int = TRAIN_ROWS, rounds: int = 4) -> LanguageModel | None:
     """Learns from ``examples`` (``content``, ``language``); None without any labelled text.
 
     Document frequencies count all labelled examples: each partition sums its own, so at most
