@@ -1,6 +1,7 @@
 """A corpus pipeline: documents become packed training sequences in five stages.
 
-Language identification drops documents without a recognisable language, near-duplicate detection
+Language identification drops documents without a letter and, if a language could be learnt, those
+of which score or strangeness is out of the bounds of held-out texts; near-duplicate detection
 keeps one document of each group, decontamination drops documents that hold passages of test
 questions, redaction replaces personal data, and packing lays out what is left. Each stage takes
 (spark, docs, sf_dir); all but the last return the columns of documents. Repeated rows of one
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from restomart.llm.common import materialize
 from restomart.llm.contamination import find_contamination
-from restomart.llm.language import UNKNOWN, fit_language, language_udf
+from restomart.llm.language import UNKNOWN, clean_bounds, fit_language, held_out, language_udf
 from restomart.llm.near_duplicates import near_duplicates
 from restomart.llm.packing import pack_messages
 from restomart.llm.pii import fit_detector, redact
@@ -30,9 +31,18 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     examples = docs.select(F.col("text").alias("content"), F.col("lang").alias("language"))
-    found = language_udf(fit_language(examples))
-    kept = docs.select(F.struct("*").alias("row"), found(F.coalesce("text", F.lit(""))).alias("found"))
-    return kept.filter(F.col("found.language") != UNKNOWN).select("row.*")
+    held = held_out(F.col("content"))
+    model = fit_language(examples.filter(~held))
+    if model is None:
+        model = fit_language(examples)
+    if model is None:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
+    clean = F.lit(True)
+    for length, (least, most) in sorted(clean_bounds(model, examples.filter(held)).items()):
+        clean = F.when(F.length("row.text") >= length, (F.col("found.score") >= least) & (
+            F.col("found.strange") <= most)).otherwise(clean)
+    kept = docs.select(F.struct("*").alias("row"), language_udf(model)(F.coalesce("text", F.lit(""))).alias("found"))
+    return kept.filter((F.col("found.language") != UNKNOWN) & clean).select("row.*")
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

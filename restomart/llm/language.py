@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from restomart.llm.common import contents
@@ -17,6 +17,10 @@ ORDERS = (1, 2, 3)
 BUCKETS = 1 << 16  # hashed n-grams
 TRAIN_ROWS = 400  # examples of each language that the weights are fitted on
 CHUNK = 4_000_000  # characters times languages that one step works on
+LOSS, LANGUAGE_LOSS = 0.001, 0.01  # share of held-out texts, and of those of one language, that a bound may cost
+MARGIN = 0.1  # further way of a bound to what a text without a known n-gram has
+HELD_ROWS = 5_000  # held-out texts of each language that the bounds are set on
+LENGTHS = tuple(1 << k for k in range(1, 13))  # characters at which a length class begins
 UNKNOWN = "und"
 
 _ODD = np.array([2654435761, 2246822519, 3266489917, 668265263, 374761393], np.uint32)
@@ -75,24 +79,30 @@ def _vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 @dataclass
 class LanguageModel:
-    """``weights`` hold the inverse document frequency, so a text's logits are means of rows."""
+    """``weights`` hold the inverse document frequency, so a text's logits are means of rows.
+
+    Their last column is the inverse document frequency alone: its mean over a text tells how
+    strange the text's n-grams are to the examples, in whichever language.
+    """
     languages: list[str]
     weights: np.ndarray
     bias: np.ndarray
     temperature: float
 
-    def probabilities(self, texts: list[str]) -> np.ndarray:
+    def measures(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Probability of each language, and strangeness, of texts."""
         codes, starts = _codes(texts)
-        logits = np.zeros((len(texts), len(self.languages)))
+        logits = np.zeros((len(texts), len(self.languages) + 1))
         grams = np.zeros(len(texts))
         for n in ORDERS:
             ids = _gram_ids(codes, starts, n)
             begin = np.minimum(starts[:-1], len(ids) - 1)
             logits += np.add.reduceat(self.weights[ids], begin, axis=0)
             grams += np.maximum(starts[1:] - starts[:-1] - n + 1, 0)
-        z = (logits / grams[:, None] + self.bias) / self.temperature
+        means = logits / grams[:, None]
+        z = (means[:, :-1] + self.bias) / self.temperature
         z = np.exp(z - z.max(axis=1, keepdims=True))
-        return z / z.sum(axis=1, keepdims=True)
+        return z / z.sum(axis=1, keepdims=True), means[:, -1]
 
 
 class Ftrl:
@@ -167,16 +177,17 @@ def fit_language(examples: DataFrame, train_rows: int = TRAIN_ROWS, rounds: int
         return float(np.mean(np.log(np.exp(z).sum(axis=1)) - z[np.arange(len(z)), truth]))
 
     temperature = min(np.geomspace(0.05, 20, 80), key=loss)
-    scaled = np.vstack([w[:BUCKETS] * idf[:, None] * len(ORDERS), np.zeros(len(languages))])
+    scaled = np.vstack([np.column_stack([w[:BUCKETS] * idf[:, None] * len(ORDERS), idf]), np.zeros(len(languages) + 1)])
     return LanguageModel(languages, scaled.astype(np.float32), w[BUCKETS], float(temperature))
 
 
 def language_udf(model: LanguageModel | None):
-    """A column function from content to ``language`` and ``score``."""
+    """A column function from content to ``language``, ``score`` and ``strange``, the content's strangeness."""
     def predict(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for part in parts:
             texts = part.tolist()
             names, scores = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
+            strange = np.zeros(len(texts))
             lettered = [i for i, t in enumerate(texts) if _LETTER.search(t)]
             scores[:] = 1.0 if model else 0.0
             while model and lettered:
@@ -185,12 +196,83 @@ def language_udf(model: LanguageModel | None):
                     size += len(texts[lettered[n]])
                     n += 1
                 now, lettered = lettered[:n], lettered[n:]
-                p = model.probabilities([texts[i] for i in now])
+                p, strange[now] = model.measures([texts[i] for i in now])
                 names[now] = np.array(model.languages, object)[p.argmax(axis=1)]
                 scores[now] = p.max(axis=1)
-            yield pd.DataFrame({"language": names, "score": scores})
+            yield pd.DataFrame({"language": names, "score": scores, "strange": strange})
+
+    return F.pandas_udf(predict, "language string, score double, strange double")
+
+
+def held_out(content: Column) -> Column:
+    """A fifth of the texts, by hash, so copies are on one side: not for weights but for bounds."""
+    return F.pmod(F.xxhash64(content, F.lit(5)), F.lit(5)) == 0
+
 
-    return F.pandas_udf(predict, "language string, score double")
+def _outermost(counted: list[tuple[float, int]], allowed: int) -> float:
+    """The first value with more than ``allowed`` rows up to it, of (value, rows) from the outermost inwards."""
+    for value, n in counted:
+        allowed -= n
+        if allowed < 0:
+            break
+    return value
+
+
+def clean_bounds(model: LanguageModel, held: DataFrame) -> dict[int, tuple[float, float]]:
+    """Least score and greatest strangeness of texts in a learnt language, for each of ``LENGTHS``.
+
+    A text's logits are means over its n-grams and the temperature fits whole texts, so a short
+    clean text scores lower than a long one by chance alone, and one bound for all lengths costs
+    clean short texts. The score alone does not do either: it compares the learnt languages with
+    each other, and a few n-grams can make foreign text look sure. So ``held`` (``content``,
+    ``language``, not seen by the fit) is measured again cut to each length. Either bound of a
+    length loses at most ``LOSS`` of all and ``LANGUAGE_LOSS`` of any language, less what a
+    ``MARGIN`` towards an even guess and towards text without a known n-gram gives back. Lengths
+    with too few texts to measure the loss take the bounds below them; if all have too few, the
+    bounds lie halfway instead.
+    """
+    rows = held.filter("content is not null and language is not null").select(
+        F.col("content").cast("string"), F.col("language").cast("string"))
+    sizes = {r["language"]: r["n"] for r in rows.groupBy("language").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not sizes:
+        return {}
+    lot = F.pmod(F.xxhash64("content", F.lit(6)), F.lit(1_000_000)) / 1_000_000
+    chance = F.create_map(*[F.lit(v) for k, n in sizes.items() for v in (k, min(1.0, HELD_ROWS / n))])
+
+    def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            names, texts = batch["language"].tolist(), batch["content"].tolist()
+            for length in LENGTHS:
+                cut = [(g, t[:length]) for g, t in zip(names, texts) if len(t) >= length and _LETTER.search(t[:length])]
+                for i in range(0, len(cut), 256):
+                    part = cut[i:i + 256]
+                    p, strange = model.measures([t for _, t in part])
+                    yield pd.DataFrame({"language": [g for g, _ in part], "length": length,
+                                        "score": np.floor(p.max(axis=1) * 1_000) / 1_000,
+                                        "strange": np.ceil(strange * 100) / 100})
+
+    # An even guess, and the greatest strangeness there is: no n-gram occurs in any example.
+    even, most = 1 / len(model.languages), float(model.weights[:, -1].max())
+    counted: dict[tuple, dict[float, int]] = {}
+    for r in rows.filter(lot < chance[F.col("language")]).mapInPandas(
+            measured, "language string, length int, score double, strange double").select(
+            "language", "length", F.posexplode(F.array("score", "strange")).alias("which", "value")).groupBy(
+            "language", "length", "which", "value").agg(F.count(F.lit(1)).alias("n")).collect():
+        for group in (r["language"], None):
+            values = counted.setdefault((r["length"], r["which"], group), {})
+            values[r["value"]] = values.get(r["value"], 0) + r["n"]
+    sizes = {length: sum(v.values()) for (length, _, group), v in counted.items() if group is None}
+    enough = {length for length, n in sizes.items() if n * LOSS >= 1}
+    out: dict[int, tuple[float, float]] = {}
+    for (length, which, group), values in counted.items():
+        if enough and length not in enough:
+            continue
+        found = sorted(values.items(), reverse=which == 1)
+        bound = _outermost(found, int((LOSS if group is None else LANGUAGE_LOSS) * sum(values.values())))
+        bound += (MARGIN if enough else 0.5) * ((even, most)[which] - bound)
+        score, strange = out.get(length, (1.0, 0.0))
+        out[length] = (score, max(strange, bound)) if which else (min(score, bound), strange)
+    return out
 
 
 def identify_language(messages: DataFrame, examples: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
@@ -203,4 +285,4 @@ def identify_language(messages: DataFrame, examples: DataFrame, train_rows: int
     an empty result.
     """
     found = language_udf(fit_language(examples, train_rows))
-    return contents(messages).select("id", found("content").alias("found")).select("id", "found.*")
+    return contents(messages).select("id", found("content").alias("found")).select("id", "found.language", "found.score")

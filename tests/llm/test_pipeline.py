@@ -1,5 +1,7 @@
 """The corpus pipeline against plain versions of its stages, and the registered queries."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 from samples import groups, hits, prose
@@ -62,6 +64,23 @@ def test_stages_against_plain_versions(spark, folder, tmp_path):
     assert corpus_pipeline.run(spark, root).count() == packed.count()
 
 
+def test_language_stage_rejects_by_the_prediction(spark):
+    rng = random.Random(8)
+    mixed = lambda letters, n: " ".join("".join(rng.choice(letters) for _ in range(7)) for _ in range(n))
+    rows = [(i, text(i, n), lang) for text, lang, first in ((prose, "en", 0), (german, "de", 1_000))
+            for i, n in zip(range(first, first + 400), [1, 3, 10, 60] * 100)]
+    unknown = [(5_000, mixed("жщыбцдфгяэюи", 60), None), (5_001, mixed("qxzjvkwqxy", 60), None),
+               (5_002, mixed("人生自由尊严权利平", 60), None)]
+    clean = [(6_000 + i, f(7_000 + i, n), None) for i, (f, n) in enumerate(
+        [(prose, 3), (prose, 10), (prose, 60), (german, 3), (german, 10), (german, 60)])]
+    docs = spark.createDataFrame([(i, t, g, "s", len(t)) for i, t, g in rows + unknown + clean], SCHEMA)
+    kept = {r["doc_id"] for r in corpus_pipeline.language(spark, docs, "").collect()}
+    assert not kept & {i for i, _, _ in unknown}
+    assert {i for i, _, _ in clean} <= kept and len(kept & {i for i, _, _ in rows}) >= 0.99 * len(rows)
+    unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert corpus_pipeline.language(spark, unlabelled, "").count() == docs.count()
+
+
 def test_pipeline_of_nothing(spark, folder, tmp_path):
     root, _, _ = folder
     empty = spark.read.parquet(f"{root}/documents.parquet").limit(0)
