@@ -161,6 +161,22 @@ def test_trees_add_other_spellings_and_leave_look_alikes(spark):
     assert train.filter(overlaps).count() == 0
 
 
+def test_other_spellings_in_the_training_texts_are_found(spark):
+    contents = []
+    for i, text in personal(400):
+        if i % 20 == 0:
+            text = text.replace("@", " (at) ").replace(".example.com", " (dot) example (dot) com")
+        if i % 20 == 1:
+            text = text.replace("tel +", "tel ")
+        contents.append((i, text))
+    train = messages(spark, contents)
+    found = {r["id"]: {pii.KINDS[s["kind"]] for s in r["added"]} for r in pii.find_personal_data(
+        train, pii.fit_detector(train)).collect()}
+    assert sum("email" in found[i] for i in range(0, 400, 20)) >= 18
+    assert sum("phone" in found[i] for i in range(1, 400, 20)) >= 18
+    assert sum(bool(found[i]) for i in found if i % 20 > 1) == 0
+
+
 def test_trees_need_both_sorts(spark):
     assert pii.fit_detector(messages(spark, AWKWARD)) is None
     assert pii.fit_detector(messages(spark, [])) is None
