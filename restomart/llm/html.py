@@ -33,17 +33,27 @@ _PARAGRAPH_CLOSERS = set("address article aside blockquote div dl fieldset foote
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
            "th": {"td", "th"}, "option": {"option"}}
 _SCOPES = {"ul", "ol", "dl", "table", "select", "article", "main", "body"}
+# Names of several words count only as these compounds: 'cookie-notice' is dropped, 'with-sidebar' is not.
+_PARTS = _DROPPED_WORDS | set("area bar block body bottom box button buttons container form icons inner item items link "
+                              "links list message overlay panel section site slot text top unit widgets wrap wrapper".split())
 _WORDS = re.compile(r"[a-z]+")
+_HEAD = set("title base link meta style script noscript template".split())
+
+
+def _dropped_name(token: str) -> bool:
+    """Whether a class or id begins or ends with a dropped word and holds no word of another sense."""
+    words = _WORDS.findall(token)
+    return bool(words) and bool({words[0], words[-1]} & _DROPPED_WORDS) and set(words) <= _PARTS
 
 
 class _Element:
-    __slots__ = ("tag", "label", "parts", "article", "main", "dropped", "holder", "first", "marked")
+    __slots__ = ("tag", "label", "parts", "article", "main", "dropped", "holder", "first", "marked", "hard")
 
-    def __init__(self, tag, label, article, main, dropped, first, marked):
+    def __init__(self, tag, label, article, main, dropped, first, marked, hard=False):
         self.tag, self.label, self.parts = tag, label, []
         self.article, self.main, self.dropped = article, main, dropped
         self.holder = tag in ("html", "body", "main", "article")  # holds the main text: no template
-        self.first, self.marked = first, marked
+        self.first, self.marked, self.hard = first, marked, hard  # hard: dropped, and not by a name only
 
 
 class PageReader(HTMLParser):
@@ -86,7 +96,14 @@ class PageReader(HTMLParser):
             if digest in self.templates:
                 del self.blocks[done.first:]
 
+    def _end_head(self, tag: str) -> None:
+        """Content that no head can hold, or a body, ends a head that was left open."""
+        if self.open[-1].tag == "head" and tag not in _HEAD or tag == "body":
+            while any(e.tag == "head" for e in self.open):
+                self._close()
+
     def handle_starttag(self, tag, attrs):
+        self._end_head(tag)
         if tag in _VOID:
             if tag not in _INLINE:
                 if tag in ("br", "hr"):
@@ -107,16 +124,20 @@ class PageReader(HTMLParser):
         top = self.open[-1]
         named = {k: v or "" for k, v in attrs}
         label = f"{named.get('id', '')} {named.get('class', '')}".lower()
-        words = set(_WORDS.findall(label))
         article = top.article or tag == "article"
         main = top.main or tag == "main" or named.get("role") == "main"
-        dropped = (top.dropped or tag in _DROPPED or named.get("role", "").lower() in _DROPPED_ROLES
-                   or "hidden" in named or bool(words & _DROPPED_WORDS) and tag not in ("html", "body")
-                   or tag == "header" and not (top.article or top.main))
+        hard = (top.hard or tag in _DROPPED or named.get("role", "").lower() in _DROPPED_ROLES
+                or "hidden" in named or tag == "header" and not (top.article or top.main))
+        by_name = any(map(_dropped_name, label.split()))
+        # A name never drops what holds the main text, nor a wrapper of it; later articles may be comments.
+        if tag in ("html", "body", "main") or tag == "article" and not self.articles and (not by_name or not top.dropped):
+            dropped = hard
+        else:
+            dropped = hard or top.dropped or by_name
         if not dropped:
             self.articles |= tag == "article"
             self.mains |= main
-        self.open.append(_Element(tag, label, article, main, dropped, len(self.blocks), bool(label.strip())))
+        self.open.append(_Element(tag, label, article, main, dropped, len(self.blocks), bool(label.strip()), hard))
 
     def handle_endtag(self, tag):
         for i in range(len(self.open) - 1, 0, -1):
@@ -131,8 +152,10 @@ class PageReader(HTMLParser):
         self.handle_starttag(tag, attrs)
 
     def handle_data(self, data):
-        top = self.open[-1]
         text = " ".join(data.split())
+        if text:
+            self._end_head("")
+        top = self.open[-1]
         if text:
             top.parts.append(text)
         if not top.dropped:

@@ -37,6 +37,26 @@ def test_articles_lose_everything_around_them():
         "Soup & Salad First line of text. Second one <b> &")
 
 
+def test_layout_names_keep_the_main_text():
+    for opened, closed in (("<div class='content with-sidebar'>", "</div>"), ("<div id='no-sidebar'>", "</div>"),
+                           ("<main class='has-sidebar'>", "</main>"), ("<article class='post comments-open'>", "</article>"),
+                           ("<article class='category-social'>", "</article>"), ("<main class=menu>", "</main>"),
+                           ("<div class=sidebar><main>", "</main></div>"), ("<div class=widget><article>", "</article></div>"),
+                           ("<body class=sidebar>", "")):
+        assert text_of(site(f"{opened}<p>kept text</p>{closed}")) == "kept text", opened
+    for name in ("ad", "sidebar", "cookie-notice", "share-buttons", "related posts", "sidebar_widget", "newsletter-form"):
+        assert text_of(site(f"<div><p>kept</p></div><div class='{name}'>gone</div>")) == "kept", name
+    comments = "<div id=comments><article class=comment>nice</article></div><article class=comment>too</article>"
+    assert text_of(site(f"<article>kept</article>{comments}")) == "kept"
+
+
+def test_heads_may_be_left_open():
+    for start in ("<html><head><title>T</title><body><p>a", "<head><meta charset=utf-8><title>T</title><p>a",
+                  "<head><title>T</title><script>x()</script>a", "<head><noscript><style>p{}</style><body><div>a"):
+        assert text_of(start) == "a", start
+    assert text_of("<head><title>T</title></head><body>a</body>") == "a"
+
+
 def test_broken_and_empty_pages():
     assert text_of("") == "" and text_of("<") == "<" and text_of("plain  text") == "plain text"
     assert text_of("<article><p>cut in the mid") == "cut in the mid"
