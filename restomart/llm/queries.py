@@ -9,13 +9,16 @@ from pyspark.sql import functions as F
 from restomart.llm.contamination import find_contamination
 from restomart.llm.html import extract_main_text
 from restomart.llm.language import identify_language
+from restomart.llm.manifest import order_manifest
 from restomart.llm.near_duplicates import near_duplicates
 from restomart.llm.nearest import nearest_vectors
 from restomart.llm.packing import pack_messages
 from restomart.llm.pii import KINDS, find_personal_data, fit_detector, spans_text
 from restomart.llm.quality import score_quality
+from restomart.llm.set_join import linked_messages
 from restomart.llm.token_counts import message_tokens
 from restomart.llm.warc import read_records, write_archives
+from restomart.llm.whitening import whitened_amounts
 from restomart.session import shared_path
 
 
@@ -105,6 +108,26 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_vectors(vectors, vectors.filter("id % 20 = 0")).withColumnRenamed("id", "vec_id")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("id"), F.col("embedding").alias("amounts"))
+    return whitened_amounts(vectors).withColumnRenamed("id", "vec_id")
+
+
+def op12_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linked_messages(as_messages(_table(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = _table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("id"), F.col("source").alias("channel"), F.col("lang").alias("source"),
+        F.col("n_chars").alias("total_cents"), F.col("text").alias("raw_data"))
+    changed = F.crc32(F.col("id").cast("string")) % 7 == 0
+    total = F.when(changed, F.col("total_cents") + 1).otherwise(F.col("total_cents"))
+    found = order_manifest(orders, ["id", "channel", "source", "total_cents", "raw_data"], {"total_cents": total})
+    return found.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_html_text": op2_html_text,
@@ -116,4 +139,7 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_quality": op9_quality,
     "op10_nearest_neighbours": op10_nearest_neighbours,
+    "op11_whitening": op11_whitening,
+    "op12_set_join": op12_set_join,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }

@@ -97,7 +97,10 @@ COLUMNS = {
     "op6_near_duplicates": "doc_id n_shingles component_id kept",
     "op7_decontamination": "doc_id n_words n_hit n_items items_sha256 contaminated",
     "op8_token_counts": "doc_id n_bytes n_tokens over_limit", "op9_quality": "doc_id held_out score predicted",
-    "op10_nearest_neighbours": "query_id rank vec_id score"}
+    "op10_nearest_neighbours": "query_id rank vec_id score",
+    "op11_whitening": "vec_id component n deviation whitened explained identity_error",
+    "op12_set_join": "doc_id n_shingles component_id",
+    "op13_merkle_manifest": "doc_id leaf subroot root proof_sha256 folded_root verified"}
 
 
 def test_queries_have_the_agreed_columns(spark, sf_dir):
