@@ -12,11 +12,11 @@ from restomart.operators.validate import InvalidExports, checked_exports
 from restomart.plans.normalize import normalize
 from restomart.session import build_session
 from restomart.sources.config import read_config
-from restomart.sources.store import SilverStore, load_stats
+from restomart.sources.store import LoadRejected, SilverStore, load_stats
 
 
 def load(spark, args) -> int:
-    """Stops with every violation before anything is written."""
+    """Stops with every violation before a version is published."""
     places, names = read_config(spark, args.locations, args.patterns, args.groups)
     exports = checked_exports(spark, args.toast, args.doordash, args.square, args.layout)
     return SilverStore(spark, args.store).load(
@@ -41,7 +41,7 @@ def main(argv: list[str] | None = None) -> int:
         return 0
     try:
         print(f"version {load(spark, args)}")
-    except InvalidExports as error:
+    except (InvalidExports, LoadRejected) as error:
         print(error, file=sys.stderr)
         return 1
     return 0

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from restomart import fixed_values as V
@@ -156,15 +156,18 @@ def orphans(child: DataFrame, reference: str, parent: DataFrame) -> DataFrame:
         "left_anti")
 
 
+def row_rules(table: str) -> dict[str, Column]:
+    """``rule|column`` and the condition that breaks it, for the rules that a row alone decides."""
+    rules = {f"domain|{column}": F.col(column).isNotNull() & ~F.col(column).isin(allowed)
+             for column, allowed in DOMAINS.get(table, {}).items()}
+    return rules | {f"not_null|{column}": F.col(column).isNull() for column in REQUIRED.get(table, [])}
+
+
 def row_rule_counts(tables: dict[str, DataFrame]) -> DataFrame:
     """Domain and not-null violations; every table is scanned once for all its rules."""
     parts = []
     for name, df in tables.items():
-        checks = {}
-        for column, allowed in DOMAINS.get(name, {}).items():
-            checks[f"domain|{column}"] = F.col(column).isNotNull() & ~F.col(column).isin(allowed)
-        for column in REQUIRED.get(name, []):
-            checks[f"not_null|{column}"] = F.col(column).isNull()
+        checks = row_rules(name)
         if not checks:
             continue
         counted = df.agg(*[F.count(F.when(c, 1)).alias(k) for k, c in checks.items()])
@@ -204,10 +207,8 @@ def quality_report(tables: dict[str, DataFrame]) -> DataFrame:
 def quarantine(df: DataFrame, table: str) -> tuple[DataFrame, DataFrame]:
     """(rows to load, rows to set aside) by the table's domains and required columns."""
     bad = F.lit(False)
-    for column, allowed in DOMAINS.get(table, {}).items():
-        bad = bad | (F.col(column).isNotNull() & ~F.col(column).isin(allowed))
-    for column in REQUIRED.get(table, []):
-        bad = bad | F.col(column).isNull()
+    for broken in row_rules(table).values():
+        bad = bad | broken
     return df.filter(~bad), df.filter(bad)
 
 

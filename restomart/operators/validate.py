@@ -50,14 +50,22 @@ def record_problems(spec: dict) -> Column:
     return F.concat(*[_problems(F.col(k), v, F.lit(k)) for k, v in spec.items()])
 
 
+def _with_unparsed(df: DataFrame, problems: Column) -> Column:
+    """A line that did not parse as declared has that problem if no other shows it."""
+    if CORRUPT not in df.columns:
+        return problems
+    return F.when(F.col(CORRUPT).isNotNull() & (F.size(problems) == 0),
+                  _problem(F.lit(""), "does not parse as declared")).otherwise(problems)
+
+
+def problems_of(df: DataFrame, kind: str) -> Column:
+    """Array of (path, message) of each record of a declared kind."""
+    return _with_unparsed(df, record_problems(RECORDS[kind][0]))
+
+
 def validate_records(df: DataFrame, spec: dict) -> DataFrame:
     """(file, record, path, message), one row per violation. ``df`` has file and seq."""
-    found = df.withColumn("_problems", record_problems(spec))
-    if CORRUPT in df.columns:
-        unparsed = F.col(CORRUPT).isNotNull() & (F.size("_problems") == 0)
-        found = found.withColumn(
-            "_problems", F.when(unparsed, _problem(F.lit(""), "does not parse as declared"))
-            .otherwise(F.col("_problems")))
+    found = df.withColumn("_problems", _with_unparsed(df, record_problems(spec)))
     return (found.select("file", F.col("seq.position").alias("record"),
                          F.explode("_problems").alias("p"))
             .select("file", "record", "p.path", "p.message"))

@@ -405,6 +405,14 @@ EXPORTS = {
           SELECT 'orders without payment', 'total', 0, (SELECT count(*) FROM tkept
             WHERE k NOT IN (SELECT k FROM tpay)))
         SELECT *, expected = actual AS ok FROM y""",
+    "s02_live_exports": f"""SELECT 'loaded' AS outcome, order_type AS detail, count(*) AS records,
+          CAST(sum(total_cents) AS BIGINT) AS total_cents
+        FROM ({DASH_ORDERS} WHERE k % 29 <> 0 AND k % 31 <> 0 AND k % 37 <> 0) GROUP BY ALL
+        UNION ALL SELECT 'set aside', 'store_id', count(*), NULL FROM doc WHERE k % 29 = 0 HAVING count(*) > 0
+        UNION ALL SELECT 'set aside', 'order_subtotal', count(*), NULL FROM doc
+          WHERE k % 29 <> 0 AND k % 31 = 0 HAVING count(*) > 0
+        UNION ALL SELECT 'set aside', 'several', count(*), NULL FROM doc
+          WHERE k % 29 <> 0 AND k % 31 <> 0 AND k % 37 = 0 HAVING count(*) > 0""",
     "s11_validation": """
         SELECT 'checks.' || (c - 1) || '.payments.' || (p - 1) || '.cardType' AS path,
                'expected string' AS message, count(*) AS violations
@@ -590,6 +598,11 @@ def _rule_rows(rule: str, name: str, column: str, condition: str) -> str:
 
 
 OPERATORS = {
+    "st3_stored_payments": """SELECT payment_type, created_at, count(*) AS payments,
+        CAST(sum(amount_cents) AS BIGINT) AS amount_cents FROM (
+          SELECT payment_type, created_at, CASE WHEN order_id % 50 = 7 THEN 5 ELSE amount_cents END AS amount_cents FROM s_payments
+          UNION ALL SELECT payment_type, created_at, amount_cents FROM s_payments WHERE order_id % 50 = 9)
+        GROUP BY ALL""",
     "a09_data_range": "SELECT min(created_at) AS earliest, max(created_at) AS latest FROM s_orders",
     "a10_location_names": "SELECT DISTINCT name FROM s_locations",
     "a10_category_names": "SELECT DISTINCT name FROM s_categories",
@@ -763,6 +776,12 @@ OTHERS = {
           'place ' || user_id % 7 AS location_name, count(*) AS orders,
           CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS total_cents
         FROM events WHERE event_type = 'purchase' GROUP BY 1, 2""",
+    "st1_live_distinct_users": """SELECT 'place ' || user_id % 7 AS location_name, count(DISTINCT user_id) AS users,
+        true AS within_bound FROM events GROUP BY 1""",
+    "st2_live_distinct_orders": """SELECT CAST(event_id AS VARCHAR) AS source_order_id, ts AS created_at
+        FROM events WHERE event_type = 'purchase'
+        UNION ALL SELECT CAST(event_id AS VARCHAR), ts + INTERVAL 21 DAY FROM events
+        WHERE event_type = 'purchase' AND event_id % 5 = 0""",
 }
 
 

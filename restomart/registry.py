@@ -29,7 +29,7 @@ from restomart.sources import star_exports as X
 from restomart.sources.exports import Exports, SquareExport
 from restomart.sources.silver import Silver, conform
 from restomart.sources.star_adapter import silver_from_star, table
-from restomart.sources.store import load_stats
+from restomart.sources.store import SilverStore, load_stats
 from restomart.streaming import live
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -492,6 +492,88 @@ def _live(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("hour_start", F.col("hour_start").cast("timestamp_ntz"))
 
 
+def _live_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct users per place from united hourly sketches, and whether they are within 3 % of an exact count."""
+    events = (spark.readStream.schema(table(spark, sf_dir, "events").schema)
+              .option("pathGlobFilter", "events.parquet").parquet(sf_dir))
+    place = F.concat(F.lit("place "), F.col("user_id") % 7).alias("location_name")
+    orders = events.select(F.col("ts").cast("timestamp").alias("created_at"), place,
+                           F.lit(0).cast("bigint").alias("total_cents"), "user_id")
+    out = shared_path(spark, "hourly-users")
+    live.start_hourly(orders, out, shared_path(spark, "hourly-users-state"), distinct="user_id").awaitTermination()
+    found = live.distinct_count(live.latest_updates(spark, out, ["hour_start", "location_name"]), "location_name")
+    exact = table(spark, sf_dir, "events").groupBy(place).agg(F.count_distinct("user_id").alias("users"))
+    near = F.abs(F.col("distinct_values") - F.col("users")) <= 0.03 * F.col("users")
+    return found.join(exact, "location_name").select("location_name", "users", near.alias("within_bound"))
+
+
+WEEK = 7 * 24 * 3600
+
+
+def _live_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Purchases that come again: 30 minutes later (a repeat) and three weeks later (by then forgotten).
+    They arrive week by week."""
+    sold = table(spark, sf_dir, "events").filter(F.col("event_type") == "purchase").select(
+        F.col("event_id").cast("string").alias("source_order_id"), F.col("ts").cast("timestamp").alias("created_at"))
+    later = lambda every, seconds: sold.filter(F.col("source_order_id") % every == 0).withColumn(
+        "created_at", F.col("created_at") + F.make_dt_interval(secs=F.lit(seconds)))
+    arrived = sold.unionByName(later(3, 1800)).unionByName(later(5, 3 * WEEK)).withColumn("source", F.lit("square"))
+    arrived = arrived.withColumn("week", F.floor(F.unix_timestamp("created_at") / WEEK))
+    inbox = shared_path(spark, "inbox")
+    for week in sorted(r[0] for r in arrived.select("week").distinct().collect()):
+        arrived.filter(F.col("week") == week).drop("week").coalesce(1).write.mode("append").parquet(inbox)
+    stream = spark.readStream.schema(arrived.drop("week").schema).option("maxFilesPerTrigger", 1).parquet(inbox)
+    out = shared_path(spark, "distinct")
+    (live.distinct_orders(stream).writeStream.format("parquet").option("path", out)
+     .option("checkpointLocation", shared_path(spark, "distinct-state")).trigger(availableNow=True).start().awaitTermination())
+    return spark.read.schema(stream.schema).parquet(out).select(
+        "source_order_id", F.col("created_at").cast("timestamp_ntz"))
+
+
+def _live_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DoorDash exports taken in as line files: some without a store, some with a text for a sum, some torn."""
+    docs = X.doordash_documents(spark, sf_dir)
+    key = F.substring("external_delivery_id", 2, 20).cast("bigint")
+    line = F.to_json(F.struct(*[c for c in docs.columns if c not in ("seq", "file")]))
+    line = (F.when(key % 29 == 0, F.regexp_replace(line, '"store_id":"[^"]*",', ""))
+            .when(key % 31 == 0, F.regexp_replace(line, '"order_subtotal":[0-9]+', '"order_subtotal":"much"'))
+            .when(key % 37 == 0, F.substring(line, 1, 60)).otherwise(line))
+    inbox, aside = shared_path(spark, "exports"), shared_path(spark, "set-aside")
+    docs.select(line.alias("value")).write.text(inbox)
+    store = SilverStore(spark, shared_path(spark, "live-store"))
+    places = _xref(spark, sf_dir)
+    live.start_exports(spark, "doordash_orders", inbox, lambda good: O.doordash_rows(good, places), store, aside,
+                       shared_path(spark, "exports-state"), files_per_batch=4).awaitTermination()
+    loaded = store.read("orders").groupBy(F.lit("loaded").alias("outcome"), F.col("order_type").alias("detail")).agg(
+        F.count(F.lit(1)).alias("records"), F.sum("total_cents").alias("total_cents"))
+    bad = spark.read.parquet(aside).groupBy(
+        F.lit("set aside").alias("outcome"),
+        F.when(F.size("problems") > 1, "several").otherwise(F.col("problems")[0]["path"]).alias("detail")).agg(
+        F.count(F.lit(1)).alias("records")).withColumn("total_cents", F.lit(None).cast("bigint"))
+    return loaded.unionByName(bad)
+
+
+def _stored_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payments saved, then a batch of changed and new ones merged, one added by a stream and replayed; the
+    same sums before and after that batch is merged."""
+    payments = conform(silver_from_star(spark, sf_dir).payments, "payments")
+    store = SilverStore(spark, shared_path(spark, "store"))
+    store.save({"payments": payments})
+    number = F.col("order_id").cast("bigint")
+    changed = payments.filter(number % 50 == 7).withColumn("amount_cents", F.col("amount_cents") + 1)
+    new = payments.filter(number % 50 == 9).withColumn("id", F.concat(F.lit("new"), "id"))
+    store.upsert({"payments": changed.unionByName(new)})
+    added = payments.filter(number % 50 == 7).withColumn("amount_cents", F.lit(5).cast("bigint"))
+    for _ in range(2):
+        store.append("payments", added, ["id"], "live", 0)
+    by = ["payment_type", "created_at"]
+    sums = [F.count(F.lit(1)).alias("payments"), F.sum("amount_cents").alias("amount_cents")]
+    before = store.read("payments").groupBy(*by).agg(*sums)
+    store.compact("payments")
+    after = store.read("payments").groupBy(*by).agg(*sums)
+    return before.join(after, [*by, "payments", "amount_cents"])
+
+
 LOGS: dict[str, Query] = {name: _star(build) for name, build in {
     "h01_conversation_list": lambda s, d: conversations.list_conversations(_messages(s, d)),
     "h03_touched_conversations": _touched,
@@ -510,6 +592,10 @@ LOGS: dict[str, Query] = {name: _star(build) for name, build in {
     "w04_running_costs": lambda s, d: usage.running_costs(_costs(s, d)).select(
         "process_id", "seq", "total_cost", "running_cost", "running_calls"),
     "st1_live_hourly": _live,
+    "st1_live_distinct_users": _live_users,
+    "st2_live_distinct_orders": _live_distinct,
+    "st3_stored_payments": _stored_upsert,
+    "s02_live_exports": _live_exports,
 }.items()}
 
 

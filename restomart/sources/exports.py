@@ -33,13 +33,10 @@ def seq_of(place: Column, position: Column, key: Column) -> Column:
 def read_records(spark: SparkSession, kind: str, path: str, layout: str = "document",
                  keep_corrupt: bool = False) -> DataFrame:
     spec, array = RECORDS[kind]
-    order, key = LINE_ORDER[kind]
+    _, key = LINE_ORDER[kind]
     reader = spark.read.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
     if layout == "lines":
-        df = reader.schema(f"{ddl_schema(spec)}, {CORRUPT} string").json(path)
-        place = F.col(order) if order else F.lit("")
-        df = df.withColumn("seq", seq_of(place, F.lit(0), F.col(key)))
-        df = df.withColumn("file", F.col("_metadata.file_path"))
+        df = _placed_lines(reader.schema(f"{ddl_schema(spec)}, {CORRUPT} string").json(path), kind)
     else:
         schema = f"`{array}` array<{ddl_type(spec)}>, {CORRUPT} string"
         whole = (reader.schema(schema).option("multiLine", True).json(path)
@@ -53,6 +50,20 @@ def read_records(spark: SparkSession, kind: str, path: str, layout: str = "docum
     return df if keep_corrupt else df.drop(CORRUPT)
 
 
+def _placed_lines(df: DataFrame, kind: str) -> DataFrame:
+    order, key = LINE_ORDER[kind]
+    place = F.col(order) if order else F.lit("")
+    return df.withColumn("seq", seq_of(place, F.lit(0), F.col(key))).withColumn(
+        "file", F.col("_metadata.file_path"))
+
+
+def stream_records(spark: SparkSession, kind: str, folder: str, files_per_batch: int = 100) -> DataFrame:
+    """Records of line files as they arrive in a folder; a line that does not parse keeps its text."""
+    reader = (spark.readStream.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
+              .option("maxFilesPerTrigger", files_per_batch))
+    return _placed_lines(reader.schema(f"{ddl_schema(RECORDS[kind][0])}, {CORRUPT} string").json(folder), kind)
+
+
 def read_toast(spark: SparkSession, path: str, layout: str = "document") -> DataFrame:
     return read_records(spark, "toast_orders", path, layout)
 

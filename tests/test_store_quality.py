@@ -9,7 +9,7 @@ from restomart.plans import gold
 from restomart.plans.recipes import sales_by_location
 from restomart.sources.silver import Silver, conform, list_tables
 from restomart.sources.star_adapter import silver_from_star
-from restomart.sources.store import SilverStore, latest_per_key, load_stats, query
+from restomart.sources.store import LoadRejected, SilverStore, latest_per_key, load_stats, query
 
 
 def orders(spark, rows):
@@ -168,3 +168,101 @@ def test_quality_report_and_quarantine(spark):
 def test_load_stats(spark):
     assert {tuple(r) for r in load_stats({"x": spark.range(3), "y": spark.range(0)}).collect()} == {
         ("x", 3), ("y", 0)}
+
+
+def files_of(root):
+    return {str(p): p.stat().st_mtime_ns for p in root.rglob("*.parquet")}
+
+
+def test_upsert_rewrites_only_the_folders_it_touches(spark, tmp_path):
+    store = SilverStore(spark, str(tmp_path))
+    store.save({"orders": orders(spark, [order("a"), order("b", day=2), order("c", day=3), order("d", day=4)])})
+    before = store.state().tables["orders"].parts
+    old = files_of(tmp_path)
+    moved = orders(spark, [order("b", day=5, total=9), order("e", day=3)])
+    store.upsert({"orders": moved})
+    after = store.state().tables["orders"].parts
+    assert {p for p in before if after.get(p) == before[p]} == {"order_date=2025-01-01", "order_date=2025-01-04"}
+    assert set(after) - set(before) == {"order_date=2025-01-05"} and "order_date=2025-01-02" not in after
+    assert {k: v for k, v in files_of(tmp_path).items() if k in old} == old
+    got = {r.id: (r.order_date.day, r.total_cents) for r in store.read("orders").collect()}
+    assert got == {"a": (1, 100), "b": (5, 9), "c": (3, 100), "d": (4, 100), "e": (3, 100)}
+    assert store.log().filter("version = 2").first().row_count == 5
+
+
+def test_two_writers_lose_nothing(spark, tmp_path, monkeypatch):
+    one, two = SilverStore(spark, str(tmp_path)), SilverStore(spark, str(tmp_path))
+    one.save({"orders": orders(spark, [order("a")])})
+    publish, raced = SilverStore._publish, []
+
+    def slow(store, version, entries):
+        if not raced:
+            raced.append(two.upsert({"orders": orders(spark, [order("a", total=5), order("c", day=2)])}))
+        return publish(store, version, entries)
+
+    monkeypatch.setattr(SilverStore, "_publish", lambda s, *a: slow(s, *a) if s is one else publish(s, *a))
+    assert one.upsert({"orders": orders(spark, [order("b"), order("c", day=2, total=7)])}) == 3 and raced == [2]
+    assert {r.id: r.total_cents for r in one.read("orders").collect()} == {"a": 5, "b": 100, "c": 7}
+    places = conform(spark.createDataFrame([("L1", "Downtown")], "id string, name string"), "locations")
+    raced.clear()
+    assert one.save({"locations": places}) == 5  # the orders that came between are kept
+    assert store_rows(one) == {"orders": 3, "locations": 1}
+    assert not one._publish(5, [{"table_name": "orders", "kind": "table", "row_count": 0, "replaces": True}])
+    assert store_rows(two) == {"orders": 3, "locations": 1}
+
+
+def store_rows(store):
+    return {n: df.count() for n, df in store.silver().tables().items()}
+
+
+def test_added_batches_are_small_replayed_once_and_merged(spark, tmp_path):
+    store = SilverStore(spark, str(tmp_path))
+    many = [order(f"o{i}", day=1 + i % 25) for i in range(500)]
+    store.save({"orders": orders(spark, many)})
+    old = files_of(tmp_path)
+    batch = orders(spark, [order("o3", day=9, total=1), order("new")])
+    for _ in range(2):  # the second is a replay
+        assert store.append("orders", batch, ["id"], "s1", 0) == 2
+    later = orders(spark, [order("o3", day=10, total=2)])
+    store.append("orders", later, ["id"], "s1", 1)
+    store.append("orders", orders(spark, [order("x", day=11)]), ["id"], "s2", 0)
+    more = [p for p in files_of(tmp_path) if p not in old]
+    assert 0 < len(more) <= 12 and store.state().version == 4
+    want = {r.id: (r.order_date, r.total_cents) for r in store.read("orders").collect()}
+    assert len(want) == 502 and want["o3"] == (dt.date(2025, 1, 10), 2)
+    before = store.state().tables["orders"].parts
+    store.compact("orders")
+    state = store.state().tables["orders"]
+    assert not state.deltas and state.row_count == 502
+    assert sum(state.parts[p] != before[p] for p in before) == 4  # days 1, 4, 10 and 11
+    assert {r.id: (r.order_date, r.total_cents) for r in store.read("orders").collect()} == want
+    assert store.append("orders", batch, ["id"], "s1", 1) == 5 and store.compact("orders") == 5
+
+
+def test_load_stops_on_broken_rules_before_its_version(spark, tmp_path):
+    store = SilverStore(spark, str(tmp_path))
+    places = conform(spark.createDataFrame([("L1", "Downtown"), ("L2", "Uptown")], "id string, name string"), "locations")
+    good = Silver(locations=places, orders=orders(spark, [order("a"), order("a")]))
+    assert store.load(good) == 1
+    pays = conform(spark.createDataFrame([("p1", "a", "credit", 5), ("p2", "zz", "gold", 5), ("p3", None, "cash", 5)],
+                                         "id string, order_id string, payment_type string, amount_cents bigint"), "payments")
+    again = conform(spark.createDataFrame([("L3", "Same"), ("L4", "Same")], "id string, name string"), "locations")
+    twice = orders(spark, [order("b", place="L9"), order("c", kind="brunch"), ("d", *order("a")[1:])])
+    with pytest.raises(LoadRejected) as error:
+        store.load(Silver(locations=again, orders=twice, payments=pays))
+    assert set(error.value.counts) == {
+        ("locations", "unique", "name", 2), ("orders", "domain", "order_type", 1), ("orders", "reference", "location_id", 1),
+        ("payments", "domain", "payment_type", 1), ("payments", "not_null", "order_id", 1),
+        ("payments", "reference", "order_id", 1)}
+    assert store.state().version == 1 and store_rows(store) == {"locations": 2, "orders": 1}
+    assert store.load(Silver(locations=again, orders=twice, payments=pays), enforce=False) == 2
+
+
+def test_a_load_counts_while_it_writes(spark, tmp_path):
+    opened = []
+    store = SilverStore(spark, str(tmp_path))
+    base = SilverStore._base
+    store._base = lambda table, parts: opened.append(table) or base(store, table, parts)
+    store.load(Silver(orders=orders(spark, [order("a"), order("b", day=2)])))
+    assert opened.count("orders") <= 1  # only as parents, by id
+    assert store.log().first().row_count == 2
