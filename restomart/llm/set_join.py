@@ -6,14 +6,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from restomart.llm.common import contents, materialize
 from restomart.llm.components import connected_components
-from restomart.llm.near_duplicates import SHINGLE_WORDS, shingle_set
+from restomart.llm.shingles import SHINGLE_WORDS, set_key, shingle_set, text_bytes
 from restomart.session import split_skewed_joins
 
 COUNTERS = 1 << 18  # shared counters that order shingles from rare to frequent
@@ -28,13 +27,13 @@ CHUNK = 1 << 22  # counts that are compared at once
 Batches = Iterator[pa.RecordBatch]
 
 
-def _key(shingles: np.ndarray) -> tuple[int, int]:
-    return tuple(np.frombuffer(xxhash.xxh3_128_digest(shingles.tobytes()), np.int64).tolist())
+def _column(batch: pa.RecordBatch, name: str) -> pa.Array:
+    return batch.column(batch.schema.get_field_index(name))
 
 
-def _texts(batch: pa.RecordBatch) -> Iterator[str]:
-    for text in batch.column(batch.schema.get_field_index("content")):
-        yield text.as_py()
+def _short(key: bytes) -> int:
+    """The first half of a set's key."""
+    return int.from_bytes(key[:8], "little", signed=True)
 
 
 def groups_of(size: int) -> int:
@@ -54,27 +53,27 @@ def _folded(points: list[np.ndarray], n: int) -> np.ndarray:
 
 
 def _scan(width: int):
-    """Size and key of each message's set, and at the end of the task its shingles by shared counter."""
+    """Size, key and point of each message's set, and at the end of the task its shingles by shared counter."""
+    names = ["id", "n_shingles", "set_key", "short", "point", "counters", "counts"]
+    kinds = [pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64())]
+
     def run(batches: Batches) -> Batches:
-        totals, ids = np.zeros(COUNTERS, np.int64), None
+        totals, id_type = np.zeros(COUNTERS, np.int64), None
         for batch in batches:
-            ids = batch.column(batch.schema.get_field_index("id"))
-            found = []
-            for text in _texts(batch):
+            ids = _column(batch, "id")
+            id_type, found = ids.type, []
+            for text in text_bytes(_column(batch, "content")):
                 shingles = shingle_set(text, width)
                 np.add.at(totals, (shingles % np.uint64(COUNTERS)).astype(np.int64), 1)
-                found.append((len(shingles), *(_key(shingles) if len(shingles) else (None, None))))
-            n, high, low = zip(*found) if found else ((), (), ())
-            yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(n, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64()),
-                 pa.nulls(len(n), pa.list_(pa.int32())), pa.nulls(len(n), pa.list_(pa.int64()))],
-                names=["id", "n_shingles", "high", "low", "counters", "counts"])
+                key = set_key(shingles) if len(shingles) else None
+                found.append((len(shingles), key, key and _short(key), key and point(shingles).tobytes(), None, None))
+            columns = zip(*found) if found else [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([ids, *map(pa.array, columns, kinds)], names=names)
         used = np.flatnonzero(totals)
-        if ids is not None and len(used):
-            nothing = pa.nulls(1, pa.int64())
+        if len(used):
+            nothing = [pa.nulls(1, kind) for kind in (id_type, *kinds[:4])]
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(1, ids.type), nothing, nothing, nothing, pa.array([used.astype(np.int32)]), pa.array([totals[used]])],
-                names=["id", "n_shingles", "high", "low", "counters", "counts"])
+                [*nothing, pa.array([used.astype(np.int32)]), pa.array([totals[used]])], names=names)
     return run
 
 
@@ -95,46 +94,31 @@ def prefix(shingles: np.ndarray, levels: np.ndarray, percent: int) -> np.ndarray
     return shingles[order[:wanted]]
 
 
-def _cells(width: int, percent: int, levels: np.ndarray):
+def _fitting(width: int):
+    """Of the rows fetched by id, those that have the set of their class."""
     def run(batches: Batches) -> Batches:
-        seen = set()
         for batch in batches:
-            parts, keys, sizes = [], [], []
-            for text in _texts(batch):
-                shingles = shingle_set(text, width)
-                if len(shingles) and (key := _key(shingles)) not in seen:
-                    seen.add(key)
-                    parts.append(prefix(shingles, levels, percent).view(np.int64))
-                    keys.append(key)
-                    sizes.append(len(shingles))
-            if parts:
-                times = [len(p) for p in parts]
-                high, low = np.repeat(np.array(keys, np.int64), times, axis=0).T
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(parts)), pa.array(np.ascontiguousarray(high)), pa.array(np.ascontiguousarray(low)),
-                     pa.array(np.repeat(sizes, times))], names=["cell", "high", "low", "n_shingles"])
+            keys = _column(batch, "set_key").to_pylist()
+            fits = [len(s := shingle_set(t, width)) > 0 and set_key(s) == k for k, t in zip(keys, text_bytes(_column(batch, "content")))]
+            yield batch.filter(pa.array(fits, pa.bool_())).select(["set_key", "content"])
     return run
 
 
-def _set_key() -> Column:
-    part = lambda c: F.lpad(F.hex(c), 16, "0")
-    return F.concat(part("high"), part("low"))
-
-
-def _points(width: int):
-    """Point and whole set of the messages that have the set of their class."""
+def _cells(width: int, percent: int, levels: np.ndarray):
+    """The cells of each different set that a task meets."""
     def run(batches: Batches) -> Batches:
+        seen: set[bytes] = set()
         for batch in batches:
-            out = []
-            keys = batch.column(batch.schema.get_field_index("set_key")).to_pylist()
-            for key, text in zip(keys, _texts(batch)):
+            parts, owners = [], []
+            for text in text_bytes(_column(batch, "content")):
                 shingles = shingle_set(text, width)
-                if len(shingles) and "%016X%016X" % tuple(k % (1 << 64) for k in _key(shingles)) == key:
-                    out.append((key, len(shingles), point(shingles).tobytes(), shingles.tobytes()))
-            columns = list(zip(*out)) if out else [[]] * 4
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.binary(), pa.binary()))],
-                names=["set_key", "n_shingles", "point", "shingles"])
+                if len(shingles) and (key := set_key(shingles)) not in seen:
+                    seen.add(key)
+                    parts.append(prefix(shingles, levels, percent).view(np.int64))
+                    owners.append(_short(key))
+            if parts:
+                short = np.repeat(np.array(owners, np.int64), [len(p) for p in parts])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts)), pa.array(short)], names=["cell", "short"])
     return run
 
 
@@ -199,7 +183,7 @@ class CountTree:
 class _Tile:
     """Rows of one cell as arrays."""
 
-    def __init__(self, rows: list[tuple], codes: dict[str, int]):
+    def __init__(self, rows: list[tuple], codes: dict[bytes, int]):
         self.keys = [r[0] for r in rows]
         self.sizes = np.array([r[1] for r in rows], np.int64)
         self.components = np.array([codes.setdefault(r[2], len(codes)) for r in rows])
@@ -216,32 +200,35 @@ def _pairs(one: _Tile, two: _Tile, percent: int) -> tuple[np.ndarray, np.ndarray
     return a, b, bound
 
 
+def _rows(batches: Batches, *names: str) -> Iterator[tuple]:
+    for batch in batches:
+        yield from zip(*[_column(batch, n).to_pylist() for n in names])
+
+
 def _tiles(batches: Batches) -> Iterator[tuple[int, list[tuple]]]:
     """(cell, rows) of a stream sorted by cell, cut into tiles of bounded size."""
     last, held, weight = None, [], 0
-    for batch in batches:
-        columns = [batch.column(batch.schema.get_field_index(c)).to_pylist()
-                   for c in ("cell", "set_key", "n_shingles", "component", "point")]
-        for cell, *row in zip(*columns):
-            if held and (cell != last or len(held) == TILE_ROWS or weight > TILE_BYTES):
-                yield last, held
-                held, weight = [], 0
-            last = cell
-            held.append(tuple(row))
-            weight += len(row[3])
+    for cell, *row in _rows(batches, "cell", "set_key", "n_shingles", "component", "point"):
+        if held and (cell != last or len(held) == TILE_ROWS or weight > TILE_BYTES):
+            yield last, held
+            held, weight = [], 0
+        last = cell
+        held.append(tuple(row))
+        weight += len(row[3])
     if held:
         yield last, held
 
 
-def _edges(found: list[tuple[str, str]]) -> pa.RecordBatch:
+def _edges(found: list[tuple[bytes, bytes | None]]) -> pa.RecordBatch:
     a, b = zip(*found) if found else ((), ())
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string())], names=["a", "b"])
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
 
 def _nearest(percent: int):
-    """For each row of a tile the partner before it that may have the most in common with it."""
+    """For each row of a tile the partner before it that may have the most in common with it; rows
+    without a partner of their own that later rows or other tiles may still need come with a null."""
     def run(batches: Batches) -> Batches:
-        found = []
+        found: list[tuple] = []
         for _, rows in _tiles(batches):
             if len(rows) > 1:
                 tile = _Tile(rows, {})
@@ -250,6 +237,8 @@ def _nearest(percent: int):
                 order = np.lexsort((b, -share, a))
                 first = order[np.append(True, a[order][1:] != a[order][:-1])] if len(a) else order
                 found += [(tile.keys[b[i]], tile.keys[a[i]]) for i in first]
+                wanted = range(len(rows)) if len(rows) == TILE_ROWS else np.setdiff1d(b, a)
+                found += [(tile.keys[i], None) for i in wanted]
             if len(found) > 10_000:
                 yield _edges(found)
                 found = []
@@ -264,17 +253,18 @@ def _numbered(batches: Batches) -> Batches:
         keys, sizes, components, points = zip(*rows)
         least = np.stack([np.frombuffer(p, np.int32).reshape(LEAST_GROUPS, -1).sum(axis=1) for p in points])
         most = [least.max(axis=0)] + [None] * (len(rows) - 1)  # once a tile
+        same = lambda v: pa.array([v] * len(rows), pa.int64())
         yield pa.RecordBatch.from_arrays(
-            [pa.array([cell] * len(rows), pa.int64()), pa.array([tile] * len(rows), pa.int64()), pa.array(keys), pa.array(sizes, pa.int64()),
-             pa.array(components), pa.array(points, pa.binary()), pa.array(most, pa.list_(pa.int32()))],
+            [same(cell), same(tile), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(components, pa.binary()),
+             pa.array(points, pa.binary()), pa.array(most, pa.list_(pa.int32()))],
             names=["cell", "tile", "set_key", "n_shingles", "component", "point", "most"])
         tile += 1
 
 
 def _all_near(percent: int):
     """All pairs of two tiles that may be similar; rows come sorted by pair of tiles and side."""
-    def pairs(rows: list[tuple]) -> list[tuple[str, str]]:
-        codes: dict[str, int] = {}
+    def pairs(rows: list[tuple]) -> list[tuple[bytes, bytes]]:
+        codes: dict[bytes, int] = {}
         one = _Tile([r[1:] for r in rows if r[0] == 0], codes)
         two = _Tile([r[1:] for r in rows if r[0] == 1], codes) if rows[-1][0] == 1 else one
         a, b, _ = _pairs(one, two, percent)
@@ -282,51 +272,48 @@ def _all_near(percent: int):
 
     def run(batches: Batches) -> Batches:
         last, held = None, []
-        for batch in batches:
-            columns = [batch.column(batch.schema.get_field_index(c)).to_pylist()
-                       for c in ("left", "right", "side", "set_key", "n_shingles", "component", "point")]
-            for left, right, *row in zip(*columns):
-                if held and (left, right) != last:
-                    yield _edges(pairs(held))
-                    held = []
-                last = left, right
-                held.append(tuple(row))
+        for left, right, *row in _rows(batches, "left", "right", "side", "set_key", "n_shingles", "component", "point"):
+            if held and (left, right) != last:
+                yield _edges(pairs(held))
+                held = []
+            last = left, right
+            held.append(tuple(row))
         if held:
             yield _edges(pairs(held))
     return run
 
 
-def _verify(percent: int):
-    """Edges whose whole sets are similar; each group has the set of ``a`` first, then those of its partners."""
+def _verify(width: int, percent: int):
+    """Edges whose whole sets are similar; each group has the text of ``a`` first, then those of its partners."""
     def run(batches: Batches) -> Batches:
         centre = None
         for batch in batches:
             found = []
-            columns = [batch.column(batch.schema.get_field_index(c)) for c in ("a", "b", "shingles")]
-            for a, b, held in zip(*columns):
-                shingles = np.frombuffer(held.as_buffer(), np.uint64)
+            for a, b, text in zip(_column(batch, "a"), _column(batch, "b"), text_bytes(_column(batch, "content"))):
+                shingles = shingle_set(text, width)
                 if not b.is_valid:
                     centre = shingles
                     continue
-                shared = len(np.intersect1d(centre, shingles, assume_unique=True))
-                if 100 * shared >= percent * (len(centre) + len(shingles) - shared):
+                both = np.concatenate([centre, shingles])
+                both.sort()
+                shared = int((both[1:] == both[:-1]).sum())
+                if 100 * shared >= percent * (len(both) - shared):
                     found.append((a.as_py(), b.as_py()))
             yield _edges(found)
     return run
 
 
-def _verified(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Each message's set travels once per slice of its partners, one set a row."""
-    edges = materialize(edges.distinct(), "candidate-pairs")
+def _verified(edges: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Each message travels once per slice of its partners, one text a row."""
+    edges = materialize(edges.filter("b is not null").distinct(), "candidate-pairs")
     slices = edges.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / SLICE).alias("slices"))
     cut = edges.join(slices, "a").select("a", "b", F.pmod(F.xxhash64("b"), "slices").alias("slice"))
-    whole = sets.select("set_key", "shingles")
-    partners = cut.join(whole, F.col("b") == F.col("set_key")).select("a", "slice", "b", "shingles")
-    centres = cut.select("a", "slice").distinct().join(whole, F.col("a") == F.col("set_key")).select(
-        "a", "slice", F.lit(None).cast("string").alias("b"), "shingles")
+    partners = cut.join(texts, F.col("b") == F.col("set_key")).select("a", "slice", "b", "content")
+    centres = cut.select("a", "slice").distinct().join(texts, F.col("a") == F.col("set_key")).select(
+        "a", "slice", F.lit(None).cast("binary").alias("b"), "content")
     return materialize(
         partners.unionByName(centres).repartition("a", "slice").sortWithinPartitions("a", "slice", F.col("b").asc_nulls_first())
-        .mapInArrow(_verify(percent), "a string, b string"), "links")
+        .mapInArrow(_verify(width, percent), "a binary, b binary"), "links")
 
 
 def _mixed(crowded: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -340,16 +327,16 @@ def _mixed(crowded: DataFrame, labels: DataFrame | None) -> DataFrame:
     return labelled.join(several.select("cell"), "cell")
 
 
-def _sorted(members: DataFrame, sets: DataFrame) -> DataFrame:
+def _sorted(members: DataFrame, points: DataFrame) -> DataFrame:
     order = ("cell", "n_shingles", "set_key")
-    return members.join(sets.select("set_key", "point"), "set_key").select(
+    return members.join(points.select("set_key", "point"), "set_key").select(
         "cell", "set_key", "n_shingles", "component", "point").repartitionByRange(*order).sortWithinPartitions(*order)
 
 
-def _between_tiles(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _between_tiles(members: DataFrame, points: DataFrame, percent: int) -> DataFrame:
     """All candidate pairs of different components, from trees over tiles of every cell."""
-    rows = materialize(_sorted(members, sets).mapInArrow(
-        _numbered, "cell long, tile long, set_key string, n_shingles long, component string, point binary, most array<int>"), "tiles")
+    rows = materialize(_sorted(members, points).mapInArrow(
+        _numbered, "cell long, tile long, set_key binary, n_shingles long, component binary, point binary, most array<int>"), "tiles")
     nodes = materialize(rows.groupBy("cell", "tile").agg(
         F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high"), F.min("component").alias("l"),
         F.max("component").alias("h"), F.first("most", ignorenulls=True).alias("most")), "tile-nodes")
@@ -363,7 +350,7 @@ def _between_tiles(members: DataFrame, sets: DataFrame, percent: int) -> DataFra
     sides = pairs.select("left", "right", F.lit(0).alias("side"), F.col("left").alias("tile")).unionByName(
         pairs.filter("left <> right").select("left", "right", F.lit(1).alias("side"), F.col("right").alias("tile")))
     return sides.join(rows.drop("cell", "most"), "tile").drop("tile").repartition("left", "right").sortWithinPartitions(
-        "left", "right", "side", "set_key").mapInArrow(_all_near(percent), "a string, b string")
+        "left", "right", "side", "set_key").mapInArrow(_all_near(percent), "a binary, b binary")
 
 
 def linked_messages(messages: DataFrame, width: int = SHINGLE_WORDS, percent: int = 80) -> DataFrame:
@@ -389,36 +376,43 @@ def linked_messages(messages: DataFrame, width: int = SHINGLE_WORDS, percent: in
     split_skewed_joins(messages.sparkSession)
     texts, kind = contents(messages), messages.schema["id"].dataType.simpleString()
     scanned = materialize(texts.mapInArrow(
-        _scan(width), f"id {kind}, n_shingles long, high long, low long, counters array<int>, counts array<long>"), "message-sets")
-    rows = scanned.filter("n_shingles is not null").select("id", "n_shingles", _set_key().alias("set_key"))
+        _scan(width), f"id {kind}, n_shingles long, set_key binary, short long, point binary, counters array<int>, "
+                      "counts array<long>"), "message-sets")
+    rows = scanned.filter("n_shingles is not null").select("id", "n_shingles", "set_key")
+    classes = materialize(scanned.filter("set_key is not null").groupBy("set_key").agg(
+        F.min("id").alias("first_id"), F.any_value("short").alias("short"), F.any_value("n_shingles").alias("n_shingles"),
+        F.any_value("point").alias("point")), "classes")
     placed = materialize(texts.select("content").mapInArrow(
-        _cells(width, percent, _levels(scanned)), "cell long, high long, low long, n_shingles long"), "cells")
-    part = lambda c: F.sum(F.pmod(c, F.lit(1 << 24)))
+        _cells(width, percent, _levels(scanned)), "cell long, short long"), "cells")
+    full = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("cell")
+    shared = materialize(placed.join(full, "cell"), "shared-cells")
+    part = lambda by: F.sum(F.pmod(F.shiftright("short", by), F.lit(1 << 24)))
     same = ["n", "least", "most", "one", "two"]
-    cells = placed.groupBy("cell").agg(
-        F.count(F.lit(1)).alias("n"), F.min("high").alias("least"), F.max("high").alias("most"),
-        part("high").alias("one"), part("low").alias("two")).filter("least <> most").groupBy(*same).agg(F.min("cell").alias("cell"))
-    crowded = materialize(placed.join(cells.select("cell"), "cell").select(
-        "cell", _set_key().alias("set_key"), "n_shingles").distinct(), "crowded-cells")
-    classes = materialize(rows.filter("set_key is not null").groupBy("set_key").agg(F.min("id").alias("first_id")), "classes")
-    wanted = crowded.select("set_key").distinct().join(classes, "set_key")
-    sets = materialize(
+    cells = shared.groupBy("cell").agg(
+        F.count(F.lit(1)).alias("n"), F.min("short").alias("least"), F.max("short").alias("most"),
+        part(0).alias("one"), part(24).alias("two")).filter("least <> most").groupBy(*same).agg(F.min("cell").alias("cell"))
+    crowded = materialize(shared.join(cells.select("cell"), "cell").distinct().join(
+        classes.select("short", "set_key", "n_shingles"), "short").drop("short"), "crowded-cells")
+
+    near = materialize(_sorted(_mixed(crowded, None), classes).mapInArrow(_nearest(percent), "a binary, b binary"), "near")
+    wanted = near.select(F.explode(F.array("a", "b")).alias("set_key")).filter("set_key is not null").distinct()
+    wanted = wanted.join(classes, "set_key").select("set_key", "first_id")
+    whole = materialize(
         texts.join(wanted, F.col("id").eqNullSafe(F.col("first_id"))).select("set_key", "content").mapInArrow(
-            _points(width), "set_key string, n_shingles long, point binary, shingles binary").dropDuplicates(["set_key"]), "class-points")
-
+            _fitting(width), "set_key binary, content string").dropDuplicates(["set_key"]), "class-texts")
     links, labels = None, None
     for i in range(ROUNDS):
-        members = _mixed(crowded, labels)
         if i:
-            members = members.groupBy("cell", "component").agg(
+            members = _mixed(crowded, labels).groupBy("cell", "component").agg(
                 F.min_by(F.struct("set_key", "n_shingles"), F.xxhash64("set_key", F.lit(i))).alias("m")).select(
                 "cell", "m.*", "component")
-        found = _verified(_sorted(members, sets).mapInArrow(_nearest(percent), "a string, b string"), sets, percent)
+            near = _sorted(members, classes).mapInArrow(_nearest(percent), "a binary, b binary")
+        found = _verified(near, whole, width, percent)
         if found.isEmpty():
             break
         links = found if links is None else links.unionByName(found)
         labels = materialize(connected_components(links), "labels")
-    last = _verified(_between_tiles(_mixed(crowded, labels), sets, percent), sets, percent)
+    last = _verified(_between_tiles(_mixed(crowded, labels), classes, percent), whole, width, percent)
     labels = connected_components(last if links is None else links.unionByName(last))
 
     of = classes.join(labels, F.col("set_key") == F.col("vertex"), "left").select(
