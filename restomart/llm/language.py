@@ -2,21 +2,21 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from restomart.llm.common import contents
+from restomart.llm.common import bounded_batches, contents
 
 ORDERS = (1, 2, 3)
 BUCKETS = 1 << 16  # hashed n-grams
 TRAIN_ROWS = 400  # examples of each language that the weights are fitted on
-CHUNK = 4_000_000  # characters times languages that one step works on
+CHUNK = 200_000  # characters that one step works on
 LOSS, LANGUAGE_LOSS = 0.001, 0.01  # share of held-out texts, and of those of one language, that a bound may cost
 MARGIN = 0.1  # further way of a bound to what a text without a known n-gram has
 HELD_ROWS = 5_000  # held-out texts of each language that the bounds are set on
@@ -24,7 +24,7 @@ LENGTHS = tuple(1 << k for k in range(1, 13))  # characters at which a length cl
 UNKNOWN = "und"
 
 _ODD = np.array([2654435761, 2246822519, 3266489917, 668265263, 374761393], np.uint32)
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -89,16 +89,31 @@ class LanguageModel:
     bias: np.ndarray
     temperature: float
 
-    def measures(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Probability of each language, and strangeness, of texts."""
-        codes, starts = _codes(texts)
-        logits = np.zeros((len(texts), len(self.languages) + 1))
-        grams = np.zeros(len(texts))
+    def _sums(self, codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Summed rows, and number, of each text's n-grams."""
+        logits, grams = np.zeros((len(starts) - 1, len(self.languages) + 1)), np.zeros(len(starts) - 1)
         for n in ORDERS:
             ids = _gram_ids(codes, starts, n)
             begin = np.minimum(starts[:-1], len(ids) - 1)
             logits += np.add.reduceat(self.weights[ids], begin, axis=0)
             grams += np.maximum(starts[1:] - starts[:-1] - n + 1, 0)
+        return logits, grams
+
+    def _long_sums(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """The same of one text, in pieces of bounded length; each ends with the places its last n-grams need."""
+        codes, _ = _codes([text])
+        logits, grams = np.zeros((1, len(self.languages) + 1)), np.zeros(1)
+        for n in ORDERS:
+            for i in range(0, len(codes) - n + 1, CHUNK):
+                piece = codes[i:i + CHUNK + n - 1]
+                ids = _gram_ids(piece, np.array([0, len(piece)]), n)
+                logits += self.weights[ids].sum(axis=0, dtype=np.float64)
+                grams += len(ids)
+        return logits, grams
+
+    def measures(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Probability of each language, and strangeness, of texts."""
+        logits, grams = self._sums(*_codes(texts)) if len(texts) > 1 else self._long_sums(texts[0])
         means = logits / grams[:, None]
         z = (means[:, :-1] + self.bias) / self.temperature
         z = np.exp(z - z.max(axis=1, keepdims=True))
@@ -137,6 +152,7 @@ def fit_language(examples: DataFrame, train_rows: int = TRAIN_ROWS, rounds: int
     from about ``train_rows`` examples of each language, drawn by hash; a fifth of them sets the
     temperature.
     """
+    bounded_batches(examples.sparkSession)
     known = examples.filter("language is not null and content is not null").select(
         F.col("content").cast("string"), F.col("language").cast("string"))
     sizes = {r["language"]: r["n"] for r in known.groupBy("language").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -192,7 +208,7 @@ def language_udf(model: LanguageModel | None):
             scores[:] = 1.0 if model else 0.0
             while model and lettered:
                 size, n = 0, 0
-                while n < len(lettered) and (n == 0 or size * len(model.languages) < CHUNK):
+                while n < len(lettered) and (n == 0 or size + len(texts[lettered[n]]) < CHUNK):
                     size += len(texts[lettered[n]])
                     n += 1
                 now, lettered = lettered[:n], lettered[n:]

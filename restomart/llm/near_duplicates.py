@@ -2,22 +2,20 @@
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-import xxhash
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from restomart.llm.common import contents, materialize
+from restomart.llm.common import column, contents, edge_batch, materialize, rows_of
 from restomart.llm.components import connected_components
+from restomart.llm.confirm import class_texts, confirmed
+from restomart.llm.shingles import SHINGLE_WORDS, mix, set_key, shingle_set, text_bytes
 
-SHINGLE_WORDS = 5
 BINS = 128
 BAND_ROWS = 4
-HASHED_WORDS = 400_000  # word hashes that one Python worker remembers
 PROBE_ROUNDS = 1024
 SKETCH_SLACK = 4.5  # standard deviations below the asked similarity that a sketch may show
 BLOCK_ROWS = 1024
@@ -27,40 +25,6 @@ _PROBES = np.random.default_rng(21).integers(0, BINS, (PROBE_ROUNDS, BINS))
 _EDGES = np.arange(BINS, dtype=np.uint64) << np.uint64(64 - BINS.bit_length() + 1)
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        value = xxhash.xxh3_64_intdigest(word)
-        if len(self) < HASHED_WORDS:
-            self[word] = value
-        return value
-
-
-_hashes = _WordHashes()
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def shingle_set(text: str, width: int = SHINGLE_WORDS) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the word shingles of a text.
-
-    A-Z are lower-cased; words are separated by ASCII white space. A text of fewer than ``width``
-    words is one shingle, a text without words has none.
-    """
-    words = text.encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
-    n = min(width, len(words))
-    total = np.full(len(words) - n + 1, n, np.uint64)
-    for i in range(n):
-        total += h[i:len(words) - n + 1 + i] * _ODD[i]
-    return np.unique(_mix(total))
-
-
 def sketch(shingles: np.ndarray) -> np.ndarray:
     """One minimum per bin of a single permutation; an empty bin takes that of the first full bin
     in its own random sequence of bins, so bins of two sets agree with the sets' similarity."""
@@ -80,122 +44,64 @@ def sketch(shingles: np.ndarray) -> np.ndarray:
 
 def _band_keys(signature: np.ndarray) -> np.ndarray:
     bands = signature.reshape(-1, BAND_ROWS) * _ODD[8:8 + BAND_ROWS]
-    return _mix(bands.sum(axis=1, dtype=np.uint64) + np.arange(len(bands), dtype=np.uint64) * _ODD[16])
-
-
-def _set_key(shingles: np.ndarray) -> str:
-    return xxhash.xxh3_128_hexdigest(shingles.tobytes())
+    return mix(bands.sum(axis=1, dtype=np.uint64) + np.arange(len(bands), dtype=np.uint64) * _ODD[16])
 
 
 def _sketches(width: int):
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            sizes, keys, bands = [], [], []
-            for text in part:
-                shingles = shingle_set(text, width)
-                sizes.append(len(shingles))
-                keys.append(_set_key(shingles) if len(shingles) else None)
-                bands.append(_band_keys(sketch(shingles)).view(np.int64) if len(shingles) else None)
-            yield pd.DataFrame({"n_shingles": sizes, "set_key": keys, "bands": bands})
-    return F.pandas_udf(run, "n_shingles long, set_key string, bands array<long>")
-
+    """Per message the size and key of its set, its band keys, and 16 bits of each bin of its sketch."""
+    names = ["id", "n_shingles", "set_key", "bands", "bins"]
+    kinds = [pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary()]
 
-def _confirm(width: int, percent: int):
-    """Keep the edges whose texts are similar enough on their full shingle sets."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last_key, last = None, None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept = []
-            for i, (key, one, two) in enumerate(zip(batch["a"], batch["a_content"], batch["b_content"])):
-                if key != last_key:
-                    last_key, last = key, shingle_set(one, width)
-                other = shingle_set(two, width)
-                shared = len(np.intersect1d(last, other, assume_unique=True))
-                if 100 * shared >= percent * (len(last) + len(other) - shared):
-                    kept.append(i)
-            yield batch[["a", "b"]].iloc[kept]
-    return run
-
-
-def _texts(width: int):
-    """Of the rows fetched by id, those that have the shingle set of their class."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            fits = [_set_key(shingle_set(t, width)) == k for t, k in zip(batch["content"], batch["set_key"])]
-            yield batch.loc[fits, ["set_key", "content"]]
-    return run
-
-
-def _short_sets(width: int):
-    """Per text 16 bits of each bin of its sketch, its band keys, and its set in 32-bit hashes."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for key, text in zip(batch["set_key"], batch["content"]):
+            found = []
+            for text in text_bytes(column(batch, "content")):
                 shingles = shingle_set(text, width)
-                bins = sketch(shingles)
-                out.append((key, bins.astype(np.uint16).tobytes(), _band_keys(bins).tobytes(),
-                            np.unique(shingles.astype(np.uint32)).tobytes()))
-            yield pd.DataFrame(out, columns=["set_key", "bins", "bands", "short"])
+                if len(shingles):
+                    bins = sketch(shingles)
+                    found.append((len(shingles), set_key(shingles), _band_keys(bins).view(np.int64),
+                                  bins.astype(np.uint16).tobytes()))
+                else:
+                    found.append((0, None, None, None))
+            columns = zip(*found) if found else [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([column(batch, "id"), *map(pa.array, columns, kinds)], names=names)
     return run
 
 
 def _block_pairs(percent: int):
-    """Similar pairs within each block pair of a bucket: from different components, of fitting sizes,
-    near by their sketches, in no earlier common bucket, and similar by their short sets.
-
-    Short hashes can only make two sets look more alike: what they merge within a set is added to
-    what is shared. Rows come sorted by bucket and block pair; a group may run over several batches.
-    """
+    """Candidate pairs within each block pair of a bucket: from different components, of fitting sizes, and
+    near by their sketches. Rows come sorted by bucket and block pair; one block pair is held at a time."""
     share = percent / 100
     least = int(BINS * (share - SKETCH_SLACK * np.sqrt(share * (1 - share) / BINS)))
 
-    def pairs(group: pd.DataFrame, a: list, b: list) -> None:
-        group = group.sort_values(["block", "set_key"])
-        bins = np.stack([np.frombuffer(x, np.uint16) for x in group["bins"]])
-        bands = np.stack([np.frombuffer(x, np.int64) for x in group["bands"]])
-        short = [np.frombuffer(x, np.uint32) for x in group["short"]]
-        keys, component = group["set_key"].to_numpy(), group["component"].to_numpy()
-        size, block = group["n_shingles"].to_numpy(), group["block"].to_numpy()
-        one, two = group["left"].iat[0], group["right"].iat[0]
-        here = np.flatnonzero(bands[0] == group["bucket"].iat[0])[0]
-        for i in np.flatnonzero(block == one):
-            mates = (block == two) & (np.arange(len(keys)) > i) & (component != component[i])
+    def pairs(rows: list[tuple], left: int, right: int) -> Iterator[tuple[bytes, bytes]]:
+        keys, size, component, block, bins = zip(*rows)
+        codes: dict[bytes, int] = {}
+        component = np.array([codes.setdefault(c, len(codes)) for c in component])
+        size, block = np.array(size), np.array(block)
+        bins = np.frombuffer(b"".join(bins), np.uint16).reshape(-1, BINS)
+        for i in np.flatnonzero(block == left):
+            mates = (block == right) & (component != component[i])
+            mates &= (np.arange(len(keys)) > i) | (left != right)
             mates &= 100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i])
             mates = np.flatnonzero(mates)
-            mates = mates[(bands[mates, :here] != bands[i, :here]).all(axis=1)]
             for j in mates[(bins[mates] == bins[i]).sum(axis=1) >= least]:
-                merged = max(size[i] - len(short[i]), size[j] - len(short[j]))
-                shared = merged + len(np.intersect1d(short[i], short[j], assume_unique=True))
-                if 100 * shared >= percent * (size[i] + size[j] - shared):
-                    a.append(keys[i])
-                    b.append(keys[j])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
-        for batch in itertools.chain(batches, [None]):
-            rows = held if batch is None else batch if held is None else pd.concat([held, batch])
-            if rows is None or not len(rows):
-                continue
-            key = rows[["bucket", "left", "right"]].to_numpy()
-            cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1), len(rows)]
-            done = len(cuts) - 1 if batch is None else len(cuts) - 2
-            a, b = [], []
-            for start, end in zip(cuts[:done], cuts[1:]):
-                if end - start > 1:
-                    pairs(rows.iloc[start:end], a, b)
-            held = rows.iloc[cuts[done]:]
-            yield pd.DataFrame({"a": a, "b": b}, dtype=object)
+                yield min(keys[i], keys[j]), max(keys[i], keys[j])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, []
+        for bucket, left, right, *row in rows_of(batches, "bucket", "left", "right", "set_key", "n_shingles",
+                                                 "component", "block", "bins"):
+            if held and (bucket, left, right) != last:
+                yield edge_batch(list(pairs(held, *last[1:])))
+                held = []
+            last = bucket, left, right
+            held.append(tuple(row))
+        if held:
+            yield edge_batch(list(pairs(held, *last[1:])))
     return run
 
 
-def _confirmed(edges: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    one = texts.select(F.col("set_key").alias("a"), F.col("content").alias("a_content"))
-    two = texts.select(F.col("set_key").alias("b"), F.col("content").alias("b_content"))
-    return (edges.select("a", "b").join(two, "b").join(one, "a").select("a", "b", "a_content", "b_content")
-            .mapInPandas(_confirm(width, percent), "a string, b string"))
-
-
 def near_duplicates(messages: DataFrame, width: int = SHINGLE_WORDS, percent: int = 80) -> DataFrame:
     """Groups of messages whose word shingle sets are ``percent`` or more alike (Jaccard).
 
@@ -206,8 +112,8 @@ def near_duplicates(messages: DataFrame, width: int = SHINGLE_WORDS, percent: in
     Messages of the same set are one class from the start. Classes whose sketches agree in a band
     share a bucket; in each bucket only the links to one centre are tried, so candidates grow with
     the rows. Buckets that still hold several components afterwards are compared in blocks of
-    bounded size, by sketches and then by short hashes of their sets, and give only similar pairs. All
-    links are confirmed on full sets. 128 bins in 32 bands miss a pair of similarity 0.8 with
+    bounded size by their sketches, and give only pairs of different components. All links are confirmed
+    on full sets, fetched by key. 128 bins in 32 bands miss a pair of similarity 0.8 with
     probability 5e-8; the sketches allow ``SKETCH_SLACK`` standard deviations.
 
     Null or blank content has no shingles and is linked with nothing. Repeated rows link with each
@@ -215,27 +121,25 @@ def near_duplicates(messages: DataFrame, width: int = SHINGLE_WORDS, percent: in
     links; its component is that of the others, or null (and kept) where no member has an id.
     Other columns are ignored. An empty table gives an empty result.
     """
-    rows = materialize(contents(messages).select("id", _sketches(width)("content").alias("found"))
-                       .select("id", "found.*"), "sketches")
-    classes = rows.filter("set_key is not null").groupBy("set_key").agg(
+    texts, kind = contents(messages), messages.schema["id"].dataType.simpleString()
+    rows = materialize(texts.mapInArrow(
+        _sketches(width), f"id {kind}, n_shingles long, set_key binary, bands array<long>, bins binary"), "sketches")
+    classes = materialize(rows.filter("set_key is not null").groupBy("set_key").agg(
         F.min("id").alias("first_id"), F.any_value("n_shingles").alias("n_shingles"),
-        F.any_value("bands").alias("bands"))
-    members = classes.select("set_key", "first_id", "n_shingles", F.explode("bands").alias("bucket"))
+        F.any_value("bands").alias("bands"), F.any_value("bins").alias("bins")), "classes")
+    members = classes.select("set_key", "n_shingles", F.explode("bands").alias("bucket"))
     centres = members.groupBy("bucket").agg(
         F.count(F.lit(1)).alias("size"), F.min(F.struct("set_key", "n_shingles")).alias("centre"),
     ).filter("size > 1").select("bucket", "centre")
     crowded = materialize(members.join(centres, "bucket"), "crowded-buckets")
     fits = 100 * F.least("n_shingles", "centre.n_shingles") >= percent * F.greatest(
         "n_shingles", "centre.n_shingles")
-    stars = materialize(crowded.filter(fits & (F.col("set_key") != F.col("centre.set_key"))).select(
-        F.col("centre.set_key").alias("a"), F.col("set_key").alias("b")).distinct(), "star-edges")
+    stars = crowded.filter(fits & (F.col("set_key") != F.col("centre.set_key"))).select(
+        F.col("centre.set_key").alias("a"), F.col("set_key").alias("b"))
 
-    wanted = crowded.select("set_key", "first_id").distinct()
-    texts = materialize(
-        contents(messages).join(wanted, F.col("id").eqNullSafe(F.col("first_id")))
-        .select("set_key", "content").mapInPandas(_texts(width), "set_key string, content string")
-        .dropDuplicates(["set_key"]), "class-texts")
-    links = materialize(_confirmed(stars, texts, width, percent), "star-links")
+    wanted = crowded.select("set_key").distinct().join(classes, "set_key").select("set_key", "first_id")
+    whole = materialize(class_texts(texts, wanted, width), "class-texts")
+    links = confirmed(stars, whole, width, percent)
     labels = connected_components(links)
 
     labelled = crowded.join(labels, crowded.set_key == labels.vertex, "left").select(
@@ -245,16 +149,13 @@ def near_duplicates(messages: DataFrame, width: int = SHINGLE_WORDS, percent: in
     ).filter("low <> high").select("bucket", F.ceil(F.col("size") / BLOCK_ROWS).cast("int").alias("blocks"))
     rest = labelled.join(mixed, "bucket").withColumn(
         "block", F.pmod(F.xxhash64("set_key", "bucket"), "blocks").cast("int"))
-    short = texts.join(rest.select("set_key").distinct(), "set_key", "left_semi").mapInPandas(
-        _short_sets(width), "set_key string, bins binary, bands binary, short binary")
     paired = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "*", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"))
-    pairs = paired.join(short, "set_key").select(
-        "bucket", "set_key", "n_shingles", "component", "block", "left", "right", "bins", "bands", "short",
-    ).repartition("bucket", "left", "right").sortWithinPartitions("bucket", "left", "right").mapInPandas(
-        _block_pairs(percent), "a string, b string")
-    more = _confirmed(materialize(pairs.distinct(), "block-pairs"), texts, width, percent)
-    labels = connected_components(links.unionAll(materialize(more, "block-links")))
+    pairs = paired.join(classes.select("set_key", "bins"), "set_key").select(
+        "bucket", "set_key", "n_shingles", "component", "block", "left", "right", "bins",
+    ).repartition("bucket", "left", "right").sortWithinPartitions("bucket", "left", "right", "set_key").mapInArrow(
+        _block_pairs(percent), "a binary, b binary")
+    labels = connected_components(links.unionAll(confirmed(pairs, whole, width, percent)))
 
     of_class = classes.select("set_key", "first_id").join(
         labels, F.col("set_key") == F.col("vertex"), "left").select(

@@ -16,11 +16,12 @@ MAX_BITS = 64
 SUBSTRING = 8  # bits of a substring, so a table has 256 buckets
 SHARD_ROWS = 4_096  # indexed vectors in one block
 QUERY_ROWS = 1_024  # queries in one block
-COVER = 0.97  # share of true neighbours in the sample that the radius must hold
+ASKED_ROWS = 128  # queries that search a block at once
+WIDER = 4  # further bits of the radius for a query that found too few
+COVER = 0.95  # share of true neighbours in the sample that the radius must hold
 ROTATION_ROUNDS = 30
 
-_BITS = np.array([bin(i).count("1") for i in range(256)], np.uint8)
-_DISTANCE = _BITS[np.arange(256)[:, None] ^ np.arange(256)[None, :]]
+_DISTANCE = np.bitwise_count(np.arange(256, dtype=np.uint8)[:, None] ^ np.arange(256, dtype=np.uint8))
 
 
 @dataclass
@@ -35,14 +36,18 @@ class BinaryCodes:
 
 
 def hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return _BITS[a ^ b].sum(axis=-1, dtype=np.int32)
+    """Differing bits of packed codes, eight bytes at a time where they fill that."""
+    if a.shape[-1] == 8:
+        return np.bitwise_count(a.view(np.uint64)[..., 0] ^ b.view(np.uint64)[..., 0])
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int32)
 
 
-def learn_codes(x: np.ndarray, k: int, seed: int = 10) -> BinaryCodes:
+def learn_codes(x: np.ndarray, k: int, rows: int | None = None, seed: int = 10) -> BinaryCodes:
     """Principal axes, then the rotation that brings the vectors nearest to their signs.
 
     The radius is the ``COVER`` quantile of the code distances between sampled vectors and their
-    true ``k`` nearest in the sample. Neighbours are nearer in more rows, so it errs to the safe side.
+    true nearest in the sample: as many as make up the share that ``k`` is of all ``rows``, and one at
+    least. So it shrinks as the table grows.
     """
     centre = x.mean(axis=0)
     bits = min(MAX_BITS, x.shape[1])
@@ -58,7 +63,7 @@ def learn_codes(x: np.ndarray, k: int, seed: int = 10) -> BinaryCodes:
     probe = x[:512]
     product = probe @ x.T
     product[np.arange(len(probe)), np.arange(len(probe))] = -np.inf
-    take = min(k, len(x) - 1)
+    take = min(-(-k * len(x) // max(rows or 0, len(x))), len(x) - 1)
     if take > 0:
         near = np.argpartition(-product, take - 1, axis=1)[:, :take]
         distance = hamming(packed[:len(probe), None, :], packed[near])
@@ -67,26 +72,49 @@ def learn_codes(x: np.ndarray, k: int, seed: int = 10) -> BinaryCodes:
 
 
 class MultiIndex:
-    """One table of buckets for each substring of the codes of a block."""
+    """The codes of a block with one table of 256 buckets for each substring."""
 
     def __init__(self, codes: np.ndarray):
         self.codes = codes
-        self.order = [np.argsort(c, kind="stable") for c in codes.T]
-        self.bounds = [np.searchsorted(c[o], np.arange(257)) for c, o in zip(codes.T, self.order)]
+        self.tables = [np.ascontiguousarray(c) for c in codes.T]  # the bucket of every row
 
-    def within(self, code: np.ndarray, radius: int) -> np.ndarray:
-        """Rows within the Hamming radius: by the pigeonhole principle one of the first
+    def within(self, codes: np.ndarray, radius: np.ndarray) -> np.ndarray:
+        """Which rows lie within each asked code's radius: by the pigeonhole principle one of the first
         ``radius % m + 1`` substrings differs in at most ``radius // m`` bits or one of the others
-        in fewer, so only those buckets are read."""
-        m = len(self.order)
-        hit = np.zeros(len(self.codes), bool)
-        for j, (order, bounds) in enumerate(zip(self.order, self.bounds)):
+        in fewer, so only the rows in those buckets are compared."""
+        m = len(self.tables)
+        hit = np.zeros((len(codes), len(self.codes)), bool)
+        for j, buckets in enumerate(self.tables):
             reach = radius // m - (j > radius % m)
-            if reach >= 0:
-                for bucket in np.flatnonzero(_DISTANCE[code[j]] <= reach):
-                    hit[order[bounds[bucket]:bounds[bucket + 1]]] = True
-        rows = np.flatnonzero(hit)
-        return rows[hamming(self.codes[rows], code) <= radius]
+            hit |= (_DISTANCE[codes[:, j]] <= reach[:, None])[:, buckets]
+        rows = np.flatnonzero(hit.any(axis=0))
+        hit[:, rows] &= hamming(codes[:, None], self.codes[rows]) <= radius[:, None]
+        return hit
+
+
+def best_of_block(x: np.ndarray, ids: np.ndarray, tables: MultiIndex, q: np.ndarray, own: np.ndarray, codes: np.ndarray,
+                  radius: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(asked row, indexed row, score) of the ``k`` best within the radius for each asked vector. It grows
+    for those that found fewer than there are, so no block is searched in another way."""
+    other = ids != own[:, None]
+    wanted, reach = np.minimum(other.sum(axis=1), k), np.full(len(q), radius)
+    hit = tables.within(codes, reach) & other
+    while len(few := np.flatnonzero(hit.sum(axis=1) < wanted)):
+        reach[few] += WIDER
+        hit[few] = tables.within(codes[few], reach[few]) & other[few]
+    with np.errstate(all="ignore"):
+        rough = np.where(hit, q @ x.T, -np.inf)
+        if k < len(x):
+            # The rough product only leaves out what rounding cannot bring among the best.
+            slack = 1e-9 * np.linalg.norm(q, axis=1) * np.linalg.norm(x, axis=1).max(initial=0.0)
+            least = np.partition(rough, len(x) - k, axis=1)[:, len(x) - k] - slack
+            hit &= ~(rough < least[:, None])
+        asked, rows = np.nonzero(hit)
+        score = (x[rows] * q[asked]).sum(axis=1)
+    order = np.lexsort((ids[rows], -score, asked))
+    asked, rows, score = asked[order], rows[order], score[order]
+    place = np.arange(len(asked)) - np.searchsorted(asked, asked)
+    return asked[place < k], rows[place < k], score[place < k]
 
 
 def _usable(vectors: DataFrame) -> DataFrame:
@@ -108,7 +136,7 @@ def nearest_vectors(vectors: DataFrame, queries: DataFrame, k: int = 20,
     Codes are learnt on up to ``sample_rows`` vectors drawn by hash; every vector is indexed. The
     index is dealt by hash into blocks of about ``SHARD_ROWS`` rows, each with its own substring
     tables; every block of queries visits every block, gets all codes within the radius, reranks
-    them by the original vectors and keeps its ``k`` best. A block that finds fewer reranks all its rows.
+    them by the original vectors and keeps its ``k`` best. The radius grows for a query that finds fewer.
 
     Vectors that are null, zero, or hold a null or non-finite component take no part, nor do null
     ids. Repeated candidate rows count as candidates of their own; repeated query rows are one
@@ -133,7 +161,7 @@ def nearest_vectors(vectors: DataFrame, queries: DataFrame, k: int = 20,
         F.xxhash64("vector"), "vector").limit(sample_rows).toPandas()
     if not len(sample):
         sample = usable.select("vector").limit(1).toPandas()
-    codes = learn_codes(np.stack(sample["vector"].to_numpy()), k)
+    codes = learn_codes(np.stack(sample["vector"].to_numpy()), k, rows)
 
     shards, blocks = -(-rows // SHARD_ROWS), max(1, -(-asked.count() // QUERY_ROWS))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
@@ -147,16 +175,11 @@ def nearest_vectors(vectors: DataFrame, queries: DataFrame, k: int = 20,
         have = have.sort_values("id", kind="stable")
         x, ids = np.stack(have["vector"].to_numpy()), have["id"].to_numpy()
         tables = MultiIndex(codes.encode(x))
-        q = np.stack(want["vector"].to_numpy())
-        out = []
-        for query_id, vector, code in zip(want["id"], q, codes.encode(q)):
-            found = tables.within(code, codes.radius)
-            found = found[ids[found] != query_id]
-            if len(found) < k:
-                found = np.flatnonzero(ids != query_id)
-            score = (x[found] * vector).sum(axis=1)
-            best = np.lexsort((ids[found], -score))[:k]
-            out.append(pd.DataFrame({"query_id": query_id, "id": ids[found[best]], "score": score[best]}))
+        q, own, out = np.stack(want["vector"].to_numpy()), want["id"].to_numpy(), []
+        for i in range(0, len(q), ASKED_ROWS):
+            part, mine = q[i:i + ASKED_ROWS], own[i:i + ASKED_ROWS]
+            asked, rows, score = best_of_block(x, ids, tables, part, mine, codes.encode(part), codes.radius, k)
+            out.append(pd.DataFrame({"query_id": mine[asked], "id": ids[rows], "score": score}))
         return pd.concat(out)
 
     found = index.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInPandas(search, schema)

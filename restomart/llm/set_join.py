@@ -10,8 +10,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from restomart.llm.common import contents, materialize
+from restomart.llm.common import column, contents, edge_batch, materialize, rows_of
 from restomart.llm.components import connected_components
+from restomart.llm.confirm import class_texts, confirmed
 from restomart.llm.shingles import SHINGLE_WORDS, set_key, shingle_set, text_bytes
 from restomart.session import split_skewed_joins
 
@@ -21,16 +22,11 @@ GROUP_SIZE = 8  # shingles that share a group on average
 LEAF, FANOUT = 16, 8
 TILE_ROWS, TILE_BYTES = 1024, 16 << 20
 ROUNDS = 3  # searches for nearest partners before the search for all
-SLICE = 1000  # partners of one message that one task verifies
 CHUNK = 1 << 22  # counts that are compared at once
 
 Batches = Iterator[pa.RecordBatch]
 
 
-def _column(batch: pa.RecordBatch, name: str) -> pa.Array:
-    return batch.column(batch.schema.get_field_index(name))
-
-
 def _short(key: bytes) -> int:
     """The first half of a set's key."""
     return int.from_bytes(key[:8], "little", signed=True)
@@ -60,9 +56,9 @@ def _scan(width: int):
     def run(batches: Batches) -> Batches:
         totals, id_type = np.zeros(COUNTERS, np.int64), None
         for batch in batches:
-            ids = _column(batch, "id")
+            ids = column(batch, "id")
             id_type, found = ids.type, []
-            for text in text_bytes(_column(batch, "content")):
+            for text in text_bytes(column(batch, "content")):
                 shingles = shingle_set(text, width)
                 np.add.at(totals, (shingles % np.uint64(COUNTERS)).astype(np.int64), 1)
                 key = set_key(shingles) if len(shingles) else None
@@ -94,23 +90,13 @@ def prefix(shingles: np.ndarray, levels: np.ndarray, percent: int) -> np.ndarray
     return shingles[order[:wanted]]
 
 
-def _fitting(width: int):
-    """Of the rows fetched by id, those that have the set of their class."""
-    def run(batches: Batches) -> Batches:
-        for batch in batches:
-            keys = _column(batch, "set_key").to_pylist()
-            fits = [len(s := shingle_set(t, width)) > 0 and set_key(s) == k for k, t in zip(keys, text_bytes(_column(batch, "content")))]
-            yield batch.filter(pa.array(fits, pa.bool_())).select(["set_key", "content"])
-    return run
-
-
 def _cells(width: int, percent: int, levels: np.ndarray):
     """The cells of each different set that a task meets."""
     def run(batches: Batches) -> Batches:
         seen: set[bytes] = set()
         for batch in batches:
             parts, owners = [], []
-            for text in text_bytes(_column(batch, "content")):
+            for text in text_bytes(column(batch, "content")):
                 shingles = shingle_set(text, width)
                 if len(shingles) and (key := set_key(shingles)) not in seen:
                     seen.add(key)
@@ -200,15 +186,10 @@ def _pairs(one: _Tile, two: _Tile, percent: int) -> tuple[np.ndarray, np.ndarray
     return a, b, bound
 
 
-def _rows(batches: Batches, *names: str) -> Iterator[tuple]:
-    for batch in batches:
-        yield from zip(*[_column(batch, n).to_pylist() for n in names])
-
-
 def _tiles(batches: Batches) -> Iterator[tuple[int, list[tuple]]]:
     """(cell, rows) of a stream sorted by cell, cut into tiles of bounded size."""
     last, held, weight = None, [], 0
-    for cell, *row in _rows(batches, "cell", "set_key", "n_shingles", "component", "point"):
+    for cell, *row in rows_of(batches, "cell", "set_key", "n_shingles", "component", "point"):
         if held and (cell != last or len(held) == TILE_ROWS or weight > TILE_BYTES):
             yield last, held
             held, weight = [], 0
@@ -219,11 +200,6 @@ def _tiles(batches: Batches) -> Iterator[tuple[int, list[tuple]]]:
         yield last, held
 
 
-def _edges(found: list[tuple[bytes, bytes | None]]) -> pa.RecordBatch:
-    a, b = zip(*found) if found else ((), ())
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
-
-
 def _nearest(percent: int):
     """For each row of a tile the partner before it that may have the most in common with it; rows
     without a partner of their own that later rows or other tiles may still need come with a null."""
@@ -240,9 +216,9 @@ def _nearest(percent: int):
                 wanted = range(len(rows)) if len(rows) == TILE_ROWS else np.setdiff1d(b, a)
                 found += [(tile.keys[i], None) for i in wanted]
             if len(found) > 10_000:
-                yield _edges(found)
+                yield edge_batch(found)
                 found = []
-        yield _edges(found)
+        yield edge_batch(found)
     return run
 
 
@@ -272,50 +248,17 @@ def _all_near(percent: int):
 
     def run(batches: Batches) -> Batches:
         last, held = None, []
-        for left, right, *row in _rows(batches, "left", "right", "side", "set_key", "n_shingles", "component", "point"):
+        for left, right, *row in rows_of(batches, "left", "right", "side", "set_key", "n_shingles", "component", "point"):
             if held and (left, right) != last:
-                yield _edges(pairs(held))
+                yield edge_batch(pairs(held))
                 held = []
             last = left, right
             held.append(tuple(row))
         if held:
-            yield _edges(pairs(held))
+            yield edge_batch(pairs(held))
     return run
 
 
-def _verify(width: int, percent: int):
-    """Edges whose whole sets are similar; each group has the text of ``a`` first, then those of its partners."""
-    def run(batches: Batches) -> Batches:
-        centre = None
-        for batch in batches:
-            found = []
-            for a, b, text in zip(_column(batch, "a"), _column(batch, "b"), text_bytes(_column(batch, "content"))):
-                shingles = shingle_set(text, width)
-                if not b.is_valid:
-                    centre = shingles
-                    continue
-                both = np.concatenate([centre, shingles])
-                both.sort()
-                shared = int((both[1:] == both[:-1]).sum())
-                if 100 * shared >= percent * (len(both) - shared):
-                    found.append((a.as_py(), b.as_py()))
-            yield _edges(found)
-    return run
-
-
-def _verified(edges: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Each message travels once per slice of its partners, one text a row."""
-    edges = materialize(edges.filter("b is not null").distinct(), "candidate-pairs")
-    slices = edges.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / SLICE).alias("slices"))
-    cut = edges.join(slices, "a").select("a", "b", F.pmod(F.xxhash64("b"), "slices").alias("slice"))
-    partners = cut.join(texts, F.col("b") == F.col("set_key")).select("a", "slice", "b", "content")
-    centres = cut.select("a", "slice").distinct().join(texts, F.col("a") == F.col("set_key")).select(
-        "a", "slice", F.lit(None).cast("binary").alias("b"), "content")
-    return materialize(
-        partners.unionByName(centres).repartition("a", "slice").sortWithinPartitions("a", "slice", F.col("b").asc_nulls_first())
-        .mapInArrow(_verify(width, percent), "a binary, b binary"), "links")
-
-
 def _mixed(crowded: DataFrame, labels: DataFrame | None) -> DataFrame:
     """Members of the cells that hold several components."""
     if labels is None:
@@ -397,9 +340,7 @@ def linked_messages(messages: DataFrame, width: int = SHINGLE_WORDS, percent: in
     near = materialize(_sorted(_mixed(crowded, None), classes).mapInArrow(_nearest(percent), "a binary, b binary"), "near")
     wanted = near.select(F.explode(F.array("a", "b")).alias("set_key")).filter("set_key is not null").distinct()
     wanted = wanted.join(classes, "set_key").select("set_key", "first_id")
-    whole = materialize(
-        texts.join(wanted, F.col("id").eqNullSafe(F.col("first_id"))).select("set_key", "content").mapInArrow(
-            _fitting(width), "set_key binary, content string").dropDuplicates(["set_key"]), "class-texts")
+    whole = materialize(class_texts(texts, wanted, width), "class-texts")
     links, labels = None, None
     for i in range(ROUNDS):
         if i:
@@ -407,12 +348,12 @@ def linked_messages(messages: DataFrame, width: int = SHINGLE_WORDS, percent: in
                 F.min_by(F.struct("set_key", "n_shingles"), F.xxhash64("set_key", F.lit(i))).alias("m")).select(
                 "cell", "m.*", "component")
             near = _sorted(members, classes).mapInArrow(_nearest(percent), "a binary, b binary")
-        found = _verified(near, whole, width, percent)
+        found = confirmed(near.filter("b is not null"), whole, width, percent)
         if found.isEmpty():
             break
         links = found if links is None else links.unionByName(found)
         labels = materialize(connected_components(links), "labels")
-    last = _verified(_between_tiles(_mixed(crowded, labels), classes, percent), whole, width, percent)
+    last = confirmed(_between_tiles(_mixed(crowded, labels), classes, percent), whole, width, percent)
     labels = connected_components(last if links is None else links.unionByName(last))
 
     of = classes.join(labels, F.col("set_key") == F.col("vertex"), "left").select(

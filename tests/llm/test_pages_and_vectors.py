@@ -183,7 +183,8 @@ def test_every_code_within_the_radius_is_found():
     index = MultiIndex(codes)
     for radius in (0, 5, 13, 22, 29):
         for code in codes[:15]:
-            assert index.within(code, radius).tolist() == np.flatnonzero(hamming(codes, code) <= radius).tolist()
+            found = index.within(code[None], np.array([radius]))
+            assert found[0].tolist() == (hamming(codes, code) <= radius).tolist()
     few = learn_codes(rng.normal(size=(5, 3)), 20)
     assert few.encode(np.zeros((1, 3))).shape == (1, 1)
 
