@@ -12,13 +12,14 @@ from restomart.operators.validate import InvalidExports, checked_exports
 from restomart.plans.normalize import normalize
 from restomart.session import build_session
 from restomart.sources.config import read_config
+from restomart.sources.exports import landed
 from restomart.sources.store import LoadRejected, SilverStore, load_stats
 
 
 def load(spark, args) -> int:
     """Stops with every violation before a version is published."""
     places, names = read_config(spark, args.locations, args.patterns, args.groups)
-    exports = checked_exports(spark, args.toast, args.doordash, args.square, args.layout)
+    exports = landed(checked_exports(spark, args.toast, args.doordash, args.square, args.layout))
     return SilverStore(spark, args.store).load(
         normalize(exports, places, names, compat=args.compat), clean=args.clean)
 

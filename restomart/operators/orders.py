@@ -50,6 +50,16 @@ def raw(*columns) -> Column:
     return F.to_json(F.struct(*columns))
 
 
+def raw_fields(df: DataFrame, fields: dict[str, tuple[str, str]]) -> DataFrame:
+    """``df`` with columns read from ``raw_data``: name -> (path, type).
+
+    The text is parsed once into a VARIANT and every field is read from that; text that is no JSON, an
+    absent field and a value of another type give null.
+    """
+    return df.withColumn("_raw", F.try_parse_json("raw_data")).withColumns(
+        {name: F.try_variant_get("_raw", path, kind) for name, (path, kind) in fields.items()}).drop("_raw")
+
+
 # Toast ---------------------------------------------------------------------------------------
 
 def live_toast_orders(orders: DataFrame) -> DataFrame:

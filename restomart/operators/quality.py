@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from restomart import fixed_values as V
-from restomart.operators.orders import live_toast_orders, toast_payments
+from restomart.operators.orders import live_toast_orders
 from restomart.sources.exports import Exports
 from restomart.sources.silver import Silver
 
@@ -66,46 +66,58 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _counts(df: DataFrame, metric: str, key: str | None = None, label: str = "total") -> DataFrame:
-    grouped = df.groupBy(F.col(key).alias("source")) if key else df.groupBy(
-        F.lit(label).alias("source"))
-    return grouped.agg(F.count(F.lit(1)).alias("n")).withColumn("metric", F.lit(metric))
-
-
 def integrity_report(exports: Exports, silver: Silver) -> DataFrame:
     """(metric, source, expected, actual, ok): orders and payments against the exports, and
-    orders without payment (expected none)."""
+    orders without payment (expected none).
+
+    Each export and each silver table is read once: an export's payments are counted inside its
+    orders' arrays, and silver's payments shrink to one row per order before they meet the orders.
+    """
     live = live_toast_orders(exports.toast)
-    tag = lambda df, name: df.select(F.lit(name).alias("source"))
-    order_sources = [tag(live, "toast"), tag(exports.doordash, "doordash"),
-                     tag(exports.square.orders, "square")]
-    payment_sources = [tag(toast_payments(live), "toast"), tag(exports.doordash, "doordash"),
-                       tag(exports.square.payments, "square")]
-    paid = silver.payments.join(
-        silver.orders.select(F.col("id").alias("_o"), "source"), F.col("order_id") == F.col("_o"),
-        "left")
-    return compare_counts(_union(order_sources), _union(payment_sources), silver.orders, paid)
+    paid = F.aggregate("checks", F.lit(0).cast("bigint"), lambda n, c: n + F.coalesce(F.size(F.filter(
+        c["payments"], lambda p: ~p["refundStatus"].eqNullSafe(F.lit("FULL_REFUND")))).cast("bigint"), F.lit(0)))
+    one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    counted = lambda df, source, orders, payments: df.select(
+        F.lit(source).alias("source"), orders.alias("orders"), payments.alias("payments"))
+    expected = _union([
+        counted(live, "toast", one, paid), counted(exports.doordash, "doordash", one, one),
+        counted(exports.square.orders, "square", one, none), counted(exports.square.payments, "square", none, one)])
+    return _compared(expected, silver.orders, silver.payments)
 
 
 def compare_counts(source_orders: DataFrame, source_payments: DataFrame, orders: DataFrame,
                    payments: DataFrame) -> DataFrame:
-    """``integrity_report`` on frames that already carry ``source``."""
-    def side(df_orders: DataFrame, df_payments: DataFrame, name: str) -> DataFrame:
-        per_source = _union([_counts(df_orders, "orders", "source"),
-                             _counts(df_payments, "payments", "source")])
-        totals = per_source.groupBy("metric").agg(F.sum("n").alias("n")).withColumn(
-            "source", F.lit("total"))
-        return per_source.unionByName(totals).select(
-            "metric", F.coalesce("source", F.lit("unknown")).alias("source"), F.col("n").alias(name))
-
-    both = side(source_orders, source_payments, "expected").join(
-        side(orders, payments, "actual"), ["metric", "source"], "full")
-    coverage = payment_coverage(orders, payments).select(
-        F.lit("orders without payment").alias("metric"), F.lit("total").alias("source"),
-        F.lit(0).cast("bigint").alias("expected"), F.col("without_payment").alias("actual"))
-    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return (both.select("metric", "source", zero("expected"), zero("actual"))
-            .unionByName(coverage).withColumn("ok", F.col("expected") == F.col("actual")))
+    """``integrity_report`` on source frames that have one row per order or payment and ``source``."""
+    one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    expected = source_orders.select("source", one.alias("orders"), none.alias("payments")).unionByName(
+        source_payments.select("source", none.alias("orders"), one.alias("payments")))
+    return _compared(expected, orders, payments)
+
+
+def _compared(expected: DataFrame, orders: DataFrame, payments: DataFrame) -> DataFrame:
+    """The report from one aggregate per side; totals come from the few rows per source."""
+    per_order = payments.groupBy(F.col("order_id").alias("_o")).agg(F.count(F.lit(1)).alias("_n"))
+    both = orders.select("id", "source").join(per_order, F.col("id") == F.col("_o"), "full")
+    unpaid = F.col("id").isNotNull() & F.col("_n").isNull()
+    actual = both.groupBy(F.coalesce("source", F.lit("unknown")).alias("source")).agg(
+        F.count("id").alias("orders"), F.coalesce(F.sum("_n"), F.lit(0)).alias("payments"),
+        F.count_if(unpaid).alias("unpaid"))
+    wanted = expected.groupBy(F.coalesce("source", F.lit("unknown")).alias("source")).agg(
+        F.sum("orders").alias("orders"), F.sum("payments").alias("payments"))
+    sides = wanted.select("source", *[F.col(c).alias(f"{c}_expected") for c in ("orders", "payments")], F.lit(0).alias("unpaid_expected")).join(
+        actual.select("source", *[F.col(c).alias(f"{c}_actual") for c in ("orders", "payments", "unpaid")]), "source", "full")
+    sums = [F.coalesce(F.sum(f"{m}_{side}"), F.lit(0)).cast("bigint").alias(f"{m}_{side}")
+            for m in ("orders", "payments", "unpaid") for side in ("expected", "actual")]
+    totals = sides.groupingSets([[F.col("source")], []], "source").agg(F.grouping("source").alias("_total"), *sums)
+    lines = F.inline(F.array(*[F.struct(
+        F.lit(name).alias("metric"), F.col(f"{m}_expected").alias("expected"), F.col(f"{m}_actual").alias("actual"))
+        for m, name in (("orders", "orders"), ("payments", "payments"), ("unpaid", "orders without payment"))]))
+    out = totals.select(F.when(F.col("_total") == 1, "total").otherwise(F.col("source")).alias("source"), lines)
+    # A source without rows on either side has no line, and unpaid orders are told in total only.
+    kept = F.when(F.col("metric") == "orders without payment", F.col("source") == "total").otherwise(
+        (F.col("source") == "total") | (F.col("expected") > 0) | (F.col("actual") > 0))
+    return out.filter(kept).select("metric", "source", "expected", "actual",
+                                   (F.col("expected") == F.col("actual")).alias("ok"))
 
 
 def succeeded(report: DataFrame) -> DataFrame:

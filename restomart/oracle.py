@@ -414,11 +414,23 @@ EXPORTS = {
         UNION ALL SELECT 'set aside', 'several', count(*), NULL FROM doc
           WHERE k % 29 <> 0 AND k % 31 <> 0 AND k % 37 = 0 HAVING count(*) > 0""",
     "s11_validation": """
-        SELECT 'checks.' || (c - 1) || '.payments.' || (p - 1) || '.cardType' AS path,
-               'expected string' AS message, count(*) AS violations
-        FROM (SELECT *, unnest(range(1, 2 + k % 2)) AS p FROM (
-                SELECT k, unnest(range(1, 2 + k % 3)) AS c FROM doc))
-        WHERE (k + p) % 3 <> 0 GROUP BY ALL""",
+        SELECT 'store_id' AS path, 'expected string' AS message, count(*) AS violations FROM doc WHERE k % 29 = 0 HAVING count(*) > 0
+        UNION ALL SELECT 'dasher_tip', 'expected number', count(*) FROM doc WHERE k % 31 = 0 HAVING count(*) > 0
+        UNION ALL SELECT 'is_catering', 'expected boolean', count(*) FROM doc WHERE k % 37 = 0 HAVING count(*) > 0
+        UNION ALL SELECT 'order_items', 'expected array', count(*) FROM doc WHERE k % 41 = 0 HAVING count(*) > 0
+        UNION ALL SELECT 'order_items.' || (s - 1) || '.category', 'expected string', count(*)
+          FROM (SELECT k, unnest(range(1, 1 + k % 6)) AS s FROM doc WHERE k % 23 = 0 AND k % 41 <> 0)
+          WHERE 1 + (k + s) % 4 = 2 GROUP BY s""",
+    "p18_toast_raw_fields": """SELECT 'g' || k AS source_order_id, CASE priority WHEN '1-URGENT' THEN 'DELIVERY'
+          WHEN '2-HIGH' THEN 'TAKE_OUT' WHEN '5-LOW' THEN 'CURBSIDE' ELSE 'DINE_IN' END AS behavior,
+        cents % 10000 + 100 * min(c) AS first_check, 'item ' || (k + min(c) + 1) % 50 AS first_item
+        FROM tcheck WHERE k IN (SELECT k FROM tkept) GROUP BY k, priority, cents""",
+    "p18_doordash_raw_fields": """SELECT 'x' || k AS source_order_id,
+        CASE WHEN k % 5 = 0 THEN 'PICKUP' WHEN k % 7 = 0 THEN 'Drone' ELSE 'MERCHANT_DELIVERY' END AS method,
+        cents - cents % 400 AS payout, k % 4 = 0 AS alcohol FROM ddoc""",
+    "p18_square_raw_fields": """SELECT 'q' || k AS source_order_id,
+        CASE WHEN k % 3 = 0 THEN 'Square Online' ELSE 'Register' END AS register, cents AS total,
+        'v' || (k + 1) % 2500 || '-1' AS first_line FROM qdoc""",
 }
 
 # Names ---------------------------------------------------------------------------------------

@@ -198,7 +198,7 @@ def gold_hourly_trends(s: Silver, scope: Scope = ALL, local_time: bool = False)
     )
 
 
-def _sold_items(s: Silver, scope: Scope, named: str, local_time: bool = False) -> DataFrame:
+def sold_items(s: Silver, scope: Scope, named: str, local_time: bool = False) -> DataFrame:
     """Item lines of completed orders, in cents, with product and order attributes.
 
     Products join first (a dimension, broadcast by its size), orders last, so after a
@@ -234,7 +234,7 @@ def _product_location(s: Silver, scope: Scope, local_time: bool) -> DataFrame:
     units = [F.sum(F.when(_order_type_is(k), F.col("quantity")).otherwise(0)).alias(f"{k}_units")
              for k in ORDER_TYPE_GROUPS]
     per_order = (
-        _sold_items(s, scope, "product_name", local_time).groupBy("order_id", *keys)
+        sold_items(s, scope, "product_name", local_time).groupBy("order_id", *keys)
         .agg(*_line_sums(), *units, F.min("created_at").alias("first_sale"),
              F.max("created_at").alias("last_sale"))
     )
@@ -270,30 +270,27 @@ def gold_product_performance(s: Silver, scope: Scope = ALL, local_time: bool = F
 
 def gold_category_performance(s: Silver, scope: Scope = ALL, local_time: bool = False) -> DataFrame:
     keys = ["category_name", "location_name"]
-    sold = _sold_items(s, scope, "category_name", local_time)
+    sold = sold_items(s, scope, "category_name", local_time)
     by_source = [F.sum(F.when(F.col("source") == k, F.col("total_price_cents")).otherwise(0))
                  .alias(f"{k}_revenue") for k in SOURCES]
     revenue_names = [f"{k}_revenue" for k in SOURCES]
-    per_order = sold.groupBy("order_id", *keys).agg(*_line_sums(), *by_source)
-    totals = per_order.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("orders_containing"),
-        *_add_up("units", "revenue", "prices", "lines", *revenue_names))
-    variety = (
-        sold.groupBy(*keys, "product_name").agg(F.lit(1).alias("_one"))
-        .groupBy(*keys).agg(F.count("product_name").alias("products_in_category"))
-        .select(F.col("category_name").alias("_c"), F.col("location_name").alias("_l"),
-                "products_in_category")
-    )
-    return (
-        totals.join(variety, F.col("category_name").eqNullSafe(F.col("_c"))
-                    & F.col("location_name").eqNullSafe(F.col("_l")))
-        .select(
-            *keys, "products_in_category", "orders_containing",
-            F.col("units").alias("total_units_sold"),
-            dollars("revenue", total=True).alias("total_revenue"),
-            mean_dollars("prices", "lines").alias("avg_item_price"),
-            *[dollars(n, total=True).alias(n) for n in revenue_names])
-    )
+    sums = ["units", "revenue", "prices", "lines", *revenue_names]
+    # An order's few product names travel with its sums; spread out again, its sums and its count go to
+    # the first, so one reduction gives the order counts and the variety.
+    per_order = sold.groupBy("order_id", *keys).agg(
+        *_line_sums(), *by_source, F.sort_array(F.collect_set("product_name")).alias("_names"))
+    spread = per_order.select(*keys, *sums, F.posexplode_outer("_names").alias("_at", "product_name"))
+    first = F.coalesce(F.col("_at"), F.lit(0)) == 0
+    per_product = spread.groupBy(*keys, "product_name").agg(
+        F.count_if(first).alias("orders_containing"), *[F.sum(F.when(first, F.col(n))).alias(n) for n in sums])
+    totals = per_product.groupBy(*keys).agg(
+        F.count("product_name").alias("products_in_category"), *_add_up("orders_containing", *sums))
+    return totals.select(
+        *keys, "products_in_category", "orders_containing",
+        F.col("units").alias("total_units_sold"),
+        dollars("revenue", total=True).alias("total_revenue"),
+        mean_dollars("prices", "lines").alias("avg_item_price"),
+        *[dollars(n, total=True).alias(n) for n in revenue_names])
 
 
 def gold_payments(s: Silver, scope: Scope = ALL) -> DataFrame:

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from restomart.fixed_values import BEVERAGE_PATTERN, PAYMENT_TYPES, SOURCES
 from restomart.functions.money_time import dollars, mean_dollars
 from restomart.plans.gold import (
-    ALL, Scope, completed_orders, gold_category_performance, gold_daily_sales, gold_hourly_trends,
-    gold_order_items, gold_payments, gold_product_by_location, gold_product_performance,
+    ALL, Scope, sold_items, completed_orders, gold_daily_sales, gold_hourly_trends, gold_order_items,
+    gold_payments, gold_product_by_location, gold_product_performance,
 )
 from restomart.sources.silver import Silver
 
@@ -144,15 +144,15 @@ def beverage_sales(s: Silver, scope: Scope = ALL, pattern: str = BEVERAGE_PATTER
     drinks = (s.categories.filter(F.col("name").rlike(f"(?i){pattern}"))
               .select(F.col("name").alias("category_name")))
     return (
-        gold_category_performance(s, scope).join(drinks, "category_name", "left_semi")
-        .groupBy("location_name").agg(F.sum("total_revenue").alias("revenue"))
+        sold_items(s, scope, "category_name").join(drinks, "category_name", "left_semi")
+        .groupBy("location_name").agg(dollars(F.sum("total_price_cents"), total=True).alias("revenue"))
         .orderBy(F.desc("revenue"), "location_name")
     )
 
 
 def category_ranking(s: Silver, scope: Scope = ALL) -> DataFrame:
-    return (gold_category_performance(s, scope).groupBy("category_name")
-            .agg(F.sum("total_revenue").alias("revenue"))
+    return (sold_items(s, scope, "category_name").groupBy("category_name")
+            .agg(dollars(F.sum("total_price_cents"), total=True).alias("revenue"))
             .orderBy(F.desc("revenue"), "category_name"))
 
 

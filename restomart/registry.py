@@ -26,7 +26,8 @@ from restomart.operators.validate import validate_records
 from restomart.plans import conversations, gold, query_log, recipes, usage
 from restomart.session import shared_path, split_skewed_joins
 from restomart.sources import star_exports as X
-from restomart.sources.exports import Exports, SquareExport
+from restomart.sources.export_specs import RECORDS
+from restomart.sources.exports import Exports, SquareExport, landed
 from restomart.sources.silver import Silver, conform
 from restomart.sources.star_adapter import silver_from_star, table
 from restomart.sources.store import SilverStore, load_stats
@@ -135,10 +136,11 @@ def _stacked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    exports = Exports(X.toast_documents(spark, sf_dir), X.doordash_documents(spark, sf_dir),
-                      SquareExport(None, X.square_catalog(spark, sf_dir),
-                                   X.square_orders(spark, sf_dir), X.square_payments(spark, sf_dir)))
-    rows = [_toast(spark, sf_dir), _doordash(spark, sf_dir), _square(spark, sf_dir)]
+    exports = landed(Exports(X.toast_documents(spark, sf_dir), X.doordash_documents(spark, sf_dir), SquareExport(
+        None, None, X.square_orders(spark, sf_dir), X.square_payments(spark, sf_dir))))
+    places = _xref(spark, sf_dir)
+    rows = [O.toast_rows(exports.toast, places, keep_raw=False), O.doordash_rows(exports.doordash, places, keep_raw=False),
+            O.square_rows(exports.square.orders, exports.square.payments, X.square_catalog(spark, sf_dir), places, keep_raw=False)]
     stack = lambda frames, t: conform(frames[0], t).unionByName(conform(frames[1], t)).unionByName(
         conform(frames[2], t))
     silver = Silver(orders=stack([r.orders for r in rows], "orders"),
@@ -146,10 +148,38 @@ def _integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.integrity_report(exports, silver)
 
 
+RAW_FIELDS = {
+    "toast": {"behavior": ("$.diningOption.behavior", "string"), "first_check": ("$.checks[0].amount", "bigint"),
+              "first_item": ("$.checks[0].selections[0].displayName", "string")},
+    "doordash": {"method": ("$.order_fulfillment_method", "string"), "payout": ("$.merchant_payout", "bigint"),
+                 "alcohol": ("$.contains_alcohol", "boolean")},
+    "square": {"register": ("$.source.name", "string"), "total": ("$.total_money.amount", "bigint"),
+               "first_line": ("$.line_items[0].catalog_object_id", "string")},
+}
+
+
+def _raw(source: str) -> Callable[[SparkSession, str], DataFrame]:
+    """Fields of the source's own records, read from what silver's orders keep of them."""
+    def build(spark: SparkSession, sf_dir: str) -> DataFrame:
+        places = _xref(spark, sf_dir)
+        orders = {
+            "toast": lambda: O.toast_rows(X.toast_documents(spark, sf_dir), places).orders,
+            "doordash": lambda: O.doordash_rows(X.doordash_documents(spark, sf_dir), places).orders,
+            "square": lambda: O.square_rows(X.square_orders(spark, sf_dir), X.square_payments(spark, sf_dir),
+                                            X.square_catalog(spark, sf_dir), places).orders}[source]()
+        return O.raw_fields(orders, RAW_FIELDS[source]).select("source_order_id", *RAW_FIELDS[source])
+    return build
+
+
 def _validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spec = {"guid": "string", "source": "string",
-            "checks": [{"amount": "bigint", "payments": [{"guid": "string", "cardType": "string"}]}]}
-    found = validate_records(X.toast_documents(spark, sf_dir), spec)
+    """Violations of the declared records: DoorDash orders of which some lack a field somewhere."""
+    key = F.substring("external_delivery_id", 2, 20).cast("bigint")
+    gone = lambda every, name: F.when(key % every != 0, F.col(name)).alias(name)
+    item = lambda i: F.when((key % 23 == 0) & (i["quantity"] == 2), i.withField("category", F.lit(None))).otherwise(i)
+    docs = X.doordash_documents(spark, sf_dir).withColumns({
+        "store_id": gone(29, "store_id"), "dasher_tip": gone(31, "dasher_tip"), "is_catering": gone(37, "is_catering"),
+        "delivery_time": gone(2, "delivery_time"), "order_items": F.when(key % 41 != 0, F.transform("order_items", item))})
+    found = validate_records(docs, RECORDS["doordash_orders"][0])
     return found.groupBy("path", "message").agg(F.count(F.lit(1)).alias("violations"))
 
 
@@ -167,6 +197,7 @@ EXPORTS: dict[str, Query] = {name: _star(build) for name, build in {
     "u01_stacked_orders": _stacked,
     "q04_integrity_report": _integrity,
     "s11_validation": _validation,
+    **{f"p18_{source}_raw_fields": _raw(source) for source in RAW_FIELDS},
 }.items()}
 
 

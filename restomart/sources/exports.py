@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from restomart.session import shared_path
 from restomart.sources.export_specs import RECORDS, ddl_schema, ddl_type
 
 CORRUPT = "_corrupt_record"
@@ -97,3 +98,16 @@ def read_exports(spark: SparkSession, toast: str, doordash: str, square: str,
                  layout: str = "document") -> Exports:
     return Exports(read_toast(spark, toast, layout), read_doordash(spark, doordash, layout),
                    read_square(spark, square, layout))
+
+
+def landed(exports: Exports) -> Exports:
+    """The exports as Parquet in the scratch folder: the documents are parsed once, and each table that is made
+    from them reads only the fields it needs."""
+    def stored(df: DataFrame, name: str) -> DataFrame:
+        path = shared_path(df.sparkSession, f"export-{name}")
+        df.write.parquet(path)
+        return df.sparkSession.read.schema(df.schema).parquet(path)
+
+    square = {n: stored(getattr(exports.square, n), f"square-{n}") if getattr(exports.square, n) is not None else None
+              for n in ("locations", "catalog", "orders", "payments")}
+    return Exports(stored(exports.toast, "toast"), stored(exports.doordash, "doordash"), SquareExport(**square))
