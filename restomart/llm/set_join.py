@@ -17,8 +17,9 @@ from restomart.llm.shingles import SHINGLE_WORDS, set_key, shingle_set, text_byt
 from restomart.session import split_skewed_joins
 
 COUNTERS = 1 << 18  # shared counters that order shingles from rare to frequent
-LEAST_GROUPS, MOST_GROUPS = 16, 4096
-GROUP_SIZE = 8  # shingles that share a group on average
+LEAST_GROUPS = 16
+GROUP_SIZE = 2  # shingles that share a group on average, at most
+ROUGH = 4  # groups of a point that are one group of its rough form
 LEAF, FANOUT = 16, 8
 TILE_ROWS, TILE_BYTES = 1024, 16 << 20
 ROUNDS = 3  # searches for nearest partners before the search for all
@@ -32,26 +33,37 @@ def _short(key: bytes) -> int:
     return int.from_bytes(key[:8], "little", signed=True)
 
 
-def groups_of(size: int) -> int:
-    """Groups for a set of this size: a power of two, about one for each ``GROUP_SIZE`` shingles."""
-    return min(MOST_GROUPS, max(LEAST_GROUPS, 1 << (max(size - 1, 1) // GROUP_SIZE).bit_length()))
+def point(shingles: np.ndarray) -> np.ndarray:
+    """How many shingles fall into each group.
 
+    There is a power of two of groups, at least one for each ``GROUP_SIZE`` shingles and so many that a byte
+    holds each count. A group is the leading bits of a hash, so neighbours add up to the groups of a
+    shorter point.
+    """
+    n = max(LEAST_GROUPS, 1 << (max(len(shingles) - 1, 1) // GROUP_SIZE).bit_length())
+    while True:
+        counts = np.bincount((shingles >> np.uint64(64 - n.bit_length() + 1)).astype(np.int64), minlength=n)
+        if counts.max() < 256:
+            return counts.astype(np.uint8)
+        n *= 2
 
-def point(shingles: np.ndarray) -> np.ndarray:
-    """How many shingles fall into each group; a group is the leading bits of a hash, so that
-    neighbours add up to the groups of a shorter point."""
-    n = groups_of(len(shingles))
-    return np.bincount((shingles >> np.uint64(64 - n.bit_length() + 1)).astype(np.int64), minlength=n).astype(np.int32)
 
+def rough(counts: np.ndarray) -> np.ndarray:
+    """The point with ``ROUGH`` groups in one, unless too few or too full ones would be left."""
+    wide = counts.reshape(-1, ROUGH).sum(axis=1)
+    return wide.astype(np.uint8) if len(wide) >= LEAST_GROUPS and wide.max() < 256 else counts
 
-def _folded(points: list[np.ndarray], n: int) -> np.ndarray:
-    return np.stack([p.reshape(n, -1).sum(axis=1) for p in points]).astype(np.int32)
+
+def folded(points: list[np.ndarray], n: int) -> np.ndarray:
+    """Points of at least ``n`` groups as rows of ``n`` counts."""
+    return np.stack([p.reshape(n, -1).sum(axis=1, dtype=np.int32) for p in points]).astype(np.int16 if n > LEAST_GROUPS else np.int32)
 
 
 def _scan(width: int):
-    """Size, key and point of each message's set, and at the end of the task its shingles by shared counter."""
-    names = ["id", "n_shingles", "set_key", "short", "point", "counters", "counts"]
-    kinds = [pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64())]
+    """Size, key and point (also in a rough form) of each message's set, and at the end of the task its
+    shingles by shared counter."""
+    names = ["id", "n_shingles", "set_key", "short", "point", "rough", "counters", "counts"]
+    kinds = [pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64())]
 
     def run(batches: Batches) -> Batches:
         totals, id_type = np.zeros(COUNTERS, np.int64), None
@@ -61,13 +73,16 @@ def _scan(width: int):
             for text in text_bytes(column(batch, "content")):
                 shingles = shingle_set(text, width)
                 np.add.at(totals, (shingles % np.uint64(COUNTERS)).astype(np.int64), 1)
-                key = set_key(shingles) if len(shingles) else None
-                found.append((len(shingles), key, key and _short(key), key and point(shingles).tobytes(), None, None))
+                if len(shingles):
+                    key, counts = set_key(shingles), point(shingles)
+                    found.append((len(shingles), key, _short(key), counts.tobytes(), rough(counts).tobytes(), None, None))
+                else:
+                    found.append((0, *[None] * 6))
             columns = zip(*found) if found else [()] * len(kinds)
             yield pa.RecordBatch.from_arrays([ids, *map(pa.array, columns, kinds)], names=names)
         used = np.flatnonzero(totals)
         if len(used):
-            nothing = [pa.nulls(1, kind) for kind in (id_type, *kinds[:4])]
+            nothing = [pa.nulls(1, kind) for kind in (id_type, *kinds[:5])]
             yield pa.RecordBatch.from_arrays(
                 [*nothing, pa.array([used.astype(np.int32)]), pa.array([totals[used]])], names=names)
     return run
@@ -118,6 +133,9 @@ class CountTree:
 
     def __init__(self, points: np.ndarray, sizes: np.ndarray, components: np.ndarray, percent: int):
         self.percent = percent
+        if len(points) <= LEAF:
+            self.order, self.levels = np.arange(len(points)), [(points, sizes, sizes, components, None)]
+            return
         order, stack = [], [np.arange(len(points))]
         while stack:
             at = stack.pop()
@@ -153,7 +171,7 @@ class CountTree:
             bound = np.empty(len(asked), np.int64)
             step = max(1, CHUNK // points.shape[1])
             for i in range(0, len(asked), step):
-                bound[i:i + step] = np.minimum(points[asked[i:i + step]], counts[node[i:i + step]]).sum(axis=1)
+                bound[i:i + step] = np.minimum(points[asked[i:i + step]], counts[node[i:i + step]]).sum(axis=1, dtype=np.int64)
             s = sizes[asked]
             near = ((100 + self.percent) * bound >= self.percent * (s + low[node])) & (
                 100 * high[node] >= self.percent * s) & (100 * s >= self.percent * low[node]) & (
@@ -167,19 +185,38 @@ class CountTree:
 
 
 class _Tile:
-    """Rows of one cell as arrays."""
+    """Rows of one cell as arrays; points of one length are searched together."""
 
     def __init__(self, rows: list[tuple], codes: dict[bytes, int]):
         self.keys = [r[0] for r in rows]
         self.sizes = np.array([r[1] for r in rows], np.int64)
         self.components = np.array([codes.setdefault(r[2], len(codes)) for r in rows])
-        self.points = [np.frombuffer(r[3], np.int32) for r in rows]
+        self.points = [np.frombuffer(r[3], np.uint8) for r in rows]
+        lengths = np.array([len(p) for p in self.points])
+        self.of_length = {int(n): np.flatnonzero(lengths == n) for n in np.unique(lengths)}
+
+    def part(self, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return folded([self.points[i] for i in at], n), self.sizes[at], self.components[at]
+
+
+def _fitting_sizes(tile: _Tile, percent: int) -> bool:
+    """Whether any two rows of a tile, which come by size, may be similar by their sizes."""
+    return bool((100 * tile.sizes[:-1] >= percent * tile.sizes[1:]).any())
 
 
 def _pairs(one: _Tile, two: _Tile, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    n = min(len(p) for p in (*one.points, *two.points))
-    tree = CountTree(_folded(two.points, n), two.sizes, two.components, percent)
-    a, b, bound = tree.search(_folded(one.points, n), one.sizes, one.components)
+    """Rows of two tiles that may be similar, and the bound on what they share. Points whose sets could be of
+    fitting sizes are compared in the groups of the shorter one."""
+    found = [(np.empty(0, np.int64),) * 3]
+    for n, ours in one.of_length.items():
+        for m, theirs in two.of_length.items():
+            if 100 * one.sizes[ours].max() < percent * two.sizes[theirs].min() or (
+                    100 * two.sizes[theirs].max() < percent * one.sizes[ours].min()):
+                continue
+            tree = CountTree(*two.part(theirs, min(n, m)), percent)
+            a, b, bound = tree.search(*one.part(ours, min(n, m)))
+            found.append((ours[a], theirs[b], bound))
+    a, b, bound = map(np.concatenate, zip(*found))
     if one is two:
         once = b < a
         a, b, bound = a[once], b[once], bound[once]
@@ -189,7 +226,7 @@ def _pairs(one: _Tile, two: _Tile, percent: int) -> tuple[np.ndarray, np.ndarray
 def _tiles(batches: Batches) -> Iterator[tuple[int, list[tuple]]]:
     """(cell, rows) of a stream sorted by cell, cut into tiles of bounded size."""
     last, held, weight = None, [], 0
-    for cell, *row in rows_of(batches, "cell", "set_key", "n_shingles", "component", "point"):
+    for cell, *row in rows_of(batches, "cell", "set_key", "n_shingles", "component", "point", "members"):
         if held and (cell != last or len(held) == TILE_ROWS or weight > TILE_BYTES):
             yield last, held
             held, weight = [], 0
@@ -201,20 +238,23 @@ def _tiles(batches: Batches) -> Iterator[tuple[int, list[tuple]]]:
 
 
 def _nearest(percent: int):
-    """For each row of a tile the partner before it that may have the most in common with it; rows
-    without a partner of their own that later rows or other tiles may still need come with a null."""
+    """For each row of a tile the partner before it that may have the most in common with it.
+
+    With a null partner come the other rows that later searches need: those that are a partner only, and
+    every row of a cell that this tile does not hold as a whole.
+    """
     def run(batches: Batches) -> Batches:
         found: list[tuple] = []
         for _, rows in _tiles(batches):
-            if len(rows) > 1:
-                tile = _Tile(rows, {})
+            tile, whole = _Tile(rows, {}), len(rows) == rows[0][4]
+            if len(rows) > 1 and _fitting_sizes(tile, percent):
                 a, b, bound = _pairs(tile, tile, percent)
                 share = bound / (tile.sizes[a] + tile.sizes[b])
                 order = np.lexsort((b, -share, a))
                 first = order[np.append(True, a[order][1:] != a[order][:-1])] if len(a) else order
                 found += [(tile.keys[b[i]], tile.keys[a[i]]) for i in first]
-                wanted = range(len(rows)) if len(rows) == TILE_ROWS else np.setdiff1d(b, a)
-                found += [(tile.keys[i], None) for i in wanted]
+                found += [(tile.keys[i], None) for i in np.setdiff1d(b, a)] if whole else []
+            found += [] if whole else [(k, None) for k in tile.keys]
             if len(found) > 10_000:
                 yield edge_batch(found)
                 found = []
@@ -226,9 +266,8 @@ def _numbered(batches: Batches) -> Batches:
     """Rows with the number of their tile."""
     tile = TaskContext.get().partitionId() << 33
     for cell, rows in _tiles(batches):
-        keys, sizes, components, points = zip(*rows)
-        least = np.stack([np.frombuffer(p, np.int32).reshape(LEAST_GROUPS, -1).sum(axis=1) for p in points])
-        most = [least.max(axis=0)] + [None] * (len(rows) - 1)  # once a tile
+        keys, sizes, components, points, _ = zip(*rows)
+        most = [folded([np.frombuffer(p, np.uint8) for p in points], LEAST_GROUPS).max(axis=0)] + [None] * (len(rows) - 1)  # once a tile
         same = lambda v: pa.array([v] * len(rows), pa.int64())
         yield pa.RecordBatch.from_arrays(
             [same(cell), same(tile), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(components, pa.binary()),
@@ -259,10 +298,8 @@ def _all_near(percent: int):
     return run
 
 
-def _mixed(crowded: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Members of the cells that hold several components."""
-    if labels is None:
-        return crowded.withColumn("component", F.col("set_key"))
+def _mixed(crowded: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of the cells that hold several components, with the component."""
     of = labels.select(F.col("vertex").alias("set_key"), F.col("component").alias("found"))
     labelled = crowded.join(of, "set_key", "left").select(
         "cell", "set_key", "n_shingles", F.coalesce("found", "set_key").alias("component"))
@@ -270,15 +307,21 @@ def _mixed(crowded: DataFrame, labels: DataFrame | None) -> DataFrame:
     return labelled.join(several.select("cell"), "cell")
 
 
-def _sorted(members: DataFrame, points: DataFrame) -> DataFrame:
+def _sorted(members: DataFrame, points: DataFrame, percent: int, which: str = "point") -> DataFrame:
+    """Members with their points and the number of members of their cell, by cell and size. Cells of one member,
+    or of two that do not fit by their sizes, are left out."""
     order = ("cell", "n_shingles", "set_key")
-    return members.join(points.select("set_key", "point"), "set_key").select(
-        "cell", "set_key", "n_shingles", "component", "point").repartitionByRange(*order).sortWithinPartitions(*order)
+    low, high = F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high")
+    sizes = members.groupBy("cell").agg(F.count(F.lit(1)).alias("members"), low, high).filter(
+        (F.col("members") > 2) | ((F.col("members") == 2) & (100 * F.col("low") >= percent * F.col("high"))))
+    return members.join(sizes.select("cell", "members"), "cell").join(
+        points.select("set_key", F.col(which).alias("point")), "set_key").select(
+        "cell", "set_key", "n_shingles", "component", "point", "members").repartitionByRange(*order).sortWithinPartitions(*order)
 
 
 def _between_tiles(members: DataFrame, points: DataFrame, percent: int) -> DataFrame:
     """All candidate pairs of different components, from trees over tiles of every cell."""
-    rows = materialize(_sorted(members, points).mapInArrow(
+    rows = materialize(_sorted(members, points, percent).mapInArrow(
         _numbered, "cell long, tile long, set_key binary, n_shingles long, component binary, point binary, most array<int>"), "tiles")
     nodes = materialize(rows.groupBy("cell", "tile").agg(
         F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high"), F.min("component").alias("l"),
@@ -307,9 +350,9 @@ def linked_messages(messages: DataFrame, width: int = SHINGLE_WORDS, percent: in
     sets share one of their rarest shingles (rare by counters over all messages), so each class lies in the cells of
     those, and cells with the same members count once. Each cell has an R-tree over its points, in tiles
     of bounded size; a search goes down only where the summed minima of a node's largest counts leave enough
-    in common. Surviving pairs are verified on whole sets. The first rounds ask for every point's nearest
-    partner, then for those of one point of each component; the last asks for all remaining pairs of
-    different components. Pairs within a component are never listed, so a crowd of copies costs no
+    in common. Classes without a possible partner leave, first by points of few groups, then of more. Surviving pairs
+    are verified on whole sets. The first rounds ask for every point's nearest partner, then for those of
+    one point of each component; the last asks for all remaining pairs of different components. Pairs within a component are never listed, so a crowd of copies costs no
     more than its rows.
 
     Null or blank content has no shingles and is linked with nothing. Repeated rows link with each other. A
@@ -319,12 +362,12 @@ def linked_messages(messages: DataFrame, width: int = SHINGLE_WORDS, percent: in
     split_skewed_joins(messages.sparkSession)
     texts, kind = contents(messages), messages.schema["id"].dataType.simpleString()
     scanned = materialize(texts.mapInArrow(
-        _scan(width), f"id {kind}, n_shingles long, set_key binary, short long, point binary, counters array<int>, "
-                      "counts array<long>"), "message-sets")
+        _scan(width), f"id {kind}, n_shingles long, set_key binary, short long, point binary, rough binary, "
+                      "counters array<int>, counts array<long>"), "message-sets")
     rows = scanned.filter("n_shingles is not null").select("id", "n_shingles", "set_key")
     classes = materialize(scanned.filter("set_key is not null").groupBy("set_key").agg(
         F.min("id").alias("first_id"), F.any_value("short").alias("short"), F.any_value("n_shingles").alias("n_shingles"),
-        F.any_value("point").alias("point")), "classes")
+        F.any_value("point").alias("point"), F.any_value("rough").alias("rough")), "classes")
     placed = materialize(texts.select("content").mapInArrow(
         _cells(width, percent, _levels(scanned)), "cell long, short long"), "cells")
     full = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("cell")
@@ -337,9 +380,14 @@ def linked_messages(messages: DataFrame, width: int = SHINGLE_WORDS, percent: in
     crowded = materialize(shared.join(cells.select("cell"), "cell").distinct().join(
         classes.select("short", "set_key", "n_shingles"), "short").drop("short"), "crowded-cells")
 
-    near = materialize(_sorted(_mixed(crowded, None), classes).mapInArrow(_nearest(percent), "a binary, b binary"), "near")
-    wanted = near.select(F.explode(F.array("a", "b")).alias("set_key")).filter("set_key is not null").distinct()
-    wanted = wanted.join(classes, "set_key").select("set_key", "first_id")
+    # A class without a possible partner in any of its cells, by rough points and then by full ones, is done.
+    alone = crowded.withColumn("component", F.col("set_key"))
+    for which in ("rough", "point"):
+        near = materialize(_sorted(alone, classes, percent, which).mapInArrow(_nearest(percent), "a binary, b binary"), "near")
+        left = near.select(F.explode(F.array("a", "b")).alias("set_key")).filter("set_key is not null").distinct()
+        alone = materialize(alone.join(left, "set_key", "left_semi"), "crowded-cells")
+    crowded = alone.drop("component")
+    wanted = crowded.select("set_key").distinct().join(classes, "set_key").select("set_key", "first_id")
     whole = materialize(class_texts(texts, wanted, width), "class-texts")
     links, labels = None, None
     for i in range(ROUNDS):
@@ -347,13 +395,14 @@ def linked_messages(messages: DataFrame, width: int = SHINGLE_WORDS, percent: in
             members = _mixed(crowded, labels).groupBy("cell", "component").agg(
                 F.min_by(F.struct("set_key", "n_shingles"), F.xxhash64("set_key", F.lit(i))).alias("m")).select(
                 "cell", "m.*", "component")
-            near = _sorted(members, classes).mapInArrow(_nearest(percent), "a binary, b binary")
+            near = _sorted(members, classes, percent).mapInArrow(_nearest(percent), "a binary, b binary")
         found = confirmed(near.filter("b is not null"), whole, width, percent)
         if found.isEmpty():
             break
         links = found if links is None else links.unionByName(found)
         labels = materialize(connected_components(links), "labels")
-    last = confirmed(_between_tiles(_mixed(crowded, labels), classes, percent), whole, width, percent)
+    rest = _mixed(crowded, labels) if labels is not None else crowded.withColumn("component", F.col("set_key"))
+    last = confirmed(_between_tiles(rest, classes, percent), whole, width, percent)
     labels = connected_components(last if links is None else links.unionByName(last))
 
     of = classes.join(labels, F.col("set_key") == F.col("vertex"), "left").select(

@@ -69,8 +69,8 @@ def test_tree_finds_what_the_bound_allows(sizes):
         own = np.concatenate([rng.permutation(b)[:max(1, len(b) - rng.integers(0, len(b) // 5 + 1))],
                               rng.integers(0, 1 << 63, rng.integers(0, len(b) // 5 + 1), dtype=np.uint64)])
         sets.append(np.unique(own))
-    n = min(J.groups_of(len(s)) for s in sets)
-    points = J._folded([J.point(s) for s in sets], n)
+    points = [J.point(s) for s in sets]
+    points = J.folded(points, min(map(len, points)))
     size, of = np.array([len(s) for s in sets]), np.arange(200) % 7
     tree = J.CountTree(points, size, of, 80)
     a, b, bound = tree.search(points, size, of)
