@@ -502,6 +502,9 @@ NAMES = {
                CAST(levenshtein(text, product_text) AS INTEGER) AS distance
         FROM (SELECT DISTINCT text FROM keyed), shelf WHERE levenshtein(text, product_text) <= 3""",
 }
+NAMES["n18_label_override"] = f"""SELECT original_name, coalesce(ruled.label, keyed.label) AS label,
+        CASE WHEN ruled.label IS NOT NULL THEN 'semantic' ELSE kind END AS label_kind
+        FROM keyed LEFT JOIN ({NAMES["n06_rule_match"]}) ruled USING (original_name)"""
 # Rule of the first matching step, as in n06_rule_match, without its label.
 RULED = NAMES["n06_rule_match"].strip().removeprefix("WITH").partition("SELECT original_name, CASE WHEN step <= 2")[0]
 
@@ -573,6 +576,65 @@ PART_NAMES = {
         QUALIFY row_number() OVER (PARTITION BY lower(trim(p_name)) ORDER BY p_partkey) = 1""",
 }
 
+# One catalog sold by three sources ------------------------------------------------------------
+
+DISHES = """
+dish AS (SELECT p_partkey, p_brand, p_type, p_size, 'Dish ' || translate(left(sha256(CAST(p_partkey AS VARCHAR)), 16),
+           '0123456789abcdef', 'abcdefghijklmnop') AS dish FROM part),
+line AS (SELECT l_orderkey AS k, l_linenumber, l_suppkey, CAST(l_quantity AS INTEGER) AS quantity,
+           CAST(round(l_extendedprice * 100) AS BIGINT) AS paid, d.*, 'NATION_' || o_custkey % 25 AS place,
+           ['square', 'toast', 'doordash'][1 + l_linenumber % 3] AS source,
+           CASE WHEN p_partkey % 2 = 0 THEN p_size || ' pc' ELSE 'Lg' END AS shelf
+         FROM lineitem JOIN dish d ON p_partkey = l_partkey JOIN orders ON o_orderkey = l_orderkey),
+sale AS (SELECT *, CASE
+           WHEN source = 'square' THEN dish || CASE WHEN l_suppkey % 2 = 1 THEN ' - ' || shelf ELSE '' END
+           WHEN l_suppkey % 3 = 0 THEN dish
+           WHEN l_suppkey % 3 = 1 THEN CASE source WHEN 'toast' THEN upper(dish) ELSE lower(dish) END
+           WHEN source = 'toast' THEN left(dish, length(dish) - 1) ELSE 'Dish ' || substr(dish, 7) END AS original_name,
+           row_number() OVER (PARTITION BY k, source ORDER BY l_linenumber, l_partkey, l_suppkey, quantity, paid) - 1 AS line_no
+         FROM (SELECT *, p_partkey AS l_partkey FROM line)),
+sold AS (SELECT source, lower(trim(original_name)) AS name_key, p_partkey,
+           arg_min(original_name, {'a': CASE source WHEN 'toast' THEN 'g' ELSE 'x' END || k, 'b': line_no}) AS original_name,
+           min({'a': CASE source WHEN 'toast' THEN 'g' ELSE 'x' END || k, 'b': line_no}) AS first
+         FROM sale WHERE source <> 'square' GROUP BY ALL),
+product AS (SELECT d.*, CASE WHEN p_partkey % 10 <> 3 THEN upper(left(p_type, 1)) || lower(substr(p_type, 2))
+             WHEN EXISTS (SELECT 1 FROM sold s WHERE s.p_partkey = d.p_partkey AND source = 'toast') THEN 'Menu ' || p_brand
+             WHEN EXISTS (SELECT 1 FROM sold s WHERE s.p_partkey = d.p_partkey) THEN 'Online ' || p_brand END AS category_name,
+             (SELECT count(*) FROM sold s WHERE s.p_partkey = d.p_partkey) AS names FROM dish d)
+"""
+
+
+def over_dishes(select: str) -> str:
+    return "WITH " + DISHES.strip() + "\n" + select.strip()
+
+
+CATALOG = {
+    "u02_candidates": """SELECT source, original_name, category_name, row_number() OVER (
+          ORDER BY CASE source WHEN 'square' THEN 0 WHEN 'toast' THEN 1 ELSE 2 END, first) - 1 AS rank FROM (
+        SELECT 'square' AS source, dish AS original_name, NULL AS category_name, {'a': 'i' || p_partkey, 'b': 0} AS first FROM dish
+        UNION ALL SELECT source, original_name, CASE source WHEN 'toast' THEN 'Menu ' ELSE 'Online ' END || p_brand, first
+        FROM sold JOIN dish USING (p_partkey))""",
+    "a11_described_products": """SELECT dish AS name, CASE WHEN p_partkey % 4 <> 0 THEN p_brand END AS description,
+        category_name, 1 + names AS item_count FROM product""",
+    "n15_shelf_labels": """SELECT dish AS product_name, CASE WHEN p_partkey % 2 = 0 THEN p_size || ' pcs' ELSE 'Large' END AS name,
+        CASE WHEN p_partkey % 2 = 0 THEN 'quantity' ELSE 'size' END AS variation_type,
+        dish || ' - ' || CASE WHEN p_partkey % 2 = 0 THEN p_size || ' pc' ELSE 'Lg' END AS source_raw_name FROM dish""",
+    "j07_attached_lines": """SELECT source, CASE source WHEN 'toast' THEN 'g' WHEN 'doordash' THEN 'x' ELSE 'q' END || k
+          AS source_order_id, place AS location_name, trim(original_name) AS original_name, quantity, paid AS total_price_cents,
+        p.dish AS product_name, p.category_name,
+        CASE WHEN source = 'square' AND l_suppkey % 2 = 1 THEN
+          CASE WHEN p_partkey % 2 = 0 THEN s.p_size || ' pcs' ELSE 'Large' END END AS variation_name,
+        CASE WHEN source = 'square' AND l_suppkey % 2 = 1 THEN
+          CASE WHEN p_partkey % 2 = 0 THEN 'quantity' ELSE 'size' END END AS variation_type
+        FROM sale s JOIN product p USING (p_partkey)""",
+    "n17_aliases": """SELECT source, original_name AS raw_name, dish AS product_name FROM sold JOIN dish USING (p_partkey)
+        UNION ALL SELECT 'square', dish, dish FROM dish""",
+    "p16_locations": """SELECT n_name AS name, CASE WHEN n_nationkey % 5 = 4 THEN 'America/New_York'
+          WHEN n_nationkey % 2 = 0 THEN 'America/Chicago' ELSE 'America/Denver' END AS timezone,
+        't' || n_nationkey AS toast_id, 'd' || n_nationkey AS doordash_id, 's' || n_nationkey AS square_id,
+        CASE WHEN n_nationkey % 5 <> 4 THEN 'City ' || n_regionkey END AS city, n_nationkey % 5 <> 4 AS has_square FROM nation""",
+}
+
 # Silver operators ----------------------------------------------------------------------------
 
 TABLES = {"locations": "s_locations", "categories": "s_categories", "products": "s_products",
@@ -809,5 +871,6 @@ def build() -> dict[str, str]:
         body = text.strip()
         sql[name] = (over_names(body) if not body.startswith("WITH") else
                      "WITH " + RAW.strip() + ", " + body.removeprefix("WITH").lstrip())
+    sql.update({name: over_dishes(text) for name, text in CATALOG.items()})
     sql.update({name: text.strip() for name, text in {**PART_NAMES, **OTHERS}.items()})
     return sql

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from restomart import fixed_values as V
 from restomart.functions import codes
-from restomart.functions.names import match_key, normalize_label, rule_match
+from restomart.functions.names import NameConfig, match_key, normalize_label, rule_match
 from restomart.functions.text import (
     edit_distance, header_label, is_proper_case, normalize_category, normalize_product_name,
     strip_diacritics,
@@ -20,10 +20,11 @@ from restomart.operators import catalog as C
 from restomart.operators import orders as O
 from restomart.operators import quality as Q
 from restomart.operators import shape
-from restomart.operators.fuzzy import near_pairs
-from restomart.operators.locations import location_xref
+from restomart.operators.fuzzy import dense_rank_rows, near_pairs
+from restomart.operators.locations import build_locations, location_xref
 from restomart.operators.validate import validate_records
 from restomart.plans import conversations, gold, query_log, recipes, usage
+from restomart.plans.normalize import build_catalog, normalize
 from restomart.session import shared_path, split_skewed_joins
 from restomart.sources import star_exports as X
 from restomart.sources.export_specs import RECORDS
@@ -293,6 +294,73 @@ def _categories(spark: SparkSession, sf_dir: str) -> DataFrame:
             .agg(F.min("p_partkey").alias("first_part")))
 
 
+DISH_NAMES = NameConfig(groups=[])
+
+
+def _label_override(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The label of a rule goes before that of a pattern."""
+    return C.name_features(_names(spark, sf_dir), X.STAR_NAMES).select("original_name", "label", "label_kind")
+
+
+def _ordered_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Catalog items and sold names of all sources, numbered by priority of the source and first appearance."""
+    found = C.catalog_candidates(landed(X.dish_exports(spark, sf_dir)))
+    return dense_rank_rows(found, "first").select("source", "original_name", "category_name", "rank")
+
+
+def _dish_catalog(spark: SparkSession, sf_dir: str):
+    return build_catalog(landed(X.dish_exports(spark, sf_dir)), DISH_NAMES)
+
+
+def _described_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Products with the first description and category that any of their names has."""
+    catalog = _dish_catalog(spark, sf_dir)
+    kinds = catalog.categories.select(F.col("id").alias("category_id"), F.col("name").alias("category_name"))
+    return catalog.products.join(kinds, "category_id", "left").select(
+        "name", "description", "category_name", F.get_json_object("raw_data", "$.item_count").cast("bigint").alias("item_count"))
+
+
+def _shelf_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    catalog = _dish_catalog(spark, sf_dir)
+    names = catalog.products.select(F.col("id").alias("product_id"), F.col("name").alias("product_name"))
+    return catalog.labels.variations.join(names, "product_id").select(
+        "product_name", "name", "variation_type", "source_raw_name")
+
+
+def _dish_silver(spark: SparkSession, sf_dir: str) -> Silver:
+    return normalize(landed(X.dish_exports(spark, sf_dir)), X.dish_places(spark, sf_dir), DISH_NAMES, keep_raw=False)
+
+
+def _attached_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every sold line with the product, category and variation that were found for its name or catalog id."""
+    s = _dish_silver(spark, sf_dir)
+    named = lambda df, key, *columns: df.select(F.col("id").alias(key), *columns)
+    return (
+        s.order_items
+        .join(named(s.orders, "order_id", "source", "source_order_id", "location_id"), "order_id")
+        .join(named(s.locations, "location_id", F.col("name").alias("location_name")), "location_id")
+        .join(named(s.products, "product_id", F.col("name").alias("product_name"), "category_id"), "product_id", "left")
+        .join(named(s.categories, "category_id", F.col("name").alias("category_name")), "category_id", "left")
+        .join(named(s.product_variations, "variation_id", F.col("name").alias("variation_name"), "variation_type"),
+              "variation_id", "left")
+        .select("source", "source_order_id", "location_name", "original_name", "quantity", "total_price_cents",
+                "product_name", "category_name", "variation_name", "variation_type"))
+
+
+def _aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _dish_silver(spark, sf_dir)
+    names = s.products.select(F.col("id").alias("product_id"), F.col("name").alias("product_name"))
+    return s.product_aliases.join(names, "product_id").select("source", "raw_name", "product_name")
+
+
+def _unified_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Configured locations with what Square's export adds to them."""
+    square = X.dish_exports(spark, sf_dir).square.locations
+    return build_locations(X.dish_places(spark, sf_dir), square).select(
+        "name", "timezone", "toast_id", "doordash_id", "square_id", F.col("address.city").alias("city"),
+        F.get_json_object("raw_data", "$.square_location").isNotNull().alias("has_square"))
+
+
 NAMES: dict[str, Query] = {name: _star(build) for name, build in {
     "n01_name_features": _extracted,
     "n05_find_products": _found,
@@ -303,6 +371,13 @@ NAMES: dict[str, Query] = {name: _star(build) for name, build in {
     "n14_products": _catalog_products,
     "n14_product_keys": _catalog_keys,
     "n16_categories": _categories,
+    "n18_label_override": _label_override,
+    "u02_candidates": _ordered_candidates,
+    "a11_described_products": _described_products,
+    "n15_shelf_labels": _shelf_labels,
+    "j07_attached_lines": _attached_lines,
+    "n17_aliases": _aliases,
+    "p16_locations": _unified_places,
     "w01_first_names": _first_names,
 }.items()}
 

@@ -96,7 +96,3 @@ def read_config(spark: SparkSession, locations: str, patterns: str,
                 groups: str) -> tuple[DataFrame, NameConfig]:
     return (location_config(spark, _load(spark, locations)),
             name_config(_load(spark, patterns), _load(spark, groups)))
-
-
-def default_config(spark: SparkSession) -> tuple[DataFrame, NameConfig]:
-    return location_config(spark, {"locations": V.DEFAULT_LOCATIONS}), NameConfig()

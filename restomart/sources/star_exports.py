@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from restomart.functions.names import NameConfig
-from restomart.sources.exports import SEQ
+from restomart.sources.exports import SEQ, Exports, SquareExport
 from restomart.sources.star_adapter import table
 
 # Rules that fit the part names.
@@ -156,3 +156,86 @@ def raw_names(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
                              substring(p_name, {at} + 1))
           WHEN 3 THEN concat('Lg ', p_name)
           ELSE concat(upper(p_name), ' 12 PCS') END""").alias("original_name"))
+
+
+# Exports that sell one catalog ---------------------------------------------------------------
+
+# A name per part, far from every other: letters a to p stand for the digits of a hash.
+DISH = "concat('Dish ', translate(substring(sha2(cast({0} AS string), 256), 1, 16), '0123456789abcdef', 'abcdefghijklmnop'))"
+
+
+def _sold_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with their lines as an array, in order; an order has a handful of lines."""
+    lines = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", F.struct("l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("int").alias("qty"),
+                               F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("paid")).alias("x"))
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_brand", F.expr(DISH.format("p_partkey")).alias("dish"))
+    named = lines.join(parts, F.col("x.l_partkey") == F.col("p_partkey")).select(
+        "l_orderkey", F.struct("x.*", "p_brand", "dish").alias("x"))
+    sold = named.groupBy("l_orderkey").agg(F.sort_array(F.collect_list("x")).alias("lines"))
+    return sold.join(_facts(spark, sf_dir), F.col("l_orderkey") == F.col("k"))
+
+
+def dish_exports(spark: SparkSession, sf_dir: str) -> Exports:
+    """Exports over the line items: Toast sells every third line, DoorDash the next, Square the last, under
+    the catalog's name or a spelling near it."""
+    facts, parts = _sold_lines(spark, sf_dir), table(spark, sf_dir, "part")
+    picked = lambda n, sql: f"transform(filter(lines, x -> x.l_linenumber % 3 = {n}), (x, i) -> {sql})"
+    place = "customer % 25"
+    toast = _build(
+        facts, guid="concat('g', k)", restaurantGuid=f"concat('t', {place})", openedDate="opened", closedDate="closed",
+        voided="false", deleted="false", diningOption="named_struct('behavior', 'DINE_IN')", source="'POS'",
+        checks="array(named_struct('voided', false, 'deleted', false, 'amount', cents, 'taxAmount', 0L, 'totalAmount', cents,"
+               " 'tipAmount', 0L, 'selections', " + picked(1, """named_struct('guid', concat('s', k, '-', i),
+                 'displayName', CASE x.l_suppkey % 3 WHEN 0 THEN x.dish WHEN 1 THEN upper(x.dish)
+                    ELSE substring(x.dish, 1, length(x.dish) - 1) END,
+                 'itemGroup', named_struct('name', concat('Menu ', x.p_brand)), 'quantity', x.qty, 'preDiscountPrice', x.paid,
+                 'price', x.paid, 'tax', 0L, 'voided', false, 'modifiers',
+                 cast(array() as array<struct<displayName: string, price: bigint>>))""")
+               + ", 'payments', cast(array() as array<struct<guid: string, paidDate: string, type: string, cardType: string,"
+                 " last4Digits: string, amount: bigint, tipAmount: bigint, originalProcessingFee: bigint, refundStatus: string>>)))")
+    doordash = _build(
+        facts, external_delivery_id="concat('x', k)", store_id=f"concat('d', {place})",
+        order_fulfillment_method="'PICKUP'", order_status="'DELIVERED'", created_at="opened", pickup_time="closed",
+        delivery_time="closed", order_items=picked(2, """named_struct('item_id', concat('i', k, '-', i),
+            'name', CASE x.l_suppkey % 3 WHEN 0 THEN x.dish WHEN 1 THEN lower(x.dish)
+               ELSE concat('Dish ', substring(x.dish, 7)) END, 'category', concat('Online ', x.p_brand), 'quantity', x.qty,
+            'unit_price', x.paid, 'total_price', x.paid, 'special_instructions', '',
+            'options', cast(array() as array<struct<name: string, price: bigint>>))"""),
+        order_subtotal="cents", delivery_fee="0L", service_fee="0L", dasher_tip="0L", tax_amount="0L",
+        total_charged_to_consumer="cents", commission="0L", merchant_payout="cents", contains_alcohol="false",
+        is_catering="false")
+    money = lambda sql: f"named_struct('amount', {sql})"
+    orders = _build(
+        facts, id="concat('q', k)", location_id=f"concat('s', {place})", source="named_struct('name', 'Register')",
+        created_at="opened", closed_at="closed", state="'COMPLETED'", line_items=picked(0, """named_struct(
+            'uid', concat(k, '-', i), 'catalog_object_id', concat('v', x.l_partkey, '-', x.l_suppkey % 2),
+            'quantity', cast(x.qty as string), 'total_money', named_struct('amount', x.paid),
+            'applied_modifiers', cast(null as array<struct<modifier_id: string>>))"""),
+        fulfillments="cast(array() as array<struct<type: string>>)", total_money=money("cents"),
+        total_tax_money=money("0L"), total_tip_money=money("0L"))
+    items = _build(
+        parts, id="concat('i', p_partkey)", type="'ITEM'", item_data=f"""named_struct('name', {DISH.format('p_partkey')},
+            'description', if(p_partkey % 4 = 0, '', p_brand),
+            'category_id', if(p_partkey % 10 = 3, null, concat('c', p_type)), 'variations', array(
+              named_struct('id', concat('v', p_partkey, '-0'), 'item_variation_data', named_struct('name', 'Regular')),
+              named_struct('id', concat('v', p_partkey, '-1'), 'item_variation_data', named_struct('name',
+                if(p_partkey % 2 = 0, concat(p_size, ' pc'), 'Lg')))))""", category_data="cast(null as struct<name: string>)")
+    kinds = _build(
+        parts.select("p_type").distinct(), id="concat('c', p_type)", type="'CATEGORY'",
+        item_data=f"cast(null as {items.schema['item_data'].dataType.simpleString()})",
+        category_data="named_struct('name', p_type)")
+    places = _build(
+        table(spark, sf_dir, "nation").filter("n_nationkey % 5 <> 4"), id="concat('s', n_nationkey)", name="n_name",
+        address="""named_struct('address_line_1', concat(n_nationkey, ' Main St'), 'locality', concat('City ', n_regionkey),
+            'administrative_district_level_1', 'NY', 'postal_code', lpad(cast(n_nationkey as string), 5, '0'), 'country', 'US')""",
+        timezone="if(n_nationkey % 2 = 0, 'America/Chicago', 'America/Denver')", status="'ACTIVE'", type="'PHYSICAL'",
+        merchant_id="'M'")
+    return Exports(toast, doordash, SquareExport(places, items.unionByName(kinds), orders, square_payments(spark, sf_dir)))
+
+
+def dish_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Locations as they are configured, with each source's id."""
+    return table(spark, sf_dir, "nation").select(
+        F.col("n_nationkey").cast("int").alias("position"), F.col("n_name").alias("name"),
+        *[F.concat(F.lit(p), "n_nationkey").alias(c) for p, c in (("t", "toast_id"), ("d", "doordash_id"), ("s", "square_id"))])
