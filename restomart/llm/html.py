@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -14,7 +15,8 @@ from pyspark.sql import functions as F
 from restomart.llm.common import materialize
 
 MIN_PAGES = 5  # different pages of a host that make a subtree part of its template
-MIN_SHARE = 0.02  # and the least share of the host's different pages
+
+RUNNING = 60  # characters that make a block running text
 
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q "
@@ -36,14 +38,24 @@ _SCOPES = {"ul", "ol", "dl", "table", "select", "article", "main", "body"}
 # Names of several words count only as these compounds: 'cookie-notice' is dropped, 'with-sidebar' is not.
 _PARTS = _DROPPED_WORDS | set("area bar block body bottom box button buttons container form icons inner item items link "
                               "links list message overlay panel section site slot text top unit widgets wrap wrapper".split())
+# These words count anywhere in a name, unless it speaks of having or not having them.
+_ANYWHERE = set("comment comments sponsor sponsored advert adverts advertisement related disqus".split())
+_SENSES = set("no not with without has have open opened closed enabled disabled allowed off".split())
+# On the way to a dish list or a notice: no reason to drop what stands inside an article.
+_SUBJECTS = set("menu notice notices".split())
 _WORDS = re.compile(r"[a-z]+")
 _HEAD = set("title base link meta style script noscript template".split())
 
 
-def _dropped_name(token: str) -> bool:
-    """Whether a class or id begins or ends with a dropped word and holds no word of another sense."""
+def _dropped_name(token: str, inside: bool) -> bool:
+    """Whether a class or id names something beside the main text: it begins or ends with such a word and
+    holds no word of another sense, or speaks of comments or adverts. ``inside``: of an article."""
     words = _WORDS.findall(token)
-    return bool(words) and bool({words[0], words[-1]} & _DROPPED_WORDS) and set(words) <= _PARTS
+    if not words or inside and set(words) <= _SUBJECTS | {"list", "section", "block", "item", "items"}:
+        return False
+    if set(words) & _ANYWHERE and not set(words) & _SENSES:
+        return True
+    return bool({words[0], words[-1]} & _DROPPED_WORDS) and set(words) <= _PARTS
 
 
 class _Element:
@@ -68,10 +80,11 @@ class PageReader(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.templates = templates
         self.open = [_Element("", "", False, False, False, 0, False)]
+        self.count: Counter[str] = Counter()  # open elements by tag, so that no end tag looks for one in vain
         self.blocks: list[tuple[str, bool, bool]] = []
         self.run: list[str] = []
         self.hashes: set[int] = set()
-        self.articles = self.mains = False
+        self.articles = False
 
     def _flush(self) -> None:
         if self.run:
@@ -85,6 +98,7 @@ class PageReader(HTMLParser):
         if self.open[-1].tag not in _INLINE:
             self._flush()
         done = self.open.pop()
+        self.count[done.tag] -= 1
         above = self.open[-1]
         above.holder |= done.holder
         digest = xxhash.xxh3_64_intdigest("\x1f".join([done.tag, done.label, *done.parts])) - (1 << 63)
@@ -99,7 +113,7 @@ class PageReader(HTMLParser):
     def _end_head(self, tag: str) -> None:
         """Content that no head can hold, or a body, ends a head that was left open."""
         if self.open[-1].tag == "head" and tag not in _HEAD or tag == "body":
-            while any(e.tag == "head" for e in self.open):
+            while self.count["head"]:
                 self._close()
 
     def handle_starttag(self, tag, attrs):
@@ -111,9 +125,9 @@ class PageReader(HTMLParser):
                 else:
                     self.open[-1].parts.append(tag)
             return
-        closes = _CLOSES.get(tag, ())
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag in closes or self.open[i].tag == "p" and tag in _PARAGRAPH_CLOSERS:
+        closes = {t for t in (*_CLOSES.get(tag, ()), *(("p",) if tag in _PARAGRAPH_CLOSERS else ())) if self.count[t]}
+        for i in range(len(self.open) - 1, 0, -1) if closes else ():
+            if self.open[i].tag in closes:
                 while len(self.open) > i:
                     self._close()
                 break
@@ -128,7 +142,7 @@ class PageReader(HTMLParser):
         main = top.main or tag == "main" or named.get("role") == "main"
         hard = (top.hard or tag in _DROPPED or named.get("role", "").lower() in _DROPPED_ROLES
                 or "hidden" in named or tag == "header" and not (top.article or top.main))
-        by_name = any(map(_dropped_name, label.split()))
+        by_name = any(_dropped_name(t, top.article or top.main) for t in label.split())
         # A name never drops what holds the main text, nor a wrapper of it; later articles may be comments.
         if tag in ("html", "body", "main") or tag == "article" and not self.articles and (not by_name or not top.dropped):
             dropped = hard
@@ -136,11 +150,11 @@ class PageReader(HTMLParser):
             dropped = hard or top.dropped or by_name
         if not dropped:
             self.articles |= tag == "article"
-            self.mains |= main
         self.open.append(_Element(tag, label, article, main, dropped, len(self.blocks), bool(label.strip()), hard))
+        self.count[tag] += 1
 
     def handle_endtag(self, tag):
-        for i in range(len(self.open) - 1, 0, -1):
+        for i in range(len(self.open) - 1, 0, -1) if self.count[tag] else ():
             if self.open[i].tag == tag:
                 while len(self.open) > i:
                     self._close()
@@ -170,13 +184,14 @@ class PageReader(HTMLParser):
         return self
 
     def text(self) -> str:
-        if self.articles:
-            kept = [text for text, article, _ in self.blocks if article]
-        elif self.mains:
-            kept = [text for text, _, main in self.blocks if main]
-        else:
-            kept = [text for text, _, _ in self.blocks]
-        return " ".join(kept)
+        """The blocks inside articles, or else inside the main element, unless more running text than they hold
+        stands outside when the templates are gone; then all of them."""
+        for inside in (1, 2):
+            kept = [block[0] for block in self.blocks if block[inside]]
+            outside = sum(len(block[0]) for block in self.blocks if not block[inside] and len(block[0]) >= RUNNING)
+            if kept and sum(map(len, kept)) >= outside:
+                return " ".join(kept)
+        return " ".join(block[0] for block in self.blocks)
 
 
 def _subtrees(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -205,8 +220,9 @@ def host_of(url) -> F.Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def template_subtrees(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """``host`` and ``subtree``: hashes of element subtrees that recur on many pages of the host.
+def template_subtrees(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
+    """``host`` and ``subtree``: hashes of element subtrees on at least ``min_pages`` pages of the host, however
+    many it has.
 
     Pages of equal content count once, so copies of a page are no template. Counts are summed
     before each shuffle, and a page of a subtree is one row, so a large host is no hot group.
@@ -215,30 +231,28 @@ def template_subtrees(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: f
     read = materialize(pages.select(
         host_of(F.col("url")).alias("host"), found(F.coalesce("html", F.lit(""))).alias("found"),
     ).select("host", "found.*").distinct(), "subtrees")
-    sizes = read.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    counted = read.select("host", F.explode("hashes").alias("subtree")).groupBy("host", "subtree").agg(
-        F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_pages)
-    return counted.join(sizes, "host").filter(F.col("n") >= min_share * F.col("pages")).select("host", "subtree")
+    return read.select("host", F.explode("hashes").alias("subtree")).groupBy("host", "subtree").agg(
+        F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_pages).select("host", "subtree")
 
 
-def extract_main_text(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+def extract_main_text(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     """Main text of every page, without the site's template.
 
     The reference data of this library has no web pages, so the operator is general: ``pages`` has
     ``page_id``, ``url`` and ``html``; gives per row ``page_id``, ``url``, ``text`` and ``n_chars``.
 
     Element subtrees are hashed, counted per host, and deleted where they recur on at least
-    ``min_pages`` different pages and ``min_share`` of the host's pages. Scripts, styles, menus,
-    page headers, footers, sidebars, notices, adverts, forms and comments go by their elements,
-    roles and names. What is left inside articles (else inside the main element, else anywhere) is
-    the text: character references decoded, white space in a block one space, blocks joined by one.
+    ``min_pages`` different pages. Scripts, styles, menus, page headers, footers, sidebars, notices,
+    adverts, forms and comments that vary from page to page go by their elements, roles and names. The text is
+    what is left inside articles, or else inside the main element, unless more running text stands outside;
+    then it is all: character references decoded, white space in a block one space, blocks joined by one.
 
     Null or empty html has empty text. A null url counts as a host of its own. Repeated rows stay
     as they are; a null page_id is kept; other columns are ignored; an empty table gives an empty
     result. The templates of a host travel to its pages in a join that Spark broadcasts only if the
     stored table is small enough, and otherwise splits at a large host.
     """
-    templates = materialize(template_subtrees(pages, min_pages, min_share).groupBy("host").agg(
+    templates = materialize(template_subtrees(pages, min_pages).groupBy("host").agg(
         F.array_sort(F.collect_set("subtree")).alias("subtrees")), "templates")
     text = F.pandas_udf(_texts, "string")
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"),

@@ -75,7 +75,7 @@ def test_templates_of_a_host_go(spark):
     assert [found[i] for i in range(6)] == [f"text {i}" for i in range(6)]
     assert found[10] == "Follow our kitchen same page"  # copies of one page are no template
     assert found[20] == "Shared passage"
-    hosts = {r["host"] for r in template_subtrees(pages(spark, rows), 5, 0.0).collect()}
+    hosts = {r["host"] for r in template_subtrees(pages(spark, rows), 5).collect()}
     assert hosts == {"a.example"}
 
 
