@@ -20,6 +20,7 @@ from restomart.session import shared_path
 CAPTURED = "2024-01-01T00:00:00Z"  # date of records whose capture time is not known
 MAX_GAP = 64 * 1024  # bytes between two records that one read may span
 MAX_READ = 8 * 1024 * 1024  # bytes of one read, unless a single record is larger
+TASK_BYTES = 16 * 1024 * 1024  # of records that one task reads
 HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 
 
@@ -160,14 +161,16 @@ def _reader(root: str):
 def read_records(selected: DataFrame, root: str) -> DataFrame:
     """Reads the records of ``selected`` index rows (``page_id``, ``archive``, ``offset``, ``length``).
 
-    Rows are sorted by archive and offset and dealt out in ranges; neighbouring records come in
-    one read. Gives ``page_id``, ``payload_bytes``, ``payload_digest``, ``record_type``, ``refers_to`` and
+    Rows are sorted by archive and offset and dealt out in ranges of about ``TASK_BYTES`` of records, counted
+    by their lengths; neighbouring records come in one read. Gives ``page_id``, ``payload_bytes``, ``payload_digest``, ``record_type``, ``refers_to`` and
     ``payload`` (null for a revisit; its response holds it). Payloads are checked against their digests.
     Repeated rows are read as often as they occur; no rows give an empty result.
     """
     id_type = selected.schema["page_id"].dataType.simpleString()
+    # The rows say little of the work: left to their size, all reads would become one task.
+    total = selected.agg(F.sum("length")).first()[0] or 0
     dealt = selected.select("archive", "offset", "length").repartitionByRange(
-        "archive", "offset").sortWithinPartitions("archive", "offset")
+        max(1, -(-total // TASK_BYTES)), "archive", "offset").sortWithinPartitions("archive", "offset")
     found = dealt.mapInPandas(_reader(root), "page_id string, payload_bytes long, payload_digest string, "
                                              "record_type string, refers_to string, payload binary")
     return found.withColumns({c: F.col(c).cast(id_type) for c in ("page_id", "refers_to")})
