@@ -22,7 +22,7 @@ GROUP_SIZE = 2  # shingles that share a group on average, at most
 ROUGH = 4  # groups of a point that are one group of its rough form
 LEAF, FANOUT = 16, 8
 TILE_ROWS, TILE_BYTES = 1024, 16 << 20
-ROUNDS = 3  # searches for nearest partners before the search for all
+ROUNDS = 2  # searches for nearest partners before the search for all
 CHUNK = 1 << 22  # counts that are compared at once
 
 Batches = Iterator[pa.RecordBatch]
@@ -190,7 +190,7 @@ class _Tile:
     def __init__(self, rows: list[tuple], codes: dict[bytes, int]):
         self.keys = [r[0] for r in rows]
         self.sizes = np.array([r[1] for r in rows], np.int64)
-        self.components = np.array([codes.setdefault(r[2], len(codes)) for r in rows])
+        self.components = np.array([codes.setdefault(r[2] or r[0], len(codes)) for r in rows])
         self.points = [np.frombuffer(r[3], np.uint8) for r in rows]
         lengths = np.array([len(p) for p in self.points])
         self.of_length = {int(n): np.flatnonzero(lengths == n) for n in np.unique(lengths)}
@@ -381,7 +381,7 @@ def linked_messages(messages: DataFrame, width: int = SHINGLE_WORDS, percent: in
         classes.select("short", "set_key", "n_shingles"), "short").drop("short"), "crowded-cells")
 
     # A class without a possible partner in any of its cells, by rough points and then by full ones, is done.
-    alone = crowded.withColumn("component", F.col("set_key"))
+    alone = crowded.withColumn("component", F.lit(None).cast("binary"))  # each its own
     for which in ("rough", "point"):
         near = materialize(_sorted(alone, classes, percent, which).mapInArrow(_nearest(percent), "a binary, b binary"), "near")
         left = near.select(F.explode(F.array("a", "b")).alias("set_key")).filter("set_key is not null").distinct()
