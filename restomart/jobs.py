@@ -21,7 +21,7 @@ def load(spark, args) -> int:
     places, names = read_config(spark, args.locations, args.patterns, args.groups)
     exports = landed(checked_exports(spark, args.toast, args.doordash, args.square, args.layout))
     return SilverStore(spark, args.store).load(
-        normalize(exports, places, names, compat=args.compat), clean=args.clean)
+        normalize(exports, places, names, compat=args.compat), clean=args.clean, enforce=True)
 
 
 def main(argv: list[str] | None = None) -> int:

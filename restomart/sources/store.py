@@ -295,12 +295,12 @@ class SilverStore:
             return entries
         return self._commit(build, depends=True)
 
-    def load(self, silver: Silver, clean: bool = False, enforce: bool = True) -> int:
+    def load(self, silver: Silver, clean: bool = False, enforce: bool = False) -> int:
         """``clean`` forgets what was there, else rows are merged by id. Either way a row that comes
         twice in one load is stored once.
 
-        With ``enforce``, codes, required values, keys and references are counted while the rows are
-        written; a load that breaks one stops with ``LoadRejected`` before its version is published.
+        With ``enforce`` (as the load job does), codes, required values, keys and references are counted while
+        the rows are written; a load that breaks one stops with ``LoadRejected`` before its version is published.
         """
         def build(state: State) -> list[dict]:
             entries, broken, parents = [], [], {}

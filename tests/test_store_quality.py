@@ -243,19 +243,19 @@ def test_load_stops_on_broken_rules_before_its_version(spark, tmp_path):
     store = SilverStore(spark, str(tmp_path))
     places = conform(spark.createDataFrame([("L1", "Downtown"), ("L2", "Uptown")], "id string, name string"), "locations")
     good = Silver(locations=places, orders=orders(spark, [order("a"), order("a")]))
-    assert store.load(good) == 1
+    assert store.load(good, enforce=True) == 1
     pays = conform(spark.createDataFrame([("p1", "a", "credit", 5), ("p2", "zz", "gold", 5), ("p3", None, "cash", 5)],
                                          "id string, order_id string, payment_type string, amount_cents bigint"), "payments")
     again = conform(spark.createDataFrame([("L3", "Same"), ("L4", "Same")], "id string, name string"), "locations")
     twice = orders(spark, [order("b", place="L9"), order("c", kind="brunch"), ("d", *order("a")[1:])])
     with pytest.raises(LoadRejected) as error:
-        store.load(Silver(locations=again, orders=twice, payments=pays))
+        store.load(Silver(locations=again, orders=twice, payments=pays), enforce=True)
     assert set(error.value.counts) == {
         ("locations", "unique", "name", 2), ("orders", "domain", "order_type", 1), ("orders", "reference", "location_id", 1),
         ("payments", "domain", "payment_type", 1), ("payments", "not_null", "order_id", 1),
         ("payments", "reference", "order_id", 1)}
     assert store.state().version == 1 and store_rows(store) == {"locations": 2, "orders": 1}
-    assert store.load(Silver(locations=again, orders=twice, payments=pays), enforce=False) == 2
+    assert store.load(Silver(locations=again, orders=twice, payments=pays)) == 2
 
 
 def test_a_load_counts_while_it_writes(spark, tmp_path):
@@ -263,6 +263,6 @@ def test_a_load_counts_while_it_writes(spark, tmp_path):
     store = SilverStore(spark, str(tmp_path))
     base = SilverStore._base
     store._base = lambda table, parts: opened.append(table) or base(store, table, parts)
-    store.load(Silver(orders=orders(spark, [order("a"), order("b", day=2)])))
+    store.load(Silver(orders=orders(spark, [order("a"), order("b", day=2)])), enforce=True)
     assert opened.count("orders") <= 1  # only as parents, by id
     assert store.log().first().row_count == 2
