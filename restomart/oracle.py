@@ -579,8 +579,9 @@ PART_NAMES = {
 # One catalog sold by three sources ------------------------------------------------------------
 
 DISHES = """
-dish AS (SELECT p_partkey, p_brand, p_type, p_size, 'Dish ' || translate(left(sha256(CAST(p_partkey AS VARCHAR)), 16),
-           '0123456789abcdef', 'abcdefghijklmnop') AS dish FROM part),
+dish AS (SELECT * EXCLUDE (low), upper(left(low, 1)) || substr(low, 2) AS dish FROM (
+           SELECT p_partkey, p_brand, p_type, p_size, translate(left(sha256(CAST(p_partkey AS VARCHAR)), 16),
+             '0123456789abcdef', 'abcdefghijklmnop') AS low FROM part)),
 line AS (SELECT l_orderkey AS k, l_linenumber, l_suppkey, CAST(l_quantity AS INTEGER) AS quantity,
            CAST(round(l_extendedprice * 100) AS BIGINT) AS paid, d.*, 'NATION_' || o_custkey % 25 AS place,
            ['square', 'toast', 'doordash'][1 + l_linenumber % 3] AS source,
@@ -590,7 +591,7 @@ sale AS (SELECT *, CASE
            WHEN source = 'square' THEN dish || CASE WHEN l_suppkey % 2 = 1 THEN ' - ' || shelf ELSE '' END
            WHEN l_suppkey % 3 = 0 THEN dish
            WHEN l_suppkey % 3 = 1 THEN CASE source WHEN 'toast' THEN upper(dish) ELSE lower(dish) END
-           WHEN source = 'toast' THEN left(dish, length(dish) - 1) ELSE 'Dish ' || substr(dish, 7) END AS original_name,
+           WHEN source = 'toast' THEN left(dish, length(dish) - 1) ELSE left(dish, 1) || substr(dish, 3) END AS original_name,
            row_number() OVER (PARTITION BY k, source ORDER BY l_linenumber, l_partkey, l_suppkey, quantity, paid) - 1 AS line_no
          FROM (SELECT *, p_partkey AS l_partkey FROM line)),
 sold AS (SELECT source, lower(trim(original_name)) AS name_key, p_partkey,

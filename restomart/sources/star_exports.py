@@ -161,7 +161,7 @@ def raw_names(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
 # Exports that sell one catalog ---------------------------------------------------------------
 
 # A name per part, far from every other: letters a to p stand for the digits of a hash.
-DISH = "concat('Dish ', translate(substring(sha2(cast({0} AS string), 256), 1, 16), '0123456789abcdef', 'abcdefghijklmnop'))"
+DISH = "initcap(translate(substring(sha2(cast({0} AS string), 256), 1, 16), '0123456789abcdef', 'abcdefghijklmnop'))"
 
 
 def _sold_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -199,7 +199,7 @@ def dish_exports(spark: SparkSession, sf_dir: str) -> Exports:
         order_fulfillment_method="'PICKUP'", order_status="'DELIVERED'", created_at="opened", pickup_time="closed",
         delivery_time="closed", order_items=picked(2, """named_struct('item_id', concat('i', k, '-', i),
             'name', CASE x.l_suppkey % 3 WHEN 0 THEN x.dish WHEN 1 THEN lower(x.dish)
-               ELSE concat('Dish ', substring(x.dish, 7)) END, 'category', concat('Online ', x.p_brand), 'quantity', x.qty,
+               ELSE concat(substring(x.dish, 1, 1), substring(x.dish, 3)) END, 'category', concat('Online ', x.p_brand), 'quantity', x.qty,
             'unit_price', x.paid, 'total_price', x.paid, 'special_instructions', '',
             'options', cast(array() as array<struct<name: string, price: bigint>>))"""),
         order_subtotal="cents", delivery_fee="0L", service_fee="0L", dasher_tip="0L", tax_amount="0L",
