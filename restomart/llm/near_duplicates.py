@@ -68,14 +68,24 @@ def _sketches(width: int):
     return run
 
 
+def _short_sets(width: int):
+    """Per class its set in 32-bit hashes."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            short = [np.unique(shingle_set(t, width).astype(np.uint32)).tobytes() for t in text_bytes(column(batch, "content"))]
+            yield pa.RecordBatch.from_arrays([column(batch, "set_key"), pa.array(short, pa.binary())], names=["set_key", "short"])
+    return run
+
+
 def _block_pairs(percent: int):
-    """Candidate pairs within each block pair of a bucket: from different components, of fitting sizes, and
-    near by their sketches. Rows come sorted by bucket and block pair; one block pair is held at a time."""
+    """Candidate pairs within each block pair of a bucket: from different components, of fitting sizes,
+    near by their sketches, and similar by short hashes, which can only make two sets look more alike. Rows come sorted by bucket and block pair; one block pair is held at a time."""
     share = percent / 100
     least = int(BINS * (share - SKETCH_SLACK * np.sqrt(share * (1 - share) / BINS)))
 
     def pairs(rows: list[tuple], left: int, right: int) -> Iterator[tuple[bytes, bytes]]:
-        keys, size, component, block, bins = zip(*rows)
+        keys, size, component, block, bins, short = zip(*rows)
+        short = [np.frombuffer(x, np.uint32) for x in short]
         codes: dict[bytes, int] = {}
         component = np.array([codes.setdefault(c, len(codes)) for c in component])
         size, block = np.array(size), np.array(block)
@@ -86,12 +96,15 @@ def _block_pairs(percent: int):
             mates &= 100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i])
             mates = np.flatnonzero(mates)
             for j in mates[(bins[mates] == bins[i]).sum(axis=1) >= least]:
-                yield min(keys[i], keys[j]), max(keys[i], keys[j])
+                merged = max(size[i] - len(short[i]), size[j] - len(short[j]))
+                shared = merged + len(np.intersect1d(short[i], short[j], assume_unique=True))
+                if 100 * shared >= percent * (size[i] + size[j] - shared):
+                    yield min(keys[i], keys[j]), max(keys[i], keys[j])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = None, []
         for bucket, left, right, *row in rows_of(batches, "bucket", "left", "right", "set_key", "n_shingles",
-                                                 "component", "block", "bins"):
+                                                 "component", "block", "bins", "short"):
             if held and (bucket, left, right) != last:
                 yield edge_batch(list(pairs(held, *last[1:])))
                 held = []
@@ -112,7 +125,7 @@ def near_duplicates(messages: DataFrame, width: int = SHINGLE_WORDS, percent: in
     Messages of the same set are one class from the start. Classes whose sketches agree in a band
     share a bucket; in each bucket only the links to one centre are tried, so candidates grow with
     the rows. Buckets that still hold several components afterwards are compared in blocks of
-    bounded size by their sketches, and give only pairs of different components. All links are confirmed
+    bounded size by sketches and short hashes, and give only similar pairs of different components. All links are confirmed
     on full sets, fetched by key. 128 bins in 32 bands miss a pair of similarity 0.8 with
     probability 5e-8; the sketches allow ``SKETCH_SLACK`` standard deviations.
 
@@ -151,8 +164,10 @@ def near_duplicates(messages: DataFrame, width: int = SHINGLE_WORDS, percent: in
         "block", F.pmod(F.xxhash64("set_key", "bucket"), "blocks").cast("int"))
     paired = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "*", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"))
-    pairs = paired.join(classes.select("set_key", "bins"), "set_key").select(
-        "bucket", "set_key", "n_shingles", "component", "block", "left", "right", "bins",
+    short = whole.join(rest.select("set_key").distinct(), "set_key", "left_semi").mapInArrow(
+        _short_sets(width), "set_key binary, short binary")
+    pairs = paired.join(classes.select("set_key", "bins"), "set_key").join(short, "set_key").select(
+        "bucket", "set_key", "n_shingles", "component", "block", "left", "right", "bins", "short",
     ).repartition("bucket", "left", "right").sortWithinPartitions("bucket", "left", "right", "set_key").mapInArrow(
         _block_pairs(percent), "a binary, b binary")
     labels = connected_components(links.unionAll(confirmed(pairs, whole, width, percent)))
